@@ -39,8 +39,7 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
-def _unescape(s: pd.Series) -> pd.Series:
+def _unescape_batch(s: pd.Series) -> pd.Series:
     return s.map(lambda t: html.unescape(t) if isinstance(t, str) else t)
 
 
@@ -48,7 +47,8 @@ def html_decode(c) -> Column:
     """HTML entity decode. No built-in exists, so an Arrow-batched pandas UDF does it, and
     only for rows that contain an ``&`` (the rest never leave the JVM)."""
     c = _c(c)
-    return F.when(c.contains("&"), _unescape(c)).otherwise(c)
+    unescape = F.pandas_udf(_unescape_batch, "string")
+    return F.when(c.contains("&"), unescape(c)).otherwise(c)
 
 
 def clean_text(c, decode_html: bool = True) -> Column:

@@ -15,6 +15,16 @@ from pyspark.sql import types as T
 
 from marketframe.functions.numeric import rnd
 from marketframe.operators import hourly as H
+from marketframe.functions.text import clean_or_null, english_stats, html_decode, is_english
+from marketframe.functions.timefn import floor_hour, roll_weekend
+from marketframe.operators import fusion as FU
+from marketframe.operators import indicators as I
+from marketframe.operators import metrics as M
+from marketframe.operators import prices as PR
+from marketframe.operators import samples as S
+from marketframe.operators import scoring as SC
+from marketframe.operators import serving as SV
+from marketframe.sources import ingest as IN
 from marketframe.session import ensure_session_defaults
 from marketframe.sources import fixtures as FX
 
@@ -48,10 +58,331 @@ def q_hourly_delta(spark, sf):
     return rounded(d.select("hour", "ticker", "delta_mean_sentiment", "delta_tweet_count"))
 
 
+
+
+# ----------------------------------------------------------------------------- shared builders
+def _bars(spark, sf):
+    return FX.bars(spark, sf)
+
+
+def _price_rows(spark, sf):
+    return S.price_rows(_bars(spark, sf))
+
+
+def _price_keys(spark, sf):
+    return S.price_sample_keys(_price_rows(spark, sf))
+
+
+def _first_hours(spark, sf):
+    p = FX.posts(spark, sf)
+    return p.groupBy("ticker").agg(F.min(floor_hour(roll_weekend("created_at"))).alias("first_hour"))
+
+
+def _text_keys(spark, sf):
+    return S.text_sample_keys(_bars(spark, sf), _first_hours(spark, sf))
+
+
+def _aligned(spark, sf):
+    a = FU.align(_price_keys(spark, sf), _text_keys(spark, sf).select("ticker", "date", "label"))
+    return FU.keep_agreeing(a)
+
+
+def predictions(spark, sf):
+    """Adapter: agreeing aligned samples with a deterministic score per date."""
+    a = _aligned(spark, sf)
+    prob = (F.dayofyear("date") * 37 % 101) / F.lit(101.0)
+    return a.select("date", "ticker", F.col("label").alias("actual"), prob.alias("probability"))
+
+
+def _dedup_posts(spark, sf):
+    return IN.dedup_first(FX.posts(spark, sf), "post_id", FX.POST_ORDER)
+
+
+def _english(spark, sf):
+    r = FX.raw_text(spark, sf)
+    return r.withColumn("is_english", is_english("text"))
+
+
+def _cleaned(spark, sf):
+    e = _english(spark, sf)
+    return e.withColumn("cleaned_text", F.when(F.col("is_english"),
+                                               clean_or_null("text", decode_html=False)))
+
+
+def _long(c):
+    return F.col(c).cast("long").alias(c)
+
+
+# ----------------------------------------------------------------------------- indicators
+def q_returns(spark, sf):
+    d = I.returns(_bars(spark, sf))
+    return rounded(d.select("ticker", "date", "return_1d", "log_return_1d"))
+
+
+def q_momentum(spark, sf):
+    return rounded(I.momentum(_bars(spark, sf), 10).select("ticker", "date", "momentum_10d"), 4)
+
+
+def q_sma(spark, sf):
+    return rounded(I.sma(_bars(spark, sf)).select("ticker", "date", "SMA_10", "SMA_20"), 4)
+
+
+def q_ema(spark, sf):
+    d = I.emas(_bars(spark, sf), (10, 12, 20, 26))
+    return rounded(d.select("ticker", "date", "EMA_10", "EMA_12", "EMA_20", "EMA_26"), 4)
+
+
+def q_volatility(spark, sf):
+    d = I.volatility(I.returns(_bars(spark, sf)))
+    return rounded(d.select("ticker", "date", "volatility_10", "volatility_20"))
+
+
+def q_rsi(spark, sf):
+    return rounded(I.rsi(_bars(spark, sf)).select("ticker", "date", "RSI_14"))
+
+
+def q_macd(spark, sf):
+    d = I.macd(_bars(spark, sf))
+    return rounded(d.select("ticker", "date", "MACD", "MACD_signal", "MACD_hist"), 4)
+
+
+def q_bollinger(spark, sf):
+    d = I.bollinger(_bars(spark, sf))
+    return rounded(d.select("ticker", "date", "BB_mid", "BB_upper", "BB_lower", "BB_width"), 4)
+
+
+def q_direction_label(spark, sf):
+    d = S.direction_label(_bars(spark, sf))
+    return rounded(d.select("ticker", "date", "close", "next_close", "label"), 4)
+
+
+# ----------------------------------------------------------------------------- samples
+def _row_sum(r):
+    return F.aggregate(r, F.lit(0.0), lambda a, v: a + v)
+
+
+def q_price_sequences(spark, sf):
+    s = S.price_sequences(_price_rows(spark, sf))
+    x_sum = F.aggregate("X", F.lit(0.0), lambda acc, r: acc + _row_sum(r))
+    out = s.select("ticker", "date", "label", F.size("X").cast("long").alias("seq_len"),
+                   F.round(x_sum, 1).alias("x_sum"),
+                   F.col("X")[0][3].alias("first_close"), F.col("X")[59][3].alias("last_close"))
+    return rounded(out, 4)
+
+
+def _text_windows(spark, sf):
+    hourly = H.hourly_weighted(FX.posts(spark, sf))
+    gd = H.hourly_deltas(H.fill_hour_grid(hourly))
+    keys = S.text_sample_keys(_bars(spark, sf), S.text_first_hours(hourly))
+    return S.text_windows(keys, gd)
+
+
+def q_text_windows(spark, sf):
+    w = _text_windows(spark, sf)
+    x_sum = F.aggregate("X", F.lit(0.0), lambda acc, r: acc + _row_sum(r))
+    d_sum = F.aggregate("X", F.lit(0.0), lambda acc, r: acc + (r[8] + r[9]))
+    out = w.select("ticker", "date", "label", F.col("present_hours").cast("long").alias("present_hours"),
+                   F.size("X").cast("long").alias("n_hours"), x_sum.alias("x_sum"),
+                   d_sum.alias("delta_sum"), F.col("X")[71][3].alias("last_mean_sentiment"))
+    return rounded(out)
+
+
+def q_chrono_split(spark, sf):
+    d = S.chrono_split(_aligned(spark, sf))
+    return d.select("ticker", "date", "split", _long("pos"))
+
+
+def q_class_balance(spark, sf):
+    d = M.class_balance(S.chrono_split(_aligned(spark, sf)))
+    return rounded(d)
+
+
+def _price_split_weights(spark, sf):
+    rows = _price_rows(spark, sf)
+    split = S.chrono_split(S.price_sample_keys(rows))
+    return rows, S.train_row_weights(rows, split)
+
+
+def q_scaler_fit(spark, sf):
+    _, wr = _price_split_weights(spark, sf)
+    return rounded(S.scaler_fit(wr), 4)
+
+
+def q_scaler_apply(spark, sf):
+    rows, wr = _price_split_weights(spark, sf)
+    stats = S.scaler_fit(wr)
+    return rounded(S.scale_long(rows, stats))
+
+
+def q_align(spark, sf):
+    return _aligned(spark, sf).select("date", "ticker", "label_price", "label_text")
+
+
+# ----------------------------------------------------------------------------- prices
+def q_ffill_bfill(spark, sf):
+    d = PR.fill_gaps(FX.gappy_bars(spark, sf))
+    return rounded(d.select("ticker", "date", "close"), 4)
+
+
+def q_date_bounds(spark, sf):
+    d = PR.restrict_bars(_bars(spark, sf), FX.posts(spark, sf))
+    return rounded(d.select("ticker", "date", "close"), 4)
+
+
+# ----------------------------------------------------------------------------- ingest
+def q_dedup_posts(spark, sf):
+    d = _dedup_posts(spark, sf)
+    return rounded(d.select("post_id", "ticker", "created_at", "likes_count", "retweet_count",
+                            "p_negative", "p_positive", "sentiment_score"))
+
+
+ALLOW = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+
+
+def q_post_ticker_join(spark, sf):
+    posts = _dedup_posts(spark, sf).drop("ticker")
+    d = IN.attach_ticker(posts, FX.mapping(spark, sf), tickers=ALLOW)
+    return d.select("post_id", "ticker", "created_at")
+
+
+# ----------------------------------------------------------------------------- text
+def q_english_filter(spark, sf):
+    r = FX.raw_text(spark, sf)
+    n, hits = english_stats("text")
+    return r.select("post_id", "ticker", is_english("text").alias("is_english"),
+                    n.cast("long").alias("n_tokens"), hits.cast("long").alias("n_hits"))
+
+
+def q_clean_text(spark, sf):
+    c = _cleaned(spark, sf)
+    return c.where(F.col("cleaned_text").isNotNull()).select("post_id", "ticker", "cleaned_text")
+
+
+def q_clean_summary(spark, sf):
+    c = _cleaned(spark, sf).withColumn("kept", F.col("cleaned_text").isNotNull())
+    return rounded(M.run_summary(c, "kept", by="ticker"))
+
+
+def q_sentiment_lexicon(spark, sf):
+    c = _cleaned(spark, sf).where(F.col("cleaned_text").isNotNull())
+    s = SC.score_text(c, "cleaned_text")
+    return rounded(s.select("post_id", "p_negative", "p_neutral", "p_positive", "sentiment_score"))
+
+
+def q_sentiment_buckets(spark, sf):
+    return rounded(M.sentiment_buckets(FX.posts(spark, sf)))
+
+
+def q_html_decode(spark, sf):
+    """F1 (rows-only): entity decoding of texts carrying ``&amp;``."""
+    r = FX.raw_text(spark, sf).withColumn("text", F.concat("text", F.lit(" &amp; co")))
+    return r.select("post_id", html_decode("text").alias("decoded"))
+
+
+# ----------------------------------------------------------------------------- metrics
+def q_confusion_metrics(spark, sf):
+    return rounded(M.confusion(predictions(spark, sf)))
+
+
+def q_roc_auc(spark, sf):
+    return rounded(M.roc_auc(predictions(spark, sf)))
+
+
+def q_ticker_accuracy(spark, sf):
+    return rounded(M.ticker_accuracy(predictions(spark, sf)))
+
+
+# ----------------------------------------------------------------------------- serving
+def q_asof_lookup(spark, sf):
+    pts = FX.posts(spark, sf).select("ticker", F.to_date("created_at").alias("query_date")).distinct()
+    d = SV.asof_lookup(pts, _bars(spark, sf))
+    return rounded(d, 4)
+
+
+LAST_N_END = "2000-06-30"
+
+
+def q_last_n(spark, sf):
+    b = _bars(spark, sf).where(F.col("date") <= F.lit(LAST_N_END).cast("date"))
+    d = SV.last_n(b, 30)
+    return rounded(d.select("ticker", "date", "close", _long("rank_from_end")), 4)
+
+
+def q_sample_k(spark, sf):
+    d = SV.first_k(_dedup_posts(spark, sf), 200, "ticker", "post_id")
+    return d.select("ticker", "post_id", "created_at", _long("rank"))
+
+
+def _pred_prices(spark, sf):
+    return SV.price_join(predictions(spark, sf), _bars(spark, sf))
+
+
+def q_price_join(spark, sf):
+    d = _pred_prices(spark, sf).select("date", "ticker", "actual", "probability", "close")
+    return rounded(d, 4)
+
+
+def q_projection(spark, sf):
+    hist = SV.last_n(_pred_prices(spark, sf), 30).drop("rank_from_end")
+    d = SV.project_prices(hist)
+    return rounded(d.select("ticker", "date", "close", "predicted_close", "avg_move"), 4)
+
+
+def q_day_change(spark, sf):
+    d = SV.day_change(_bars(spark, sf))
+    return rounded(d.select("ticker", "date", "day_change_pct"))
+
+
+def q_signal(spark, sf):
+    d = SV.signal(predictions(spark, sf))
+    return rounded(d.select("ticker", "date", "probability", "trend", "confidence"))
+
+
+def q_table_stats(spark, sf):
+    return SV.first_last(FX.posts(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hourly_weighted": q_hourly_weighted,
     "hourly_grid": q_hourly_grid,
     "hourly_delta": q_hourly_delta,
+    "returns": q_returns,
+    "momentum": q_momentum,
+    "sma": q_sma,
+    "ema": q_ema,
+    "volatility": q_volatility,
+    "rsi": q_rsi,
+    "macd": q_macd,
+    "bollinger": q_bollinger,
+    "direction_label": q_direction_label,
+    "price_sequences": q_price_sequences,
+    "text_windows": q_text_windows,
+    "chrono_split": q_chrono_split,
+    "class_balance": q_class_balance,
+    "scaler_fit": q_scaler_fit,
+    "scaler_apply": q_scaler_apply,
+    "align": q_align,
+    "ffill_bfill": q_ffill_bfill,
+    "date_bounds": q_date_bounds,
+    "dedup_posts": q_dedup_posts,
+    "post_ticker_join": q_post_ticker_join,
+    "english_filter": q_english_filter,
+    "clean_text": q_clean_text,
+    "clean_summary": q_clean_summary,
+    "sentiment_lexicon": q_sentiment_lexicon,
+    "sentiment_buckets": q_sentiment_buckets,
+    "confusion_metrics": q_confusion_metrics,
+    "roc_auc": q_roc_auc,
+    "ticker_accuracy": q_ticker_accuracy,
+    "asof_lookup": q_asof_lookup,
+    "last_n": q_last_n,
+    "sample_k": q_sample_k,
+    "price_join": q_price_join,
+    "projection": q_projection,
+    "day_change": q_day_change,
+    "signal": q_signal,
+    "table_stats": q_table_stats,
+    "html_decode": q_html_decode,
 }
 
 
