@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.schemas import ENGLISH_KEYWORDS
@@ -30,6 +30,7 @@ EMOJI = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\
 PUNCT = r"([!?.,()])"
 SPACES = rf"[{SPACE}]+"
 NON_WORD = rf"[^{WORD}]+"
+ASCII_TOKEN = rf"(?<![{WORD}])[a-z]+(?![{WORD}])"
 
 MIN_CHARS = 10
 MIN_WORDS = 3
@@ -86,9 +87,9 @@ def not_blank(c) -> Column:
 
 
 def ascii_tokens(c) -> Column:
-    """Lower-case tokens that are entirely ``[a-z]`` (Python ``\\b[a-z]+\\b`` on Unicode text)."""
-    parts = F.split(F.lower(_c(c)), NON_WORD)
-    return F.filter(parts, lambda x: x.rlike("^[a-z]+$"))
+    """Lower-case tokens that are entirely ``[a-z]`` (Python ``\\b[a-z]+\\b`` on Unicode text):
+    one regex pass with Unicode word-boundary look-arounds."""
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(ASCII_TOKEN), 0)
 
 
 def keyword_hits(tokens: Column, words) -> Column:
@@ -103,10 +104,22 @@ def english_stats(c) -> tuple[Column, Column]:
     return F.size(toks), keyword_hits(toks, ENGLISH_KEYWORDS)
 
 
+def english_rule(text, n_tokens, n_hits, ratio: float = 0.3, few: int = 5) -> Column:
+    """F9 decision from precomputed token and hit counts."""
+    t, n, hits = _c(text), _c(n_tokens), _c(n_hits)
+    rule = F.when(n < few, hits > 0).otherwise((hits / n) >= F.lit(float(ratio)))
+    return F.when(t.isNull() | (F.length(t) < 3), F.lit(False)).otherwise(rule)
+
+
 def is_english(c, ratio: float = 0.3, few: int = 5) -> Column:
     """fewer than ``few`` tokens -> any keyword hit; else hits / tokens >= ratio.
     Texts shorter than 3 characters (or NULL) are not English."""
-    t = _c(c)
-    n, hits = english_stats(t)
-    rule = F.when(n < few, hits > 0).otherwise((hits / n) >= F.lit(float(ratio)))
-    return F.when(t.isNull() | (F.length(t) < 3), F.lit(False)).otherwise(rule)
+    n, hits = english_stats(c)
+    return english_rule(c, n, hits, ratio, few)
+
+
+def with_english(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_tokens, n_hits and is_english, tokenising each text once."""
+    n, hits = english_stats(text)
+    d = df.withColumns({"n_tokens": n.cast("long"), "n_hits": hits.cast("long")})
+    return d.withColumn("is_english", english_rule(text, "n_tokens", "n_hits"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from marketframe.functions.numeric import rnd
 from marketframe.operators import hourly as H
-from marketframe.functions.text import clean_or_null, english_stats, html_decode, is_english
+from marketframe.functions.text import clean_or_null, html_decode, with_english
 from marketframe.functions.timefn import floor_hour, roll_weekend
 from marketframe.operators import fusion as FU
 from marketframe.operators import indicators as I
@@ -99,8 +99,7 @@ def _dedup_posts(spark, sf):
 
 
 def _english(spark, sf):
-    r = FX.raw_text(spark, sf)
-    return r.withColumn("is_english", is_english("text"))
+    return with_english(FX.raw_text(spark, sf))
 
 
 def _cleaned(spark, sf):
@@ -247,10 +246,7 @@ def q_post_ticker_join(spark, sf):
 
 # ----------------------------------------------------------------------------- text
 def q_english_filter(spark, sf):
-    r = FX.raw_text(spark, sf)
-    n, hits = english_stats("text")
-    return r.select("post_id", "ticker", is_english("text").alias("is_english"),
-                    n.cast("long").alias("n_tokens"), hits.cast("long").alias("n_hits"))
+    return _english(spark, sf).select("post_id", "ticker", "is_english", "n_tokens", "n_hits")
 
 
 def q_clean_text(spark, sf):

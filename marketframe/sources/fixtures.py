@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.timefn import add_hours
+from marketframe.session import spread
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -104,12 +105,14 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(i % 6 == 0, F.concat(t, F.lit(" #tag"), sid)).otherwise(t)
     t = F.when(i % 7 == 0, F.concat(t, F.lit(" 0x"), F.lpad(F.hex(i), 40, "f"))).otherwise(t)
     t = F.when(i % 8 == 0, F.concat(t, F.lit(" \U0001F600"))).otherwise(t)
-    return d.select(
+    out = d.select(
         F.col("source").alias("ticker"),
         i.alias("post_id"),
         t.alias("text"),
         "lang",
     )
+    # cleaning and tokenising are CPU-bound: spread them over the cores
+    return spread(out)
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
