@@ -11,8 +11,9 @@ def _c(c) -> Column:
 
 
 def epoch_to_ts(c) -> Column:
-    """Unix epoch seconds -> timestamp_ntz, read as UTC wall clock."""
-    return F.to_timestamp_ntz(F.date_format(F.timestamp_seconds(_c(c)), "yyyy-MM-dd HH:mm:ss"))
+    """Unix epoch seconds -> timestamp_ntz, the UTC wall clock (session zone pinned to UTC;
+    the reference used the machine's zone)."""
+    return F.timestamp_seconds(_c(c)).cast("timestamp_ntz")
 
 
 def day_start(c) -> Column:

@@ -146,10 +146,11 @@ def text_sample_keys(bars: DataFrame, first_hours: DataFrame, prediction_hour: i
             .select(ticker, date, "label", t.alias("prediction_time")))
 
 
-def text_windows(keys: DataFrame, grid_deltas: DataFrame, hours: int = 72,
-                 lag_hours: int = 24, ticker: str = "ticker", date: str = "date") -> DataFrame:
-    """J5 + W14: the ``hours`` hourly rows ending ``lag_hours`` before the prediction time, with
-    absent hours as zeros and deltas forced to 0 at the window start (W13 on the grid)."""
+def text_window_rows(keys: DataFrame, grid_deltas: DataFrame, hours: int = 72,
+                     lag_hours: int = 24, ticker: str = "ticker",
+                     date: str = "date") -> DataFrame:
+    """J5 + W14 in long form: one row per (sample, window hour) with the 10 features; absent
+    hours are zeros and the deltas are forced to 0 at the window start (W13 on the grid)."""
     end = add_hours(F.col("prediction_time"), -lag_hours)
     start = add_hours(F.col("prediction_time"), -(lag_hours + hours - 1))
     ex = keys.select(ticker, date, "label",
@@ -158,14 +159,23 @@ def text_windows(keys: DataFrame, grid_deltas: DataFrame, hours: int = 72,
     g = grid_deltas.select(ticker, "hour", F.lit(1).alias("_present"),
                            *[F.col(f).cast("double").alias(f) for f in feats])
     j = ex.join(g, [ticker, "hour"], "left")
-    vals = [F.coalesce(F.col(f), F.lit(0.0)) for f in TEXT_FEATURES]
-    vals += [F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(F.coalesce(F.col(f), F.lit(0.0)))
-             for f in TEXT_DELTA_FEATURES]
-    j = j.select(ticker, date, "label", "pos", F.coalesce("_present", F.lit(0)).alias("_present"),
-                 F.array(*vals).alias("row"))
+    vals = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in TEXT_FEATURES}
+    vals.update({f: F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(
+        F.coalesce(F.col(f), F.lit(0.0))) for f in TEXT_DELTA_FEATURES})
+    return j.select(ticker, date, "label", "pos",
+                    F.coalesce("_present", F.lit(0)).alias("present"),
+                    *[vals[f].alias(f) for f in feats])
+
+
+def text_windows(keys: DataFrame, grid_deltas: DataFrame, hours: int = 72,
+                 lag_hours: int = 24, ticker: str = "ticker", date: str = "date") -> DataFrame:
+    """J5 + W14: the ``hours`` hourly rows ending ``lag_hours`` before the prediction time as one
+    ``X`` array per sample (time-ordered), grouped from :func:`text_window_rows`."""
+    feats = TEXT_FEATURES + TEXT_DELTA_FEATURES
+    j = text_window_rows(keys, grid_deltas, hours, lag_hours, ticker, date)
     agg = j.groupBy(ticker, date, "label").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "row"))).alias("_rows"),
-        F.sum("_present").alias("present_hours"))
+        F.sort_array(F.collect_list(F.struct("pos", F.array(*feats).alias("row")))).alias("_rows"),
+        F.sum("present").alias("present_hours"))
     return agg.select(ticker, date, "label", "present_hours",
                       F.transform("_rows", lambda r: r["row"]).alias("X"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -338,6 +338,33 @@ def q_table_stats(spark, sf):
     return SV.first_last(FX.posts(spark, sf))
 
 
+def q_fusion_predictions(spark, sf):
+    """X4 + X5 (rows-only): pooled scaled-price windows and pooled text windows, aligned and
+    split chronologically; a logistic regression fitted on train predicts the test rows. The
+    training table is checkpointed once so the ML passes do not recompute the lineage."""
+    from marketframe.operators import classifier as C
+    from marketframe.schemas import PRICE_FEATURES, TEXT_DELTA_FEATURES, TEXT_FEATURES
+    from marketframe.session import cut_lineage
+    rows, wr = _price_split_weights(spark, sf)
+    scaled = S.apply_scaler(rows, S.scaler_fit(wr))
+    n_p = len(PRICE_FEATURES)
+    pp = C.pool_rows(scaled.withColumn("_n", F.row_number().over(
+        Window.partitionBy("ticker").orderBy("date"))), PRICE_FEATURES, 60, "p")
+    pp = pp.where((F.col("_n") >= 60) & F.col("next_close").isNotNull())
+    pp = pp.select("ticker", "date", "label", *C.pooled_names(n_p, "p"))
+    hourly = H.hourly_weighted(FX.posts(spark, sf))
+    gd = H.hourly_deltas(H.fill_hour_grid(hourly))
+    keys = S.text_sample_keys(_bars(spark, sf), S.text_first_hours(hourly))
+    tfeats = TEXT_FEATURES + TEXT_DELTA_FEATURES
+    tp = C.pool_hours(S.text_window_rows(keys, gd), tfeats, "t")
+    al = FU.keep_agreeing(pp.withColumnRenamed("label", "label_price").join(
+        tp.withColumnRenamed("label", "label_text"), ["date", "ticker"]))
+    feats = C.pooled_names(n_p, "p") + C.pooled_names(len(tfeats), "t")
+    sp = cut_lineage(S.chrono_split(al.select("date", "ticker", "label", *feats)))
+    model = C.fit_direction_model(sp.where(F.col("split") == "train"), feats)
+    return C.predict_direction(model, sp.where(F.col("split") == "test"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hourly_weighted": q_hourly_weighted,
     "hourly_grid": q_hourly_grid,
@@ -379,6 +406,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "signal": q_signal,
     "table_stats": q_table_stats,
     "html_decode": q_html_decode,
+    "fusion_predictions": q_fusion_predictions,
 }
 
 
