@@ -183,3 +183,15 @@ def text_windows(keys: DataFrame, grid_deltas: DataFrame, hours: int = 72,
 def text_first_hours(hourly: DataFrame, ticker: str = "ticker") -> DataFrame:
     """Per-ticker first hour of the hourly table (the coverage bound of P10)."""
     return hourly.groupBy(ticker).agg(F.min("hour").alias("first_hour"))
+
+
+def shape_violations(samples: DataFrame, x_col: str = "X", length: int = 60,
+                     n_features: int = len(PRICE_FEATURES)) -> DataFrame:
+    """samples whose window is not ``length`` x ``n_features`` or holds NaN/inf
+    (the reference asserts on tensor shapes); one row with the violation counts."""
+    x = F.col(x_col)
+    bad_shape = (F.size(x) != length) | ~F.forall(x, lambda r: F.size(r) == n_features)
+    bad_value = F.exists(x, lambda r: F.exists(r, lambda v: F.isnan(v) | (F.abs(v) == float("inf"))))
+    return samples.agg(F.count(F.lit(1)).alias("samples"),
+                       F.count_if(bad_shape).alias("bad_shape"),
+                       F.count_if(bad_value).alias("bad_value"))

@@ -365,6 +365,31 @@ def q_fusion_predictions(spark, sf):
     return C.predict_direction(model, sp.where(F.col("split") == "test"))
 
 
+def _momentum_predictor():
+    """Stand-in model for X3: p(up) = sigmoid(mean over the window's last day of the scaled
+    return and momentum features). Real weights plug in the same way."""
+    import numpy as np
+    from marketframe.schemas import PRICE_FEATURES as PF
+    idx = [PF.index("return_1d"), PF.index("momentum_10d")]
+    nf = len(PF)
+
+    def predict(x):
+        last = x.reshape(len(x), -1, nf)[:, -1, :]
+        return 1.0 / (1.0 + np.exp(-last[:, idx].mean(axis=1)))
+    return predict
+
+
+def q_sequence_inference(spark, sf):
+    """X3 + F27 (rows-only): batch inference over the scaled 60 x 23 price windows with
+    ``predict_batch_udf`` (Arrow batches, model built once per worker)."""
+    rows, wr = _price_split_weights(spark, sf)
+    seqs = S.price_sequences(S.apply_scaler(rows, S.scaler_fit(wr)))
+    n = 60 * len(S.PRICE_FEATURES)
+    out = SC.score_sequences(seqs.select("ticker", "date", "label", "X"), _momentum_predictor,
+                             ["X"], [[n]])
+    return out.select("ticker", "date", "label", "probability")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hourly_weighted": q_hourly_weighted,
     "hourly_grid": q_hourly_grid,
@@ -407,6 +432,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_stats": q_table_stats,
     "html_decode": q_html_decode,
     "fusion_predictions": q_fusion_predictions,
+    "sequence_inference": q_sequence_inference,
 }
 
 

@@ -294,3 +294,10 @@ def test_fill_gaps(spark):
     assert got == [3.0, 3.0, 3.0, 3.0, 5.0]
     got2 = [r.close for r in fill_gaps(df, ["close"], backward=False).orderBy("date").collect()]
     assert got2 == [None, None, 3.0, 3.0, 5.0]
+
+
+def test_shape_violations(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],), ([[1.0], [2.0, float("nan")]],)],
+                               "X array<array<double>>")
+    r = S.shape_violations(df, "X", 2, 2).collect()[0]
+    assert (r.samples, r.bad_shape, r.bad_value) == (2, 1, 1)
