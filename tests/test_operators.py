@@ -301,3 +301,27 @@ def test_shape_violations(spark):
                                "X array<array<double>>")
     r = S.shape_violations(df, "X", 2, 2).collect()[0]
     assert (r.samples, r.bad_shape, r.bad_value) == (2, 1, 1)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ticker_filter_reaches_the_scan(spark):
+    from conftest import SF_SMALL
+    from marketframe.sources import fixtures as FX
+    h = H.hourly_weighted(FX.posts(spark, SF_SMALL)).where(F.col("ticker") == "1-URGENT")
+    plan = _plan(h)
+    assert "EqualTo(o_orderpriority,1-URGENT)" in plan
+    # a filter above the per-ticker windows and the EMA scan is pushed below them too
+    ind = I.technical_indicators(FX.bars(spark, SF_SMALL)).where(F.col("ticker") == "2-HIGH")
+    assert "EqualTo(o_orderpriority,2-HIGH)" in _plan(ind)
+
+
+def test_scan_reads_only_needed_columns(spark):
+    from conftest import SF_SMALL
+    from marketframe.sources import fixtures as FX
+    plan = _plan(H.hourly_weighted(FX.posts(spark, SF_SMALL)))
+    assert "l_comment" not in plan and "l_receiptdate" not in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderpriority:string>" in plan or \
+        "o_totalprice" not in plan
