@@ -81,6 +81,26 @@ def clean_or_null(c, decode_html: bool = True) -> Column:
     return F.when(_c(c).isNotNull() & passes_quality(t), t)
 
 
+def clean_keep(df: DataFrame, text: str = "text", out: str = "cleaned_text", keep=None,
+               decode_html: bool = True) -> DataFrame:
+    """F1-F8 + P6 as a flatMap: rows whose cleaned text passes (and ``keep``, if given) are kept
+    with the text in ``out``; the others are dropped.
+
+    The cleaned value goes through ``explode`` of a 0/1-element array. A filter on a plain
+    derived column would be pushed by Catalyst below the projection (and below a repartition
+    into the scan), evaluating the whole regex chain twice; a generator is a barrier, so the
+    chain runs once, after the rows are spread.
+    """
+    t = clean_text(text, decode_html)
+    if keep is not None:
+        t = F.when(_c(keep), t)
+    d = df.withColumn("_clean", t)  # computed once; the checks below only reference it
+    c = F.col("_clean")
+    ok = _c(text).isNotNull() & c.isNotNull() & passes_quality(c)
+    d = d.withColumn(out, F.explode(F.filter(F.array(F.when(ok, c)), lambda x: x.isNotNull())))
+    return d.drop("_clean")
+
+
 def not_blank(c) -> Column:
     """P5: text present and not only spaces."""
     return F.length(F.trim(F.coalesce(_c(c), F.lit("")))) > 0
@@ -119,7 +139,9 @@ def is_english(c, ratio: float = 0.3, few: int = 5) -> Column:
 
 
 def with_english(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_tokens, n_hits and is_english, tokenising each text once."""
-    n, hits = english_stats(text)
-    d = df.withColumns({"n_tokens": n.cast("long"), "n_hits": hits.cast("long")})
-    return d.withColumn("is_english", english_rule(text, "n_tokens", "n_hits"))
+    """Adds n_tokens, n_hits and is_english, tokenising each text once (the token array is a
+    column of its own, so it is not re-derived for the count and the hits)."""
+    d = df.withColumn("_toks", ascii_tokens(text))
+    d = d.withColumns({"n_tokens": F.size("_toks").cast("long"),
+                       "n_hits": keyword_hits(F.col("_toks"), ENGLISH_KEYWORDS).cast("long")})
+    return d.drop("_toks").withColumn("is_english", english_rule(text, "n_tokens", "n_hits"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from marketframe.functions.numeric import rnd
 from marketframe.operators import hourly as H
-from marketframe.functions.text import clean_or_null, html_decode, with_english
+from marketframe.functions.text import clean_keep, clean_or_null, html_decode, with_english
 from marketframe.functions.timefn import floor_hour, roll_weekend
 from marketframe.operators import fusion as FU
 from marketframe.operators import indicators as I
@@ -249,9 +249,12 @@ def q_english_filter(spark, sf):
     return _english(spark, sf).select("post_id", "ticker", "is_english", "n_tokens", "n_hits")
 
 
+def _kept(spark, sf):
+    return clean_keep(_english(spark, sf), keep="is_english", decode_html=False)
+
+
 def q_clean_text(spark, sf):
-    c = _cleaned(spark, sf)
-    return c.where(F.col("cleaned_text").isNotNull()).select("post_id", "ticker", "cleaned_text")
+    return _kept(spark, sf).select("post_id", "ticker", "cleaned_text")
 
 
 def q_clean_summary(spark, sf):
@@ -260,8 +263,7 @@ def q_clean_summary(spark, sf):
 
 
 def q_sentiment_lexicon(spark, sf):
-    c = _cleaned(spark, sf).where(F.col("cleaned_text").isNotNull())
-    s = SC.score_text(c, "cleaned_text")
+    s = SC.score_text(_kept(spark, sf), "cleaned_text")
     return rounded(s.select("post_id", "p_negative", "p_neutral", "p_positive", "sentiment_score"))
 
 
