@@ -25,7 +25,7 @@ from marketframe.operators import samples as S
 from marketframe.operators import scoring as SC
 from marketframe.operators import serving as SV
 from marketframe.sources import ingest as IN
-from marketframe.session import ensure_session_defaults
+from marketframe.session import cut_lineage, ensure_session_defaults
 from marketframe.sources import fixtures as FX
 
 
@@ -66,7 +66,10 @@ def _bars(spark, sf):
 
 
 def _price_rows(spark, sf):
-    return S.price_rows(_bars(spark, sf))
+    """The post-warm-up feature rows (bar-sized) feed several branches (keys, split, weights,
+    sequences); a reliable checkpoint cuts the ~15-window lineage once instead of recomputing
+    it per branch."""
+    return cut_lineage(S.price_rows(_bars(spark, sf)))
 
 
 def _price_keys(spark, sf):
@@ -170,7 +173,7 @@ def q_price_sequences(spark, sf):
 
 
 def _text_windows(spark, sf):
-    hourly = H.hourly_weighted(FX.posts(spark, sf))
+    hourly = cut_lineage(H.hourly_weighted(FX.posts(spark, sf)))  # grid, bounds, coverage
     gd = H.hourly_deltas(H.fill_hour_grid(hourly))
     keys = S.text_sample_keys(_bars(spark, sf), S.text_first_hours(hourly))
     return S.text_windows(keys, gd)
@@ -197,7 +200,7 @@ def q_class_balance(spark, sf):
 
 
 def _price_split_weights(spark, sf):
-    rows = _price_rows(spark, sf)
+    rows = _price_rows(spark, sf)  # checkpointed: used by the split and by the weights
     split = S.chrono_split(S.price_sample_keys(rows))
     return rows, S.train_row_weights(rows, split)
 
@@ -346,7 +349,6 @@ def q_fusion_predictions(spark, sf):
     training table is checkpointed once so the ML passes do not recompute the lineage."""
     from marketframe.operators import classifier as C
     from marketframe.schemas import PRICE_FEATURES, TEXT_DELTA_FEATURES, TEXT_FEATURES
-    from marketframe.session import cut_lineage
     rows, wr = _price_split_weights(spark, sf)
     scaled = S.apply_scaler(rows, S.scaler_fit(wr))
     n_p = len(PRICE_FEATURES)
@@ -354,7 +356,7 @@ def q_fusion_predictions(spark, sf):
         Window.partitionBy("ticker").orderBy("date"))), PRICE_FEATURES, 60, "p")
     pp = pp.where((F.col("_n") >= 60) & F.col("next_close").isNotNull())
     pp = pp.select("ticker", "date", "label", *C.pooled_names(n_p, "p"))
-    hourly = H.hourly_weighted(FX.posts(spark, sf))
+    hourly = cut_lineage(H.hourly_weighted(FX.posts(spark, sf)))
     gd = H.hourly_deltas(H.fill_hour_grid(hourly))
     keys = S.text_sample_keys(_bars(spark, sf), S.text_first_hours(hourly))
     tfeats = TEXT_FEATURES + TEXT_DELTA_FEATURES
