@@ -29,15 +29,24 @@ def block_size(spans) -> int:
 
 
 def ema_columns(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "ticker",
-                order: str = "date") -> DataFrame:
+                order: str = "date", keep_numbering: bool = False) -> DataFrame:
     """Add one EMA column per ``specs[name] = (value_column, span)``; values must be non-null
-    (fill first, W15). All specs share one numbering, one block window and one carry pass."""
+    (fill first, W15). All specs share one numbering, one block window and one carry pass.
+
+    Shuffles: one, for the per-key numbering. The block window (key, block), the block-end
+    filter, the per-key carry aggregation and the join back on the key all reuse that hash
+    partitioning on ``key``. ``keep_numbering`` leaves ``_rn``/``_last`` for a chained pass.
+    """
     B = block_size([s for _, s in specs.values()])
     w_all = Window.partitionBy(key).orderBy(order)
-    d = df.withColumn("_rn", F.row_number().over(w_all) - 1)
-    d = d.withColumns({"_blk": F.floor(F.col("_rn") / B), "_j": F.col("_rn") % B})
+    d = df
+    if "_rn" not in d.columns:
+        d = d.withColumns({"_rn": F.row_number().over(w_all) - 1,
+                           "_last": F.lead(F.lit(1)).over(w_all).isNull()})
+    d = d.withColumns({"_blk": F.floor(F.col("_rn") / B).cast("int"), "_j": F.col("_rn") % B})
     wb = (Window.partitionBy(key, "_blk").orderBy("_j")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    names = list(specs)
     local = {}
     for name, (src, span) in specs.items():
         a = 2.0 / (span + 1.0)
@@ -47,43 +56,31 @@ def ema_columns(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "
                                  * F.pow(F.lit(q), F.col("_j")))
     d = d.withColumns(local)
 
-    blocks = d.groupBy(key, "_blk").agg(
-        F.count(F.lit(1)).alias("_m"),
-        *[F.max_by(F.col(f"_loc_{n}"), F.col("_j")).alias(f"_b_{n}") for n in specs],
-    )
+    # last row of each block: its zero-carry value b and the block's row count m
+    ends = d.where(F.col("_last") | (F.col("_j") == B - 1)).select(
+        key, "_blk", (F.col("_j") + 1).alias("_m"), *[F.col(f"_loc_{n}") for n in names])
     carry_aggs = []
     for name, (_, span) in specs.items():
         q = 1.0 - 2.0 / (span + 1.0)
-        arr = F.sort_array(F.collect_list(F.struct("_blk", "_m", F.col(f"_b_{name}").alias("b"))))
-        # per block, the carry that flows into it (0 for the first block)
+        arr = F.sort_array(F.collect_list(F.struct("_blk", "_m", F.col(f"_loc_{name}").alias("b"))))
+        # carry flowing into block k (0 for the first block), as element k of an array
         step = F.aggregate(
             arr,
-            F.struct(F.lit(0.0).alias("c"),
-                     F.array().cast("array<struct<blk:bigint,c:double>>").alias("out")),
+            F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("out")),
             lambda acc, e: F.struct(
                 (e["b"] + F.pow(F.lit(q), e["_m"]) * acc["c"]).alias("c"),
-                F.concat(acc["out"], F.array(F.struct(e["_blk"].cast("bigint").alias("blk"),
-                                                      acc["c"].alias("c")))).alias("out")),
-        )
+                F.concat(acc["out"], F.array(acc["c"])).alias("out")))
         carry_aggs.append(step["out"].alias(f"_cs_{name}"))
-    carries = blocks.groupBy(key).agg(*carry_aggs)
-    # one row per (key, block) with every spec's carry
-    names = list(specs)
-    first = names[0]
-    zipped = carries.select(
-        key, F.explode(F.arrays_zip(*[F.col(f"_cs_{n}") for n in names])).alias("_z"))
-    carry_rows = zipped.select(
-        key, F.col(f"_z._cs_{first}.blk").alias("_blk"),
-        *[F.col(f"_z._cs_{n}.c").alias(f"_c_{n}") for n in names])
-    out = d.join(carry_rows, [key, "_blk"], "left")
+    carries = ends.groupBy(key).agg(*carry_aggs)
+    out = d.join(carries, key)
     res = {}
     for name, (_, span) in specs.items():
         q = 1.0 - 2.0 / (span + 1.0)
-        res[name] = F.col(f"_loc_{name}") + F.coalesce(F.col(f"_c_{name}"), F.lit(0.0)) * F.pow(
-            F.lit(q), F.col("_j") + 1)
-    out = out.withColumns(res)
-    return out.drop("_rn", "_blk", "_j", *[f"_loc_{n}" for n in names],
-                    *[f"_c_{n}" for n in names])
+        carry = F.element_at(F.col(f"_cs_{name}"), F.col("_blk") + 1)
+        res[name] = F.col(f"_loc_{name}") + carry * F.pow(F.lit(q), F.col("_j") + 1)
+    out = out.withColumns(res).drop("_blk", "_j", *[f"_loc_{n}" for n in names],
+                                    *[f"_cs_{n}" for n in names])
+    return out if keep_numbering else out.drop("_rn", "_last")
 
 
 def ema(df: DataFrame, value: str, span: float, out: str | None = None, key: str = "ticker",

@@ -88,7 +88,7 @@ def macd(df, fast: int = 12, slow: int = 26, signal: int = 9, close="close", tic
     ``extra_spans`` adds ``EMA_<span>`` columns in the same scan pass."""
     specs = {f"_ema_{fast}": (close, fast), f"_ema_{slow}": (close, slow)}
     specs.update({f"EMA_{s}": (close, s) for s in extra_spans})
-    d = ema_columns(df, specs, ticker, date)
+    d = ema_columns(df, specs, ticker, date, keep_numbering=True)
     d = d.withColumn("MACD", F.col(f"_ema_{fast}") - F.col(f"_ema_{slow}"))
     d = ema_columns(d, {"MACD_signal": ("MACD", signal)}, ticker, date)
     return d.withColumn("MACD_hist", F.col("MACD") - F.col("MACD_signal")).drop(

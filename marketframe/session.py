@@ -61,13 +61,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session leaves it unset (local tests) a fresh folder is created and
     registered; on a cluster the configured shared folder is always used.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
         return configured
     local = tempfile.mkdtemp(prefix="mf-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # core conf may be read-only at runtime; the context already has it
+        pass
     return local
 
 
