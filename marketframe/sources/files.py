@@ -52,11 +52,13 @@ def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest_posts(spark: SparkSession, posts_csv: str, mapping_csv: str, tickers=None,
                  multi: str = "last") -> DataFrame:
-    """S1 + S2 + J1 + P2 + S8: the raw post table, one row per post id (first in file order)."""
-    posts = read_posts_csv(spark, posts_csv)
+    """S1 + S2 + J1 + P2 + S8: the raw post table, one row per post id (first in file order).
+
+    Dedup runs before the mapping join (the ticker depends only on the id, so the result is the
+    same): copies of a hot id collapse in the partial aggregate instead of skewing the join."""
+    posts = dedup_first(read_posts_csv(spark, posts_csv), "post_id", ["ingest_order"])
     mapping = read_mapping_csv(spark, mapping_csv)
-    joined = attach_ticker(posts, mapping, tickers=tickers, multi=multi)
-    return dedup_first(joined, "post_id", ["ingest_order"]).drop("ingest_order")
+    return attach_ticker(posts.drop("ingest_order"), mapping, tickers=tickers, multi=multi)
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
