@@ -369,18 +369,18 @@ def q_fusion_predictions(spark, sf):
     return C.predict_direction(model, sp.where(F.col("split") == "test"))
 
 
-def _momentum_predictor():
+def _momentum_predictor(idx, nf):
     """Stand-in model for X3: p(up) = sigmoid(mean over the window's last day of the scaled
-    return and momentum features). Real weights plug in the same way."""
-    import numpy as np
-    from marketframe.schemas import PRICE_FEATURES as PF
-    idx = [PF.index("return_1d"), PF.index("momentum_10d")]
-    nf = len(PF)
+    return and momentum features). Real weights plug in the same way. Everything the worker
+    needs is captured here, on the driver."""
+    def make():
+        import numpy as np
 
-    def predict(x):
-        last = x.reshape(len(x), -1, nf)[:, -1, :]
-        return 1.0 / (1.0 + np.exp(-last[:, idx].mean(axis=1)))
-    return predict
+        def predict(x):
+            last = x.reshape(len(x), -1, nf)[:, -1, :]
+            return 1.0 / (1.0 + np.exp(-last[:, idx].mean(axis=1)))
+        return predict
+    return make
 
 
 def q_sequence_inference(spark, sf):
@@ -389,8 +389,9 @@ def q_sequence_inference(spark, sf):
     rows, wr = _price_split_weights(spark, sf)
     seqs = S.price_sequences(S.apply_scaler(rows, S.scaler_fit(wr)))
     n = 60 * len(S.PRICE_FEATURES)
-    out = SC.score_sequences(seqs.select("ticker", "date", "label", "X"), _momentum_predictor,
-                             ["X"], [[n]])
+    from marketframe.schemas import PRICE_FEATURES as PF
+    model = _momentum_predictor([PF.index("return_1d"), PF.index("momentum_10d")], len(PF))
+    out = SC.score_sequences(seqs.select("ticker", "date", "label", "X"), model, ["X"], [[n]])
     return out.select("ticker", "date", "label", "probability")
 
 
