@@ -63,28 +63,39 @@ def ticker_accuracy(pred: DataFrame, prob: str = "probability", actual: str = "a
 
 
 def roc_auc(pred: DataFrame, score: str = "probability", actual: str = "actual",
-            buckets: int = 4096) -> DataFrame:
+            buckets: int = 4096, cells: int = 4096) -> DataFrame:
     """Exact ROC-AUC with ties counted 1/2: sum_s P(s) * (N(below s) + N(s)/2) / (P * N).
 
-    Scores are grouped (partial aggregation), clamped into ``buckets`` monotone buckets on
-    [0, 1] to split the running sum, prefix-summed per bucket (bucket-sized table) and within
-    each bucket. Any real score works; the buckets only balance the work.
+    The running count of negatives below each score is a hierarchical prefix sum over a fixed
+    two-level grid on [0, 1] (``buckets`` x ``cells``, 16.7M cells by default): per-score counts
+    (partial aggregation) -> per-cell totals -> prefix over the cells of a bucket (at most
+    ``cells`` rows per window) -> prefix over buckets (a ``buckets``-row table) -> running sum
+    among the distinct scores of one cell. Every window is bounded whatever the score
+    distribution; the grid only organises the sums, so the result is exact. Scores outside
+    [0, 1] are clamped into the edge cells (order is kept).
     """
     pos = F.col(actual).cast("long")
-    g = pred.groupBy(F.col(score).alias("s")).agg(F.sum(pos).alias("p"),
-                                                 F.sum(1 - pos).alias("n"))
-    g = g.withColumn("b", F.least(F.greatest(F.floor(F.col("s") * buckets), F.lit(0)),
-                                  F.lit(buckets - 1)))
-    bt = g.groupBy("b").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
+    g = pred.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(pos).alias("p"),
+                                                                 F.sum(1 - pos).alias("n"))
+    fine = buckets * cells
+    c = F.least(F.greatest(F.floor(F.col("s") * fine), F.lit(0)), F.lit(fine - 1)).cast("long")
+    g = g.withColumn("c", c).withColumn("b", (F.col("c") / cells).cast("long"))
+    cell = g.groupBy("b", "c").agg(F.sum("n").alias("cn"), F.sum("p").alias("cp"))
+    cell = cell.withColumn("n_before_cell", F.coalesce(F.sum("cn").over(
+        Window.partitionBy("b").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)))
+    bt = cell.groupBy("b").agg(F.sum("cn").alias("bn"), F.sum("cp").alias("bp"))
     bt = bt.withColumns({
         "n_before": F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)),
+            Window.unboundedPreceding, -1)), F.lit(0)),  # one row per bucket
         "tot_pos": F.sum("bp").over(Window.partitionBy()),
         "tot_neg": F.sum("bn").over(Window.partitionBy()),
     })
-    j = g.join(bt.select("b", "n_before", "tot_pos", "tot_neg"), "b")
-    below = F.col("n_before") + F.coalesce(F.sum("n").over(
-        Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    j = (g.join(cell.select("b", "c", "n_before_cell"), ["b", "c"])
+         .join(bt.select("b", "n_before", "tot_pos", "tot_neg"), "b"))
+    below = F.col("n_before") + F.col("n_before_cell") + F.coalesce(F.sum("n").over(
+        Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0))
     j = j.withColumn("contrib", F.col("p") * (below + F.col("n") / 2.0))
     return j.agg(safe_div(F.sum("contrib"), F.first("tot_pos") * F.first("tot_neg"))
                  .alias("roc_auc"),

@@ -18,18 +18,24 @@ def asof_lookup(points: DataFrame, series: DataFrame, ticker: str = "ticker",
                 payload=("close",)) -> DataFrame:
     """For every (ticker, query date) the series row on that date, else the closest earlier
     one (NULL when none). Union + ``last(ignoreNulls)`` over the ticker window: series rows sort
-    before points on equal dates, so an exact match wins."""
+    before points on equal dates, so an exact match wins.
+
+    The window only sees the distinct (ticker, date) keys of the points, so its size per ticker
+    is bounded by the calendar however many points share a date; the answers are joined back to
+    every point by an equi-join on (ticker, date)."""
     payload = list(payload)
     s = series.select(ticker, F.col(date).alias("_k"), F.lit(0).alias("_kind"),
                       F.struct(F.col(date).alias("used_date"), *payload).alias("_hit"))
-    p = points.select(ticker, F.col(point_date).alias("_k"), F.lit(1).alias("_kind"),
-                      F.lit(None).cast(s.schema["_hit"].dataType).alias("_hit"))
+    keys = points.select(ticker, F.col(point_date).alias("_k")).distinct()
+    p = keys.select(ticker, "_k", F.lit(1).alias("_kind"),
+                    F.lit(None).cast(s.schema["_hit"].dataType).alias("_hit"))
     w = (Window.partitionBy(ticker).orderBy("_k", "_kind")
          .rowsBetween(Window.unboundedPreceding, 0))
     u = s.unionByName(p).withColumn("_found", F.last("_hit", ignorenulls=True).over(w))
-    return u.where(F.col("_kind") == 1).select(
+    found = u.where(F.col("_kind") == 1).select(
         ticker, F.col("_k").alias(point_date), *[F.col(f"_found.{c}").alias(c)
                                                   for c in ["used_date"] + payload])
+    return points.join(found, [ticker, point_date], "left")
 
 
 def last_n(df: DataFrame, n: int = 30, ticker: str = "ticker", date: str = "date",
