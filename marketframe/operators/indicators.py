@@ -109,18 +109,47 @@ def bollinger(df, n: int = 20, k: float = 2.0, close="close", ticker="ticker", d
 
 def technical_indicators(bars: DataFrame, ticker: str = "ticker", date: str = "date",
                          extra: dict[str, Callable] | None = None) -> DataFrame:
-    """All 23 price features per bar (X6: ``extra`` maps a name to ``f(window) -> Column``)."""
-    kw = dict(ticker=ticker, date=date)
-    d = bars.withColumn("log_volume", F.log1p("volume"))
-    d = returns(d, **kw)
-    d = momentum(d, 10, **kw)
-    d = sma(d, (10, 20), **kw)
-    d = volatility(d, (10, 20), **kw)
-    d = rsi(d, 14, **kw)
-    d = bollinger(d, 20, 2.0, **kw)
-    d = macd(d, 12, 26, 9, extra_spans=(10, 20), **kw)
+    """All 23 price features per bar (X6: ``extra`` maps a name to ``f(window) -> Column``).
+
+    Same formulas as the single-indicator functions above, fused into three projections by
+    dependency level (window expressions with the same window spec share one Window operator
+    and one sort), then the EMA/MACD scan."""
+    w = _w(ticker, date)
+    c = F.col("close")
+    prev = F.lag(c).over(w)
+    delta = c - prev
+    lvl1 = {
+        "log_volume": F.log1p("volume"),
+        "return_1d": safe_div(c, prev) - 1,
+        "log_return_1d": finite_or_null(F.ln(safe_div(c, prev))),
+        "momentum_10d": c - F.lag(c, 10).over(w),
+        "SMA_10": rolling(F.avg, c, 10, w),
+        "SMA_20": rolling(F.avg, c, 20, w),
+        "BB_mid": rolling(F.avg, c, 20, w),
+        "_bb_std": rolling(F.stddev_samp, c, 20, w),
+        "_gain": F.when(delta > 0, delta).otherwise(F.lit(0.0)),
+        "_loss": F.when(delta < 0, -delta).otherwise(F.lit(0.0)),
+    }
+    d = bars.withColumns(lvl1)
+    r = F.col("return_1d")
+    mid, sd = F.col("BB_mid"), F.col("_bb_std")
+    d = d.withColumns({
+        "volatility_10": rolling(F.stddev_samp, r, 10, w),
+        "volatility_20": rolling(F.stddev_samp, r, 20, w),
+        "_ag": rolling(F.avg, F.col("_gain"), 14, w),
+        "_al": rolling(F.avg, F.col("_loss"), 14, w),
+        "BB_upper": mid + F.lit(2.0) * sd,
+        "BB_lower": mid - F.lit(2.0) * sd,
+    })
+    rsi_val = (F.when(F.col("_ag") == 0, F.lit(0.0))
+               .when(F.col("_al") == 0, F.lit(100.0))
+               .otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + safe_div(F.col("_ag"),
+                                                                              F.col("_al")))))
+    d = d.withColumns({"RSI_14": rsi_val,
+                       "BB_width": F.col("BB_upper") - F.col("BB_lower")}).drop(
+        "_bb_std", "_gain", "_loss", "_ag", "_al")
+    d = macd(d, 12, 26, 9, extra_spans=(10, 20), ticker=ticker, date=date)
     if extra:
-        w = _w(ticker, date)
         d = d.withColumns({name: fn(w) for name, fn in extra.items()})
     return d
 
