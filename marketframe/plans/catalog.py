@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from marketframe.functions.numeric import rnd
 from marketframe.operators import hourly as H
-from marketframe.functions.text import clean_keep, clean_or_null, html_decode, with_english
+from marketframe.functions.text import clean_keep, clean_or_null, html_decode_rows, with_english
 from marketframe.functions.timefn import floor_hour, roll_weekend
 from marketframe.operators import fusion as FU
 from marketframe.operators import indicators as I
@@ -276,8 +276,10 @@ def q_sentiment_buckets(spark, sf):
 
 def q_html_decode(spark, sf):
     """F1 (rows-only): entity decoding of texts carrying ``&amp;``."""
-    r = FX.raw_text(spark, sf).withColumn("text", F.concat("text", F.lit(" &amp; co")))
-    return r.select("post_id", html_decode("text").alias("decoded"))
+    r = FX.raw_text(spark, sf)
+    r = r.withColumn("text", F.when(F.col("post_id") % 2 == 0, F.concat("text", F.lit(" &amp; co")))
+                     .otherwise(F.col("text")))
+    return html_decode_rows(r, "text", "decoded").select("post_id", "decoded")
 
 
 # ----------------------------------------------------------------------------- metrics

@@ -284,6 +284,8 @@ def test_english_detector(spark, raw, expected):
 def test_html_decode(spark):
     df = spark.createDataFrame([("AT&amp;T &lt;3",), ("plain",)], "t string")
     assert [r[0] for r in df.select(TX.html_decode("t")).collect()] == ["AT&T <3", "plain"]
+    rows = {r.t: r.d for r in TX.html_decode_rows(df, "t", "d").collect()}
+    assert rows == {"AT&amp;T &lt;3": "AT&T <3", "plain": "plain"}
 
 
 def test_fill_gaps(spark):
