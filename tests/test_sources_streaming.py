@@ -151,3 +151,52 @@ def test_streaming_hourly_matches_batch(spark):
     from marketframe.plans.catalog import rounded
     diff = rounded(got.select(*batch.columns), 9).exceptAll(rounded(batch, 9))
     assert diff.count() == 0
+
+
+def test_small_helpers(spark):
+    from marketframe.operators import fusion as FU
+    from marketframe.operators import metrics as M
+    from marketframe.operators.prices import null_count
+    from marketframe.sources.ingest import append_new
+    stored = spark.createDataFrame([(1, "a")], "post_id long, text string")
+    new = spark.createDataFrame([(1, "dup"), (2, "b"), (2, "b2")], "post_id long, text string")
+    added = append_new(stored, new, "post_id", ["text"]).collect()
+    assert [(r.post_id, r.text) for r in added] == [(2, "b")]          # S8 append
+    tr = spark.createDataFrame([(1, "train")], "id long, split string")
+    te = spark.createDataFrame([(2, "test", 0.5)], "id long, split string, extra double")
+    assert FU.union_splits(tr, te).count() == 2                          # U2
+    al = spark.createDataFrame([(1, 1), (0, 1), (0, 0)], "label_price int, label_text int")
+    a = FU.agreement(al).collect()[0]
+    assert (a.aligned, a.agreeing) == (3, 2)                             # P7 report
+    arr = spark.createDataFrame([([1.0], None)], "a array<double>, b array<double>")
+    assert arr.select(FU.concat_or_zeros("a", "b", 2)).first()[0] == [1.0, 0.0, 0.0]  # F25
+    nn = spark.createDataFrame([(None, 1.0), (None, None)], "open double, close double")
+    assert null_count(nn, ["open", "close"]).first().nulls == 3          # A8
+    pr = spark.createDataFrame([(0.9, 1), (0.6, 0)], "probability double, actual int")
+    assert M.accuracy(pr).first().accuracy == 0.5                        # A13
+
+
+def test_scaler_sink_and_pruned_read(spark):
+    d = _tmp()
+    stats = spark.createDataFrame([("close", 1.0, 2.0, 10)], "feature string, mean double, "
+                                  "scale double, n long")
+    FS.write_scaler(stats, os.path.join(d, "scaler"))                    # S10
+    back = FS.read_table(spark, os.path.join(d, "scaler"), ["feature", "scale"])   # S5
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<feature:string,scale:double>" in plan
+    assert back.first().scale == 2.0
+
+
+def test_mlp_classifier(spark):
+    from marketframe.operators import classifier as C
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 2))
+    y = (x[:, 0] - x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(days=i), "A", int(l),
+                                 float(a), float(b)) for i, ((a, b), l) in enumerate(zip(x, y))],
+                               "date date, ticker string, label int, f0 double, f1 double")
+    model = C.fit_direction_model(df, ["f0", "f1"], kind="mlp", max_iter=50)
+    pred = C.predict_direction(model, df)
+    assert pred.count() == 120
+    p = pred.select(F.min("probability"), F.max("probability")).first()
+    assert 0.0 <= p[0] <= p[1] <= 1.0
