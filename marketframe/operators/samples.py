@@ -135,14 +135,20 @@ def apply_scaler(rows: DataFrame, stats: DataFrame, features=PRICE_FEATURES,
 
 # ------------------------------------------------------------------------------- text side
 def text_sample_keys(bars: DataFrame, first_hours: DataFrame, prediction_hour: int = 16,
-                     coverage_hours: int = 72, ticker: str = "ticker",
-                     date: str = "date") -> DataFrame:
+                     coverage_hours: int = 72, ticker: str = "ticker", date: str = "date",
+                     strict_coverage: bool = False, hours: int = 72,
+                     lag_hours: int = 24) -> DataFrame:
     """W10 on the raw bars + P10: a (ticker, date) is a text sample when the next close exists and
-    ``date prediction_hour:00 - coverage_hours`` is not before the ticker's first hour."""
+    ``date prediction_hour:00 - coverage_hours`` is not before the ticker's first hour.
+
+    The reference checks 72 h back although its window starts 95 h back, so early windows can
+    be zero-padded; ``strict_coverage=True`` requires the whole window to start at or after the
+    first hour instead."""
     lab = direction_label(bars.select(ticker, date, "close"), "close", ticker, date)
     t = at_hour(F.col(date), prediction_hour)
+    back = (lag_hours + hours - 1) if strict_coverage else coverage_hours
     return (lab.join(first_hours, ticker)
-            .where(add_hours(t, -coverage_hours) >= F.col("first_hour"))
+            .where(add_hours(t, -back) >= F.col("first_hour"))
             .select(ticker, date, "label", t.alias("prediction_time")))
 
 

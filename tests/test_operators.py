@@ -174,6 +174,10 @@ def test_text_keys_coverage_rule(spark):
     keys = S.text_sample_keys(bars, first).orderBy("date").collect()
     # D 16:00 - 72h >= 2020-01-02 00:00  <=>  D >= 2020-01-05; the last bar (01-06) has no label
     assert [k.date.day for k in keys] == [5]
+    bars8 = _bars(spark, {"A": [1, 2, 3, 4, 5, 6, 7, 8]})
+    strict = S.text_sample_keys(bars8, first, strict_coverage=True).orderBy("date").collect()
+    # D 16:00 - 95h >= 2020-01-02 00:00  <=>  D >= 2020-01-06
+    assert [k.date.day for k in strict] == [6, 7]
 
 
 def test_dedup_keeps_first_and_mapping_last_wins(spark):
