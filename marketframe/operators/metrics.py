@@ -85,11 +85,13 @@ def roc_auc(pred: DataFrame, score: str = "probability", actual: str = "actual",
         Window.partitionBy("b").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)))
     bt = cell.groupBy("b").agg(F.sum("cn").alias("bn"), F.sum("cp").alias("bp"))
+    wb = Window.orderBy("b")  # one row per bucket
+    whole = wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bt = bt.withColumns({
-        "n_before": F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)),  # one row per bucket
-        "tot_pos": F.sum("bp").over(Window.partitionBy()),
-        "tot_neg": F.sum("bn").over(Window.partitionBy()),
+        "n_before": F.coalesce(F.sum("bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                               F.lit(0)),
+        "tot_pos": F.sum("bp").over(whole),
+        "tot_neg": F.sum("bn").over(whole),
     })
     j = (g.join(cell.select("b", "c", "n_before_cell"), ["b", "c"])
          .join(bt.select("b", "n_before", "tot_pos", "tot_neg"), "b"))

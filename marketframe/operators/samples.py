@@ -71,7 +71,8 @@ def chrono_split(samples: DataFrame, date: str = "date", tie: str = "ticker",
     per_date = per_date.withColumns({
         "_before": F.coalesce(F.sum("_nd").over(
             wd.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_total": F.sum("_nd").over(Window.partitionBy()),
+        "_total": F.sum("_nd").over(
+            wd.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     })
     d = samples.join(per_date, date)
     pos = F.col("_before") + F.row_number().over(Window.partitionBy(date).orderBy(tie))
