@@ -343,3 +343,21 @@ def test_no_single_partition_exchange_on_sample_sized_data(spark):
         plan = _plan(qs[name](spark, SF_SMALL))
         assert "SinglePartition" not in plan, name
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_grid_on_given_bounds(spark):
+    rows = [("A", dt.datetime(2024, 1, 8, 10), 0, 0, 0.1, 0.8, 0.1, 0.5)]
+    hourly = H.hourly_weighted(_posts(spark, rows))
+    bounds = spark.createDataFrame([("A", dt.datetime(2024, 1, 8, 8), dt.datetime(2024, 1, 8, 12))],
+                                   "ticker string, first_hour timestamp_ntz, last_hour timestamp_ntz")
+    g = H.fill_hour_grid(hourly, bounds).orderBy("hour").collect()      # J7
+    assert [r.hour.hour for r in g] == [8, 9, 10, 11, 12]
+    assert [r.tweet_count for r in g] == [0, 0, 1, 0, 0]
+
+
+def test_extra_indicator_columns(spark):
+    df = _bars(spark, {"A": list(range(1, 40))})
+    out = I.technical_indicators(df, extra={
+        "close_ma3": lambda w: F.avg("close").over(w.rowsBetween(-2, 0))})   # X6
+    r = out.where(F.col("date") == dt.date(2020, 1, 5)).first()
+    assert r.close_ma3 == 4.0 and "MACD_hist" in out.columns
