@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,4 +101,4 @@ def pandas_probs_from_logits(logits: np.ndarray) -> np.ndarray:
 
 
 __all__ = ["score_text", "score_sequences", "lexicon_scores", "check_label_order",
-           "pandas_probs_from_logits", "pd"]
+           "pandas_probs_from_logits"]
