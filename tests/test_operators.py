@@ -361,3 +361,13 @@ def test_extra_indicator_columns(spark):
         "close_ma3": lambda w: F.avg("close").over(w.rowsBetween(-2, 0))})   # X6
     r = out.where(F.col("date") == dt.date(2020, 1, 5)).first()
     assert r.close_ma3 == 4.0 and "MACD_hist" in out.columns
+
+
+def test_spread_only_when_files_are_fewer_than_cores(spark):
+    from conftest import SF_SMALL
+    from marketframe.session import spread
+    one_file = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    par = spark.sparkContext.defaultParallelism
+    assert spread(one_file).rdd.getNumPartitions() == par          # 1 file < cores: spread
+    not_a_scan = spark.range(10)
+    assert spread(not_a_scan) is not_a_scan                         # no input files: unchanged
