@@ -11,9 +11,14 @@ def _c(c) -> Column:
 
 
 def epoch_to_ts(c) -> Column:
-    """Unix epoch seconds -> timestamp_ntz, the UTC wall clock (session zone pinned to UTC;
-    the reference used the machine's zone)."""
-    return F.timestamp_seconds(_c(c)).cast("timestamp_ntz")
+    """Unix epoch seconds -> timestamp_ntz holding the UTC wall clock, independent of the
+    session zone (the reference used the machine's zone). Whole days plus the remaining seconds
+    are added to 1970-01-01 as intervals."""
+    x = _c(c).cast("long")
+    days = F.floor(x / 86400)
+    secs = (x - days * 86400).cast("int")
+    return (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+            + F.make_dt_interval(days=days.cast("int"), secs=secs))
 
 
 def day_start(c) -> Column:

@@ -371,3 +371,31 @@ def test_spread_only_when_files_are_fewer_than_cores(spark):
     assert spread(one_file).rdd.getNumPartitions() == par          # 1 file < cores: spread
     not_a_scan = spark.range(10)
     assert spread(not_a_scan) is not_a_scan                         # no input files: unchanged
+
+
+def test_date_helpers_and_default_range(spark):
+    from marketframe.functions.timefn import epoch_to_ts, format_date, parse_date
+    from marketframe.operators.prices import clean_window, post_bounds
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")   # must not matter
+    try:
+        df = spark.createDataFrame([(1420070457, "2020-01-02"), (-1, "bad")],
+                                   "e long, s string")
+        r = df.select(epoch_to_ts("e").alias("ts"), parse_date("s").alias("d")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert r[0].ts == dt.datetime(2015, 1, 1, 0, 0, 57)
+    assert r[1].ts == dt.datetime(1969, 12, 31, 23, 59, 59)
+    assert r[0].d == dt.date(2020, 1, 2) and r[1].d is None
+    f = spark.createDataFrame([(dt.date(2020, 1, 2),)], "d date").select(format_date("d")).first()
+    assert f[0] == "2020-01-02"
+    # A3: bounds from posts; the default range applies when a ticker's bounds are missing
+    posts = spark.createDataFrame([("A", dt.datetime(2020, 5, 1, 10))],
+                                  "ticker string, created_at timestamp_ntz")
+    cw = clean_window(post_bounds(posts)).first()
+    assert cw.clean_start == dt.datetime(2020, 2, 1, 10) and cw.clean_end == dt.datetime(2020, 5, 1, 10)
+    empty = spark.createDataFrame([("A", None, None, None, None)],
+                                  "ticker string, first_post timestamp_ntz, last_post timestamp_ntz, "
+                                  "global_first timestamp_ntz, global_last timestamp_ntz")
+    d = clean_window(empty).first()
+    assert (d.clean_start, d.clean_end) == (dt.datetime(2015, 1, 1), dt.datetime(2020, 12, 31))
