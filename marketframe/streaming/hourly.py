@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.timefn import roll_weekend
-from marketframe.session import checkpoint_dir
+from marketframe.session import checkpoint_dir, ensure_session_defaults
 
 
 def hourly_sentiment_stream(posts: DataFrame, ts: str = "created_at",
                             delay: str = "3 days") -> DataFrame:
     """Streaming A4 + A5: same columns and formulas as the batch ``hourly_weighted``."""
+    ensure_session_defaults(posts.sparkSession)  # UTC: wall-clock hours = epoch-aligned windows
     eng = F.coalesce(F.col("likes_count"), F.lit(0)) + F.coalesce(F.col("retweet_count"), F.lit(0))
     base = posts.select(
         "ticker", roll_weekend(ts).cast("timestamp").alias("event_time"), eng.cast("double").alias("_eng"),
