@@ -127,11 +127,19 @@ def scale_long(rows: DataFrame, stats: DataFrame, features=PRICE_FEATURES,
 def apply_scaler(rows: DataFrame, stats: DataFrame, features=PRICE_FEATURES,
                  ticker: str = "ticker", date: str = "date") -> DataFrame:
     """scale the day rows with train parameters (before W11, which is equivalent to scaling
-    the sequences element-wise), back in wide form with the other row columns."""
-    long = scale_long(rows, stats, features, ticker, date)
-    wide = long.groupBy(ticker, date).pivot("feature", list(features)).agg(F.first("value"))
-    rest = rows.drop(*features)
-    return rest.join(wide, [ticker, date]).select(*rows.columns)
+    the sequences element-wise) as one projection.
+
+    The fitted parameters are one (mean, scale) pair per feature -- a table whose size is the
+    feature count, not the data -- so, as Spark ML's ``StandardScalerModel`` does, they are
+    brought to the driver (size checked) and applied as literals: no shuffle of the rows."""
+    features = list(features)
+    params = stats.select("feature", "mean", "scale").limit(len(features) + 1).collect()
+    if len(params) != len(features) or {p.feature for p in params} != set(features):
+        raise ValueError(f"scaler parameters do not match the features: {len(params)} rows")
+    by = {p.feature: p for p in params}
+    return rows.withColumns({
+        f: (F.col(f).cast("double") - F.lit(float(by[f].mean))) / F.lit(float(by[f].scale))
+        for f in features})
 
 
 # ------------------------------------------------------------------------------- text side

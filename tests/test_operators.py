@@ -399,3 +399,15 @@ def test_date_helpers_and_default_range(spark):
                                   "global_first timestamp_ntz, global_last timestamp_ntz")
     d = clean_window(empty).first()
     assert (d.clean_start, d.clean_end) == (dt.datetime(2015, 1, 1), dt.datetime(2020, 12, 31))
+
+
+def test_apply_scaler_matches_long_form(spark):
+    rows = spark.createDataFrame([("A", dt.date(2020, 1, i + 1), float(i), float(i * i))
+                                  for i in range(6)], "ticker string, date date, f1 double, f2 double")
+    stats = spark.createDataFrame([("f1", 2.0, 4.0, 6), ("f2", 1.0, 0.5, 6)],
+                                  "feature string, mean double, scale double, n long")
+    wide = {r.date.day: r for r in S.apply_scaler(rows, stats, ["f1", "f2"]).collect()}
+    for r in S.scale_long(rows, stats, ["f1", "f2"]).collect():
+        assert math.isclose(getattr(wide[r.date.day], r.feature), r.value, abs_tol=1e-15)
+    with pytest.raises(ValueError):
+        S.apply_scaler(rows, stats.where(F.col("feature") == "f1"), ["f1", "f2"])
