@@ -84,12 +84,20 @@ def read_table(spark: SparkSession, path: str, columns=None) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def _rebalanced(df: DataFrame, cols) -> DataFrame:
+    """Before a partitioned write: the REBALANCE hint lets AQE split a hot partition value
+    (a ticker with a third of the rows) over several tasks and merge small ones, so the write
+    neither funnels a hot key through one task nor leaves tasks x values small files."""
+    return df.hint("rebalance", *cols)
+
+
 def write_table(df: DataFrame, path: str, partition_by=None) -> None:
     """Overwrite the whole table."""
-    w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
-    w.parquet(path)
+        cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+        _rebalanced(df, cols).write.mode("overwrite").partitionBy(*cols).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def replace_tickers(df: DataFrame, path: str, ticker: str = "ticker") -> None:
@@ -98,14 +106,14 @@ def replace_tickers(df: DataFrame, path: str, ticker: str = "ticker") -> None:
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        df.write.mode("overwrite").partitionBy(ticker).parquet(path)
+        _rebalanced(df, [ticker]).write.mode("overwrite").partitionBy(ticker).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
     """Sample archive as Parquet partitioned by split; dates stay dates."""
-    samples.write.mode("overwrite").partitionBy("split").parquet(path)
+    _rebalanced(samples, ["split"]).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

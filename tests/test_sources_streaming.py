@@ -228,3 +228,9 @@ def test_streaming_is_incremental_across_runs(spark):
     from marketframe.plans.catalog import rounded
     assert got.count() == exp.count()
     assert rounded(got.select(*exp.columns), 9).exceptAll(rounded(exp, 9)).count() == 0
+
+
+def test_partitioned_write_is_rebalanced(spark):
+    b = FX.bars(spark, SF_SMALL)
+    plan = FS._rebalanced(b, ["ticker"])._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
