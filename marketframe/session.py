@@ -87,12 +87,15 @@ def cut_lineage(df):
 
 def spread(df):
     """Spread CPU-heavy per-row work over the cluster's cores when the scan yields fewer input
-    files than cores (small or single-row-group files cannot be split further). With many
-    input files the scan splits already provide the parallelism and nothing is added."""
+    files and fewer splits than cores (small or single-row-group files cannot be split
+    further). With many files, or large files with many row groups, the scan splits already
+    provide the parallelism and no shuffle is added."""
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
     try:
         files = len(df.inputFiles())
     except Exception:  # not a file scan
         return df
-    return df.repartition(par) if 0 < files < par else df
+    if not 0 < files < par:
+        return df
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
