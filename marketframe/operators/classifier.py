@@ -74,7 +74,8 @@ def pooled_names(n_features: int, prefix: str) -> list[str]:
 
 
 def fit_direction_model(train: DataFrame, feature_cols, label: str = "label",
-                        kind: str = "logistic", max_iter: int = 100, seed: int = 42):
+                        kind: str = "logistic", max_iter: int = 100, seed: int = 42,
+                        reg: float = 0.0):
     """Assemble, standardise (train statistics only) and fit the classifier."""
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="_raw",
                                 handleInvalid="keep")
@@ -84,7 +85,8 @@ def fit_direction_model(train: DataFrame, feature_cols, label: str = "label",
                                              labelCol=label, featuresCol="features",
                                              maxIter=max_iter, seed=seed)
     else:
-        clf = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter)
+        clf = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter,
+                                 regParam=reg)
     return Pipeline(stages=[assembler, scaler, clf]).fit(train.withColumn(
         label, F.col(label).cast("double")))
 
@@ -96,3 +98,24 @@ def predict_direction(model, df: DataFrame, label: str = "label",
     p = vector_to_array("probability")[1]
     return out.select("date", "ticker", F.col(label).cast("int").alias("actual"),
                       (p > threshold).cast("int").alias("predicted"), p.alias("probability"))
+
+
+def select_direction_model(train: DataFrame, feature_cols, candidates=(("logistic", 0.0),
+                                                                      ("logistic", 0.01),
+                                                                      ("mlp", 0.0)),
+                           tail_frac: float = 0.1, label: str = "label", pos: str = "pos"):
+    """Model choice without looking at the test set (the reference picks its best epoch on the
+    test split): the chronologically last ``tail_frac`` of the train rows (by ``pos`` from
+    ``chrono_split``) validates each candidate fitted on the rest; the winner is refitted on
+    the whole train split. Returns (model, validation accuracies)."""
+    n = train.count()
+    cut = int(n * (1.0 - tail_frac))
+    head, tail = train.where(F.col(pos) <= cut), train.where(F.col(pos) > cut)
+    scores = {}
+    for kind, reg in candidates:
+        m = fit_direction_model(head, feature_cols, label, kind=kind, reg=reg)
+        pred = predict_direction(m, tail, label)
+        acc = pred.agg(F.avg((F.col("predicted") == F.col("actual")).cast("double"))).first()[0]
+        scores[(kind, reg)] = acc if acc is not None else -1.0
+    best_kind, best_reg = max(scores, key=scores.get)
+    return fit_direction_model(train, feature_cols, label, kind=best_kind, reg=best_reg), scores

@@ -90,9 +90,10 @@ def text_sample_stage(hourly: DataFrame, raw_bars: DataFrame, out: str) -> dict[
 
 
 def fusion_stage(price_samples: DataFrame, text_samples: DataFrame, out: str,
-                 kind: str = "logistic") -> dict[str, DataFrame]:
+                 kind: str = "select") -> dict[str, DataFrame]:
     """Align both sample sets (union of their splits), keep agreeing labels, re-split, pool,
-    fit, predict the test rows, evaluate and export the predictions."""
+    fit (``kind='select'`` chooses the model on a tail slice of train, never on test),
+    predict the test rows, evaluate and export the predictions."""
     spark = price_samples.sparkSession
     p = price_samples.drop("split")
     t = text_samples.drop("split")
@@ -103,7 +104,11 @@ def fusion_stage(price_samples: DataFrame, text_samples: DataFrame, out: str,
     sp = S.chrono_split(al.select("date", "ticker", "label", *feats))
     FS.write_table(sp, _p(out, "fusion_features"), "split")
     sp = spark.read.parquet(_p(out, "fusion_features"))
-    model = C.fit_direction_model(sp.where(F.col("split") == "train"), feats, kind=kind)
+    train = sp.where(F.col("split") == "train")
+    if kind == "select":
+        model, _ = C.select_direction_model(train, feats)
+    else:
+        model = C.fit_direction_model(train, feats, kind=kind)
     pred = C.predict_direction(model, sp.where(F.col("split") == "test"))
     FS.write_predictions_csv(pred, _p(out, "predictions_csv"))
     pred = (spark.read.option("header", True).schema(pred.schema)

@@ -234,3 +234,20 @@ def test_partitioned_write_is_rebalanced(spark):
     b = FX.bars(spark, SF_SMALL)
     plan = FS._rebalanced(b, ["ticker"])._jdf.queryExecution().executedPlan().toString()
     assert "REBALANCE_PARTITIONS_BY_COL" in plan
+
+
+def test_model_selection_on_train_tail(spark):
+    from marketframe.operators import classifier as C
+    from marketframe.operators.samples import chrono_split
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, 2))
+    y = (x[:, 0] > 0).astype(int)
+    df = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(days=i), "A", int(l),
+                                 float(a), float(b)) for i, ((a, b), l) in enumerate(zip(x, y))],
+                               "date date, ticker string, label int, f0 double, f1 double")
+    train = chrono_split(df).where(F.col("split") == "train")
+    model, scores = C.select_direction_model(train, ["f0", "f1"],
+                                             candidates=(("logistic", 0.0), ("logistic", 1.0)))
+    assert set(scores) == {("logistic", 0.0), ("logistic", 1.0)}
+    assert max(scores.values()) > 0.8
+    assert C.predict_direction(model, df).count() == 160
