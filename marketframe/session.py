@@ -2,8 +2,8 @@
 
 Timestamps are kept as ``timestamp_ntz`` end to end and the session zone is pinned to UTC, so
 results do not depend on the machine's zone. AQE is on (runtime coalescing, skew-join splitting,
-broadcast switching from measured sizes). Dynamic partition overwrite makes the per-ticker sink
-replace only the tickers that were written.
+broadcast switching from measured sizes). Partition-overwrite semantics are set per write by the
+sinks (full overwrite vs. replace only the written tickers), not session-wide.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

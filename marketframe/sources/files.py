@@ -92,23 +92,19 @@ def _rebalanced(df: DataFrame, cols) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by=None) -> None:
-    """Overwrite the whole table."""
+    """Overwrite the whole table (static overwrite: partitions absent from ``df`` go too)."""
     if partition_by:
         cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-        _rebalanced(df, cols).write.mode("overwrite").partitionBy(*cols).parquet(path)
+        (_rebalanced(df, cols).write.mode("overwrite")
+         .option("partitionOverwriteMode", "static").partitionBy(*cols).parquet(path))
     else:
         df.write.mode("overwrite").parquet(path)
 
 
 def replace_tickers(df: DataFrame, path: str, ticker: str = "ticker") -> None:
     """Replace only the tickers present in ``df`` (dynamic partition overwrite)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        _rebalanced(df, [ticker]).write.mode("overwrite").partitionBy(ticker).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (_rebalanced(df, [ticker]).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(ticker).parquet(path))
 
 
 def write_samples(samples: DataFrame, path: str) -> None:

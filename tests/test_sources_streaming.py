@@ -63,6 +63,8 @@ def test_partial_overwrite_keeps_other_tickers(spark):
     assert after.where(F.col("ticker") == "1-URGENT").count() == 3
     others = b.where(F.col("ticker") != "1-URGENT").count()
     assert after.count() == others + 3 and n_before > after.count()
+    FS.write_table(one, d, "ticker")              # S6: a full overwrite drops the other tickers
+    assert spark.read.parquet(d).count() == 3
 
 
 def test_sample_archive_roundtrip(spark):
