@@ -9,6 +9,19 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    from marketframe.llm.mixing import mix_report
+    return mix_report(_table(spark, sf, "documents"))
+
+
+def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best rows for every vector whose id is divisible by 20."""
+    from marketframe.llm.topk import exact_topk
+    rows = _table(spark, sf, "embeddings")
+    return exact_topk(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """BPE ids and round trip of every document."""
     from marketframe.llm.bpe import bpe_round_trip
@@ -22,7 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_mixing, op7_topk, op9_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -45,4 +45,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-ORACLES = {"op10_quality_rules": OP10}
+OP7 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+OP2 = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{W}'))::BIGINT AS size,
+                  md5(coalesce(doc_id::VARCHAR, '') || ':mix-1') AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+o AS (SELECT *, 2 * source_size AS cap, row_number() OVER (ORDER BY 2 * source_size / w, source) AS k FROM s),
+a AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+             sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_left,
+             1.5::DOUBLE * sum(source_size) OVER () AS budget FROM o),
+b AS (SELECT *, (budget - cap_before) / w_left AS level FROM a),
+e AS (SELECT min(k) AS k FROM b WHERE cap > w * level),
+t AS (SELECT source, source_size, CASE WHEN b.k < e.k OR e.k IS NULL THEN cap::DOUBLE
+             ELSE w * (SELECT level FROM b x WHERE x.k = e.k) END AS target FROM b, e),
+c AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id::VARCHAR) AS upto,
+             sum(size) OVER (PARTITION BY d.source, key, doc_id::VARCHAR) AS same,
+             CASE WHEN target >= 2 * source_size THEN 2 WHEN target >= source_size THEN 1 ELSE 0 END AS whole
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN whole < 2 AND target - whole * source_size > 0
+                              AND 2 * upto - same <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
+ORACLES = {"op2_mixing": OP2, "op7_topk": OP7, "op10_quality_rules": OP10}
