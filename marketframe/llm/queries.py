@@ -15,6 +15,12 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_report(_table(spark, sf, "documents"))
 
 
+def op3_quality_crf(spark: SparkSession, sf: str) -> DataFrame:
+    """Line-CRF quality score of every document."""
+    from marketframe.llm.line_crf import line_quality
+    return line_quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 best rows for every vector whose id is divisible by 20."""
     from marketframe.llm.topk import exact_topk
@@ -22,6 +28,12 @@ def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
     return exact_topk(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Character n-gram toxicity score of every document."""
+    from marketframe.llm.toxicity import toxicity
+    return toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """BPE ids and round trip of every document."""
     from marketframe.llm.bpe import bpe_round_trip
@@ -35,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op7_topk, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_mixing, op3_quality_crf, op7_topk, op8_toxicity, op9_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
