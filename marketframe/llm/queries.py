@@ -21,6 +21,12 @@ def op3_quality_crf(spark: SparkSession, sf: str) -> DataFrame:
     return line_quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Base and randomness-tested secret spans of every document."""
+    from marketframe.llm.secrets import secret_scan
+    return secret_scan(_table(spark, sf, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 best rows for every vector whose id is divisible by 20."""
     from marketframe.llm.topk import exact_topk
@@ -47,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_quality_crf, op7_topk, op8_toxicity, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_mixing, op3_quality_crf, op6_secrets, op7_topk, op8_toxicity, op9_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
