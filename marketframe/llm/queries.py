@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-copy component of every document."""
+    from marketframe.llm.jaccard import ngram_jaccard
+    return ngram_jaccard(_table(spark, sf, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes from every document."""
     from marketframe.llm.mixing import mix_report
@@ -53,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_quality_crf, op6_secrets, op7_topk, op8_toxicity, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_mixing, op3_quality_crf, op6_secrets, op7_topk, op8_toxicity, op9_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
