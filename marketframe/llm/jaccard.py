@@ -22,9 +22,6 @@ the texts and shuffled. Components follow by star contraction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Tuple
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,16 +29,13 @@ from pyspark.sql import functions as F
 
 from marketframe.llm import textbytes as tb
 from marketframe.llm.components import components
+from marketframe.llm.packing import Batches, Key, filter_cell, id_filter, passes
 from marketframe.session import cut_lineage
 
 WORDS = 3              # words of a shingle
 PERCENT = 90           # least similarity
 SKETCH_BITS = 20       # cells of the frequency table
 SIGN_WORDS = 8         # 64-bit words of a parity bitmap
-WANTED_BITS = 23       # bits of the filter of documents whose sets are needed (1 MB)
-
-Key = Tuple[pa.Scalar, ...]
-Batches = Iterator[pa.RecordBatch]
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
@@ -138,44 +132,23 @@ def _near(percent: int):
     return sizes & ((100 + percent) * apart <= (100 - percent) * total)
 
 
-def _wanted(ids: DataFrame):
-    """Bitmap of fixed size over hashed ids: a filter without false negatives."""
-    cell = F.shiftrightunsigned(F.xxhash64("id"), 64 - WANTED_BITS)
-    bits = ids.select(cell.alias("c")).distinct().select(
-        F.expr("cast(c div 65536 as int)").alias("part"), F.expr("cast(c % 65536 as int)").alias("bit"))
-
-    def pack(key: Key, batches: Batches) -> Batches:
-        on = np.zeros(65536, np.uint8)
-        for batch in batches:
-            on[batch.column("bit").to_numpy()] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()),
-                                          pa.array([np.packbits(on).tobytes()], pa.binary())], ["part", "bits"])
-
-    out = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
-    for r in bits.groupBy("part").applyInArrow(pack, "part int, bits binary").collect():
-        out[r.part * 8192:(r.part + 1) * 8192] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, rank, words: int, percent: int) -> DataFrame:
     """The links (a, b) among ``pairs(a, b)`` by the full sets, which are built again from the
     texts of the documents in a pair only."""
-    spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = spark.sparkContext.broadcast(_wanted(ids))
+    wanted = id_filter(ids)
 
     def run(batches):
-        on = np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(on[batch.column("cell").to_numpy()]))
+            batch = batch.filter(pa.array(passes(wanted, batch.column("cell"))))
             for part in tb.slices(batch):
                 sets = _sets(part.column("text"), words, rank.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     ["id", "keys"])
 
-    cell = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - WANTED_BITS).alias("cell")
-    sets = docs.select("doc_id", cell, "text").mapInArrow(run, "id long, keys array<long>")
+    sets = docs.where(F.col("doc_id").isNotNull()).select("doc_id", filter_cell(F.col("doc_id")).alias("cell"), "text")
+    sets = sets.mapInArrow(run, "id long, keys array<long>")
     sets = sets.dropDuplicates(["id"])
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("a_keys")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("keys").alias("b_keys")), "b")
