@@ -33,6 +33,12 @@ def op4_block_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(_table(spark, sf, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated 50-byte strings removed from every document."""
+    from marketframe.llm.suffix_dedup import remove_repeats
+    return remove_repeats(_table(spark, sf, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Base and randomness-tested secret spans of every document."""
     from marketframe.llm.secrets import secret_scan
@@ -65,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_mixing, op3_quality_crf, op4_block_dedup, op6_secrets, op7_topk, op8_toxicity, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_mixing, op3_quality_crf, op4_block_dedup, op5_suffix_dedup, op6_secrets, op7_topk, op8_toxicity, op9_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
