@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm import textbytes as tb
 from marketframe.llm.components import components
-from marketframe.llm.packing import Batches, Key, filter_cell, id_filter, passes
+from marketframe.llm.packing import Batches, Key, filter_cell, fresh, id_filter, passes
 from marketframe.session import cut_lineage
 
 WORDS = 3              # words of a shingle
@@ -225,9 +226,23 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
 
 
 def one_per_component(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of repeated rows, the
-    first by text). Columns stay; texts without a word link with nothing and are kept."""
-    found = ngram_jaccard(docs, words, percent)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    nameless = docs.where(F.col("doc_id").isNull())
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(nameless)
+    """``docs`` with one row of each component, that of the smallest doc_id; repeated rows count as
+    copies, and of rows that share an id one stays. Columns stay; rows without an id, and texts
+    without a word, link with nothing and are kept. Only rows that may go are shuffled."""
+    found = cut_lineage(ngram_jaccard(docs, words, percent).where(F.col("doc_id").isNotNull()))
+    goes = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id")
+    maybe = id_filter(goes.unionByName(again))
+    cell = fresh(docs, "cell")
+    cells = docs.withColumn(cell, F.coalesce(filter_cell(F.col("doc_id")), F.lit(-1)).cast("long"))
+
+    def rows(inside):
+        def run(batches):
+            for batch in batches:
+                at = batch.column(cell)
+                hit = passes(maybe, pc.max_element_wise(at, 0)) & (at.to_numpy() >= 0)
+                yield batch.filter(pa.array(hit == inside)).drop_columns([cell])
+        return cells.mapInArrow(run, docs.schema)
+
+    some = rows(True).join(goes, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return rows(False).unionByName(some.select([F.col(f"`{c}`") for c in docs.columns]))

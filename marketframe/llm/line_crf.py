@@ -13,9 +13,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketframe.llm import textbytes as tb
 from marketframe.llm.labelled import FIT_ROWS, held_out, labelled_sample
+from marketframe.llm.packing import fresh
 
 STEPS = 150
 RIDGE = 1e-3
@@ -195,7 +197,7 @@ def document_scores(texts, model):
     return np.clip(add(good) / np.maximum(add(size), 1e-9), 0, 1)
 
 
-def _with_scores(docs: DataFrame, labels: DataFrame, label: str, fit_rows_: int) -> DataFrame:
+def _with_scores(docs: DataFrame, labels: DataFrame, label: str, fit_rows_: int, name: str) -> DataFrame:
     sample = labelled_sample(docs, labels, label, fit_rows_).select("y", "text")
     rows = sorted((r.y, bytes(r.lines)) for r in sample.mapInArrow(_extract, "y int, lines binary").collect())
     model = docs.sparkSession.sparkContext.broadcast(fit_rows(rows))
@@ -206,10 +208,9 @@ def _with_scores(docs: DataFrame, labels: DataFrame, label: str, fit_rows_: int)
             for part in tb.slices(batch):
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(document_scores(part.column("text"), model.value))],
-                    [*part.schema.names, "_score"])
+                    [*part.schema.names, name])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{names}, _score double")
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def line_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS,
@@ -218,13 +219,13 @@ def line_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit
     predicted. Only the text enters a score; null and empty texts and texts without a word score
     0. Repeated rows score alike; without labels every line scores one half; an empty table gives
     an empty result."""
-    rows = _with_scores(docs.select("doc_id", "text"), labels, label, fit_rows)
+    rows = _with_scores(docs.select("doc_id", "text"), labels, label, fit_rows, "_score")
     return rows.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"),
                        (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS,
               threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` scoring ``threshold`` or more, columns unchanged. Other columns may
-    have any name but ``_score``."""
-    return _with_scores(docs, labels, label, fit_rows).where(F.col("_score") >= threshold).drop("_score")
+    """The rows of ``docs`` scoring ``threshold`` or more, columns unchanged."""
+    name = fresh(docs, "score")
+    return _with_scores(docs, labels, label, fit_rows, name).where(F.col(name) >= threshold).drop(name)

@@ -112,15 +112,15 @@ class Mix:
         self.spark, self.plan, self.sizes, self.target = spark, plan, sizes, target
 
     def decide(self, docs: DataFrame, id_col: str, sources: Column) -> DataFrame:
-        """Adds ``_uses`` (how often the mix takes the document whole) to ``docs``: a broadcast
-        lookup of the checked number of patterns, no shuffle."""
+        """(r, uses): every row of ``docs`` as a struct and how often the mix takes it whole; a
+        broadcast lookup of the checked number of patterns, no shuffle."""
         rows = [(k, *v) for k, v in self.plan.items()]
-        plan = self.spark.createDataFrame(rows, "_pattern string, _full int, _key string, _last string")
+        plan = self.spark.createDataFrame(rows, "pattern string, whole int, key string, last string")
         key, ident = _order(id_col)
-        out = docs.withColumn("_pattern", _pattern(sources)).join(F.broadcast(plan), "_pattern", "left")
-        more = F.struct(key.alias("k"), ident.alias("i")) <= F.struct(F.col("_key").alias("k"), F.col("_last").alias("i"))
-        uses = F.coalesce(F.col("_full"), F.lit(0)) + F.coalesce(more, F.lit(False)).cast("int")
-        return out.withColumn("_uses", uses).drop("_pattern", "_full", "_key", "_last")
+        out = docs.select(F.struct("*").alias("r"), _pattern(sources).alias("pattern"), key.alias("k"), ident.alias("i"))
+        more = F.struct("k", "i") <= F.struct(F.col("key").alias("k"), F.col("last").alias("i"))
+        return out.join(F.broadcast(plan), "pattern", "left").select("r", (
+            F.coalesce("whole", F.lit(0)) + F.coalesce(more, F.lit(False)).cast("int")).alias("uses"))
 
 
 def _pattern(sources: Column) -> Column:
@@ -199,19 +199,18 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = F.array(F.col(source_col))
     mix = solve_mix(docs, sources, id_col, text_col, **options)
     rows = [(s, size, float(mix.target[s])) for s, size in mix.sizes.items()]
-    known = F.broadcast(docs.sparkSession.createDataFrame(rows, "_s string, source_size long, target double"))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_src"), n_words(text_col).alias("size"))
-    out = mix.decide(slim, "doc_id", F.array("_src"))
-    return (out.join(known, F.col("_src").eqNullSafe(F.col("_s")), "left")
-            .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_uses")).alias("taken")))
+    known = F.broadcast(docs.sparkSession.createDataFrame(rows, "name string, source_size long, target double"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
+    out = mix.decide(slim, "doc_id", F.array("source")).select("r.*", "uses")
+    return (out.join(known, F.col("source").eqNullSafe(F.col("name")), "left")
+            .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("uses")).alias("taken")))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, columns unchanged. Documents
     without a word are dropped."""
-    columns = docs.columns
-    mix = solve_mix(docs, F.array(F.col(source_col)), id_col, text_col, **options)
-    out = mix.decide(docs, id_col, F.array(F.col(source_col)))
-    out = out.where((F.col("_uses") > 0) & (n_words(text_col) > 0))
-    return out.withColumn("_uses", F.explode(F.sequence(F.lit(1), "_uses"))).select(columns)
+    sources = F.array(F.col(source_col))
+    mix = solve_mix(docs, sources, id_col, text_col, **options)
+    out = mix.decide(docs.where(n_words(text_col) > 0), id_col, sources).where(F.col("uses") > 0)
+    return out.select("r", F.explode(F.sequence(F.lit(1), "uses"))).select("r.*")

@@ -74,6 +74,14 @@ def with_mark(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def first_of_runs(*columns) -> np.ndarray:
     """True where any of the (sorted) columns differs from the entry before."""
     new = np.ones(len(columns[0]), bool)

@@ -195,10 +195,11 @@ def _joined(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _scan(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _scan(docs: DataFrame) -> DataFrame:
+    """(r, text, base, cands): the row as a struct, so that no column name can clash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(*keep, text.alias("_text"), base_spans(text).alias("_base"))
-    return base.select(*keep, "_text", "_base", candidates(F.col("_text"), F.col("_base")).alias("_cands"))
+    base = docs.select(F.struct("*").alias("r"), text.alias("text"), base_spans(text).alias("base"))
+    return base.select("r", "text", "base", candidates(F.col("text"), F.col("base")).alias("cands"))
 
 
 def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -206,29 +207,29 @@ def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     list, and all spans, each ``kind:start:end`` by start, then kind. Null and empty texts have no
     spans; repeated rows stay repeated (and count as often in the tests); other columns are
     ignored; an empty table gives an empty result."""
-    slim = cut_lineage(_scan(docs.select("doc_id", "text"), ["doc_id"]).drop("_text"))
-    limits = cutoffs(slim.select(F.explode("_cands").alias("c")).select("c.token"), fdr)
-    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+    slim = cut_lineage(_scan(docs.select("doc_id", "text")).select("r.doc_id", "base", "cands"))
+    limits = cutoffs(slim.select(F.explode("cands").alias("c")).select("c.token"), fdr)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return slim.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
-        _joined(F.array_sort(F.concat("_base", _random_spans(F.col("_cands"), limits)))).alias("spans"))
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.array_sort(F.concat("base", _random_spans(F.col("cands"), limits)))).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
     """``docs`` with every secret's value replaced by ``mask``, longer values first; the columns
     stay (``n_chars``, if there is one, is counted anew for changed texts). Texts without a secret
     are not touched."""
-    tokens = _scan(docs.select("text"), []).select(F.explode("_cands").alias("c")).select("c.token")
+    tokens = _scan(docs.select("text")).select(F.explode("cands").alias("c")).select("c.token")
     limits = cutoffs(tokens, fdr)
-    scanned = _scan(docs, [F.col(f"`{c}`") for c in docs.columns])
-    spans = F.concat("_base", _random_spans(F.col("_cands"), limits))
+    spans = F.concat("base", _random_spans(F.col("cands"), limits))
     values = F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.struct(
         (-F.char_length(s["value"])).alias("n"), s["value"].alias("v")))))
-    clean = F.when(F.size(spans) > 0, F.aggregate(
-        values, F.col("_text"), lambda t, v: F.replace(t, v["v"], F.lit(mask)))).otherwise(F.col("text"))
-    out = scanned.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.size("values") > 0, F.aggregate(
+        "values", F.col("text"), lambda t, v: F.replace(t, v["v"], F.lit(mask)))).otherwise(F.col("r.text"))
+    out = _scan(docs).select("r", "text", values.alias("values")).select("r", "values", clean.alias("clean"))
+    fields = {c: F.col("r")[c] for c in docs.columns} | {"text": F.col("clean")}
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.size("values") > 0, F.char_length("clean").cast(docs.schema["n_chars"].dataType)) \
+            .otherwise(fields["n_chars"])
+    return out.select([v.alias(c) for c, v in fields.items()])
