@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bound on the labelled rows that a model is fitted on.
-FIT_ROWS = 3000
+FIT_ROWS = 4000
 #: Longer texts are scored whole, but a model is not fitted on them (bounds the fit's memory).
 FIT_BYTES = 200_000
 
@@ -16,12 +18,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the labels that may be learned from; of several labels the largest counts."""
+    return (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
+            .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
+
+
+def log_odds(labels: DataFrame, label: str) -> float:
+    """Log odds of label 1 over all labels that may be learned from (add-one smoothed)."""
+    r = _known(labels, label).agg(F.sum("y").alias("good"), F.count("*").alias("n")).head()
+    return math.log(((r.good or 0) + 1) / (r.n - (r.good or 0) + 1))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` labelled (doc_id, text, y), none held out, spread evenly by a hash of the
-    id. The ids are a broadcast of bounded size; documents are not shuffled. A document labelled
-    more than once takes its largest label; rows without a label or text are left out."""
-    known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
-             .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
-    chosen = known.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(rows)
+    """(doc_id, text, y) of at most ``rows // 2`` documents of either label, none held out, spread
+    evenly by a hash of the id. The ids are a broadcast of bounded size; documents are not
+    shuffled. Rows without a label or text, and texts over ``FIT_BYTES``, are left out."""
+    known = _known(labels, label)
+    parts = [known.where(F.col("y") == v).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(rows // 2)
+             for v in (0, 1)]
     usable = docs.select("doc_id", "text").where(F.octet_length("text").between(1, FIT_BYTES))
-    return usable.join(F.broadcast(chosen), "doc_id")
+    return usable.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")

@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm import textbytes as tb
-from marketframe.llm.labelled import FIT_ROWS, held_out, labelled_sample
+from marketframe.llm.labelled import FIT_ROWS, held_out, labelled_sample, log_odds
 
 ORDERS = (4, 5)
 BITS = 20
-SMOOTH = 0.5
-RIDGE = 1e-4
-STEPS = 40
+SMOOTH = 1.0
+RIDGE = 1e-3
+STEPS = 80
+RARE = 200             # an n-gram counts from one fitted document in so many
+CHUNK = 1 << 21
 THRESHOLD = 0.7
 
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -63,40 +65,53 @@ def _extract(batches):
                                             pa.binary())], ["y", "buckets"])
 
 
-def fit(rows) -> tuple[np.ndarray, float]:
+def fit(rows, prior: float) -> tuple[np.ndarray, float]:
     """(weights, intercept) from ``[(y, packed buckets)]``: naive Bayes ratios, then a logistic
-    regression on the scaled presence features by full-batch gradient steps (Adam)."""
+    regression on the scaled presence features by full-batch gradient steps (Adam). The sample
+    holds both classes alike; ``prior`` (log odds over all labels) corrects the intercept."""
     size = 1 << BITS
     if not rows or len({y for y, _ in rows}) < 2:          # nothing to tell apart
-        share = (sum(y for y, _ in rows) + 1) / (len(rows) + 2)
-        return np.zeros(size, np.float32), float(np.log(share / (1 - share)))
+        return np.zeros(size, np.float32), float(prior)
     y = np.array([r[0] for r in rows], float)
-    lists = [np.frombuffer(r[1], np.uint32) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-    col = np.concatenate(lists).astype(np.int64)
-    p, q = (np.bincount(col[y[row] == v], minlength=size) + SMOOTH for v in (1, 0))
+    count = np.array([len(r[1]) // 4 for r in rows])
+    col = np.frombuffer(b"".join(r[1] for r in rows), np.uint32).astype(np.int32)
+    del rows
+    # chunks of whole documents, so that temporary arrays stay small
+    ends = np.cumsum(count)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(CHUNK, ends[-1], CHUNK)), [len(y)]]))
+    chunks = [(a, b, ends[a] - count[a], ends[b - 1]) for a, b in zip(cuts[:-1], cuts[1:])]
+    p, q = (sum(np.bincount(col[i:j], np.repeat(y[a:b] == v, count[a:b]), size) for a, b, i, j in chunks) + SMOOTH
+            for v in (1, 0))
     ratio = np.log((p / (y.sum() + 2 * SMOOTH)) / (q / ((1 - y).sum() + 2 * SMOOTH)))
-    ratio[(p + q) < 3 + 2 * SMOOTH] = 0.0                  # seen in one or two documents only
-    used = ratio[col] != 0
-    row, col = row[used], col[used]
-    names, col = np.unique(col, return_inverse=True)
-    scale = ratio[names]
-    value = scale[col]
-    w, b = np.zeros(len(names)), float(np.log(y.mean() / (1 - y.mean())))
+    least = max(2, len(y) // RARE)                          # rarer n-grams have no reliable ratio
+    ratio[(p + q) < least + 2 * SMOOTH] = 0.0
+    names = np.flatnonzero(ratio)
+    place = np.full(size, len(names), np.int32)             # the others share a last, idle feature
+    place[names] = np.arange(len(names))
+    col = place[col]
+    scale = np.append(ratio[names], 0.0)
+    w, b = np.zeros(len(scale)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = np.bincount(row, w[col] * value, minlength=len(y)) + b
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(col, err[row] * value, minlength=len(w)) / len(y) + RIDGE * w
+        g, err, scaled = np.zeros_like(w), np.empty(len(y)), w * scale
+        for lo, hi, i, j in chunks:
+            full = count[lo:hi] > 0
+            z = np.zeros(hi - lo)
+            if full.any():
+                z[full] = np.add.reduceat(scaled[col[i:j]], (ends[lo:hi] - count[lo:hi] - i)[full])
+            err[lo:hi] = 1 / (1 + np.exp(-np.clip(z + b, -30, 30))) - y[lo:hi]
+            g += np.bincount(col[i:j], np.repeat(err[lo:hi], count[lo:hi]), len(w))
+        g = g * scale / len(y) + RIDGE * w
         gb = err.mean()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.02
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9 ** t)) / (np.sqrt(vb / (1 - 0.99 ** t)) + 1e-8)
+    w, scale = w[:-1], scale[:-1]
     out = np.zeros(size, np.float32)
     out[names] = w * scale
-    return out, float(b)
+    return out, float(b + prior - np.log(y.mean() / (1 - y.mean())))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS,
@@ -107,9 +122,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows:
     result."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = labelled_sample(docs, labels, label, fit_rows).select("y", "text")
+    prior = log_odds(labels, label)
     rows = [(r.y, bytes(r.buckets)) for r in sample.mapInArrow(_extract, "y int, buckets binary").collect()]
     rows.sort()                                             # the fit does not depend on task order
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, prior))
 
     def score(batches):
         import pyarrow as pa
