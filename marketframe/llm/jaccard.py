@@ -15,8 +15,8 @@ Two sets with Jaccard similarity of t percent or more share a key among their fi
    the key's other components' members (and members of one group meet in the same way), so no link
    between components is missed.
 
-Pairs pass an exact filter before verification: parity bitmaps of ``SIGN_WORDS`` words bound the
-symmetric difference from below. Only sets of documents in a remaining pair are built again from
+Pairs pass an exact filter before verification: parity bitmaps (wide ones for large sets) bound
+the symmetric difference from below. Only sets of documents in a remaining pair are built again from
 the texts and shuffled. Components follow by star contraction.
 """
 
@@ -37,6 +37,8 @@ WORDS = 3              # words of a shingle
 PERCENT = 90           # least similarity
 SKETCH_BITS = 20       # cells of the frequency table
 SIGN_WORDS = 8         # 64-bit words of a parity bitmap
+WIDE_FROM = 1000       # sets of this size and more have a wide bitmap as well
+WIDE_WORDS = 64
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
@@ -99,17 +101,22 @@ def _frequency_rank(docs: DataFrame, words: int) -> np.ndarray:
     return rank
 
 
+def _parity(keys: np.ndarray, words: int) -> np.ndarray:
+    """Bit i tells whether an odd number of keys falls on it; keys that two sets share cancel."""
+    bits = np.bincount((keys & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits(bits.astype(np.uint8) & 1).view(np.int64)
+
+
 def _features(docs: DataFrame, rank, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, head, prefix, sign) of every document."""
+    """(doc_id, n, h1, h2, head, prefix, sign, wide) of every document."""
     def run(batches):
         for batch in batches:
             for part in tb.slices(batch):
                 sets = _sets(part.column("text"), words, rank.value)
                 n = np.array([len(s) for s in sets], np.int64)
                 keep = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-                marks = [np.packbits(np.bincount((s & np.uint64(64 * SIGN_WORDS - 1)).astype(np.int64),
-                                                 minlength=64 * SIGN_WORDS).astype(np.uint8) & 1).view(np.int64)
-                         for s in sets]
+                marks = [_parity(s, SIGN_WORDS) for s in sets]
+                wide = [_parity(s, WIDE_WORDS) if len(s) >= WIDE_FROM else np.zeros(0, np.int64) for s in sets]
                 total = [(tb.mix(s).sum(dtype=np.uint64), tb.mix(s ^ np.uint64(tb.BASE)).sum(dtype=np.uint64),
                           tb.mix(s[:k]).sum(dtype=np.uint64)) for s, k in zip(sets, keep)]
                 h = np.array(total, np.uint64).reshape(-1, 3).view(np.int64)
@@ -119,18 +126,23 @@ def _features(docs: DataFrame, rank, words: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n), *(pa.array(h[:, i]) for i in range(3)),
                      lists([s[:k] for s, k in zip(sets, keep)], keep),
-                     lists(marks, np.full(len(sets), SIGN_WORDS))],
-                    ["doc_id", "n", "h1", "h2", "head", "prefix", "sign"])
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, head long, prefix array<long>, sign array<long>")
+                     lists(marks, [len(m) for m in marks]), lists(wide, [len(m) for m in wide])],
+                    ["doc_id", "n", "h1", "h2", "head", "prefix", "sign", "wide"])
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, head long, prefix array<long>, "
+                            "sign array<long>, wide array<long>")
 
 
 def _near(percent: int):
     """Exact filter on sizes and parity bitmaps of a pair."""
     apart = sum((F.bit_count(F.col("a_sign")[i].bitwiseXOR(F.col("b_sign")[i])) for i in range(1, SIGN_WORDS)),
                 F.bit_count(F.col("a_sign")[0].bitwiseXOR(F.col("b_sign")[0])))
+    far_apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                            F.lit(0), lambda total, x: total + x)
+    both_wide = (F.size("a_wide") > 0) & (F.size("b_wide") > 0)
+    least = F.when(both_wide, far_apart).otherwise(apart)
     total = F.col("a_n") + F.col("b_n")
     sizes = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    return sizes & ((100 + percent) * apart <= (100 - percent) * total)
+    return sizes & ((100 + percent) * least <= (100 - percent) * total)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rank, words: int, percent: int) -> DataFrame:
@@ -150,11 +162,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, rank, words: int, percent: int)
 
     sets = docs.where(F.col("doc_id").isNotNull()).select("doc_id", filter_cell(F.col("doc_id")).alias("cell"), "text")
     sets = sets.mapInArrow(run, "id long, keys array<long>")
-    sets = sets.dropDuplicates(["id"])
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("a_keys")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("keys").alias("b_keys")), "b")
     same = F.size(F.array_intersect("a_keys", "b_keys"))
-    return two.where((100 + percent) * same >= percent * (F.size("a_keys") + F.size("b_keys"))).select("a", "b")
+    return two.where((100 + percent) * same >= percent * (F.size("a_keys") + F.size("b_keys"))).select("a", "b").distinct()
 
 
 def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -177,7 +188,7 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     # a set of 1 to 8 shingles has no partner but its equals at 90 percent: n * 100 < percent * (n + 1)
     joinable = solid.where(100 * F.col("n") >= percent * (F.col("n") + 1))
     rows = joinable.join(reps.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    classes = cut_lineage(rows.select(F.col("doc_id").alias("id"), "n", "head", "prefix", "sign"))
+    classes = cut_lineage(rows.select(F.col("doc_id").alias("id"), "n", "head", "prefix", "sign", "wide"))
     groups = classes.groupBy("head", "n").agg(F.min("id").alias("gid"), F.count("*").alias("members"))
     heads = classes.join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
     posts = heads.select(F.explode("prefix").alias("key"), F.col("id").alias("gid"), "n")
@@ -186,11 +197,11 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     crowd = groups.where(F.col("members") > 1).select(F.xxhash64("gid", F.lit("group")).alias("key"), "gid", "n")
     live = cut_lineage(posts.join(shared, "key").unionByName(crowd))
     member = classes.join(groups.select("head", "n", "gid"), ["head", "n"]).select("gid", "id")
-    signs = classes.select("id", "n", "sign")
+    signs = classes.select("id", "n", "sign", "wide")
 
     def with_signs(pairs):
         for side in "ab":
-            s = signs.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("sign").alias(f"{side}_sign"))
+            s = signs.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "sign", "wide")))
             pairs = pairs.join(s, side)
         return pairs.where(_near(percent)).select("a", "b")
 
@@ -212,9 +223,10 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     open_keys = open_keys.where(F.col("k") > 1).select("key", "major")
     opened = cut_lineage(labelled.join(open_keys, "key").join(signs, "id"))
     left = opened.where(F.col("comp") != F.col("major")).select(
-        "key", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("sign").alias("a_sign"))
-    right = opened.select("key", F.col("id").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"),
-                          F.col("sign").alias("b_sign"), (F.col("comp") == F.col("major")).alias("b_major"))
+        "key", F.col("id").alias("a"), F.col("comp").alias("a_comp"),
+        *(F.col(c).alias(f"a_{c}") for c in ("n", "sign", "wide")))
+    right = opened.select("key", F.col("id").alias("b"), F.col("comp").alias("b_comp"),
+                          *(F.col(c).alias(f"b_{c}") for c in ("n", "sign", "wide")), (F.col("comp") == F.col("major")).alias("b_major"))
     meet = left.join(right, (left["key"] == right["key"]) & (F.col("a_comp") != F.col("b_comp"))
                      & (F.col("b_major") | (F.col("a") < F.col("b"))) & _near(percent))
     rest = cut_lineage(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
