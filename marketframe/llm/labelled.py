@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bound on the labelled rows that a model is fitted on.
-FIT_ROWS = 4000
+FIT_ROWS = 3000
 #: Longer texts are scored whole, but a model is not fitted on them (bounds the fit's memory).
 FIT_BYTES = 200_000
 

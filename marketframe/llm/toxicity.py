@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
-A document's features are the distinct n-grams (of ``ORDERS`` bytes, ASCII letters in lower case)
+A document's features are the distinct n-grams (of ``ORDERS`` characters in lower case)
 of its whole text, hashed into ``2 ** BITS`` buckets. Feature j is scaled by
 ``r_j = log(p_j / q_j)``, the ratio of its smoothed shares in toxic and other labelled documents;
 a logistic regression is fitted on the scaled features. The model is one weight a bucket
@@ -17,36 +17,36 @@ from pyspark.sql import functions as F
 from marketframe.llm import textbytes as tb
 from marketframe.llm.labelled import FIT_ROWS, held_out, labelled_sample, log_odds
 
-ORDERS = (4, 5)
+ORDERS = (4, 5, 6)
 BITS = 20
 SMOOTH = 1.0
 RIDGE = 1e-3
 STEPS = 80
-RARE = 200             # an n-gram counts from one fitted document in so many
+RARE = 1000            # an n-gram counts from one fitted document in so many
 CHUNK = 1 << 21
 THRESHOLD = 0.7
 
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
+def _characters(texts):
+    """(code points in lower case, first one of every document); ASCII and Latin-1 letters."""
+    data, off = tb.text_bytes(texts)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
+    capital = ((points >= 65) & (points <= 90)) | ((points >= 0xC0) & (points <= 0xDE) & (points != 0xD7))
+    return points + np.uint32(32) * capital, first
 
 
 def features(texts):
     """(document, bucket) of every distinct n-gram of a slice, sorted by document."""
-    data, off = tb.text_bytes(texts)
-    low = _LOWER[data]
+    points, first = _characters(texts)
+    prefix = tb.prefix_hash(tb.mix(points.astype(np.uint64)))
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    last = np.repeat(first[1:], np.diff(first))
     found = []
     for n in ORDERS:
-        if len(low) < n:
-            continue
-        code = np.zeros(len(low) - n + 1, np.uint64)
-        for k in range(n):
-            code |= low[k:len(low) - n + 1 + k] << np.uint64(8 * k)
-        code = (code + np.uint64(n)) * np.uint64(tb.BASE) >> np.uint64(64 - BITS)
-        at = np.arange(len(code))
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:len(code)]
-        whole = at + n <= off[1:][doc]
-        found.append((doc[whole].astype(np.uint64) << np.uint64(BITS)) | code[whole])
-    key = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        at = np.flatnonzero(np.arange(len(points)) + n <= last)
+        code = tb.range_hash(prefix, at, at + n) >> np.uint64(64 - BITS)
+        found.append((doc[at] << np.uint64(BITS)) | code)
+    key = np.concatenate(found)
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
     return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
