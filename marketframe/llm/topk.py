@@ -23,6 +23,7 @@ BLOCK_ROWS = 256
 GROUP_ROWS = 16384
 QUERY_ROWS = 1024
 SCALE = 64
+_NONE = -np.iinfo(np.int64).max          # below any score; its negative is a number, too
 
 
 def _quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -68,7 +69,7 @@ def _best(scores, ids, k):
         kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
     else:
         kth = scores.min(axis=1)
-    out_s = np.full((len(scores), k), np.iinfo(np.int64).min)
+    out_s = np.full((len(scores), k), _NONE)
     out_i = np.full((len(scores), k), -1, np.int64)
     r, c = np.nonzero(scores >= kth[:, None])
     s, i = scores[r, c], (ids[r, c] if ids.ndim == 2 else ids[c])
@@ -81,14 +82,13 @@ def _best(scores, ids, k):
     return out_s, out_i
 
 
-_NONE = np.iinfo(np.int64).min
 
 
 def _search(qids, q, blocks, k):
     """(scores, ids, found) of the k best per query; ``blocks``: list of (ids, matrix)."""
     low = np.array([m.min(axis=0) for _, m in blocks])
     high = np.array([m.max(axis=0) for _, m in blocks])
-    reach = float(np.abs(q).max(initial=0)) * float(max(np.abs(low).max(), np.abs(high).max())) * q.shape[1]
+    reach = float(np.abs(q).max(initial=0)) * float(max(np.abs(low).max(initial=0), np.abs(high).max(initial=0))) * q.shape[1]
     kind = np.float64 if reach < 2.0 ** 52 else np.int64   # float products are exact up to there
     dot = lambda a, b: (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
     bound = dot(np.maximum(q, 0), high) + dot(np.minimum(q, 0), low)
@@ -121,7 +121,7 @@ def _search(qids, q, blocks, k):
 
 
 def _unpack(table):
-    return [(np.frombuffer(i, np.int64), np.frombuffer(f, np.int64).reshape(-1, d))
+    return [(np.frombuffer(i, np.int64), np.frombuffer(f, np.int64).reshape(len(i) // 8, d))
             for i, f, d in zip(table.column("ids").to_pylist(), table.column("forward").to_pylist(),
                                table.column("dim").to_pylist())]
 
