@@ -54,14 +54,12 @@ def html_decode(c) -> Column:
 
 
 def html_decode_rows(df: DataFrame, text: str = "text", out: str | None = None) -> DataFrame:
-    """F1 on a DataFrame: only rows containing ``&`` go through the pandas UDF; the others are
-    passed on untouched. Both branches read the same upstream (the exchange is reused)."""
+    """F1 on a DataFrame, in one pass: texts without ``&`` reach the pandas UDF as NULL and keep
+    their value in the JVM."""
     out = out or text
     unescape = F.pandas_udf(_unescape_batch, "string")
     has = F.col(text).contains("&")
-    dec = df.where(has).withColumn(out, unescape(F.col(text)))
-    rest = df.where(~has | F.col(text).isNull()).withColumn(out, F.col(text))
-    return dec.unionByName(rest)
+    return df.withColumn(out, F.coalesce(unescape(F.when(has, F.col(text))), F.col(text)))
 
 
 def clean_text(c, decode_html: bool = True) -> Column:
@@ -114,8 +112,8 @@ def clean_keep(df: DataFrame, text: str = "text", out: str = "cleaned_text", kee
 
 
 def not_blank(c) -> Column:
-    """P5: text present and not only spaces."""
-    return F.length(F.trim(F.coalesce(_c(c), F.lit("")))) > 0
+    """P5: text present and not only white space (what Python's ``strip`` removes)."""
+    return F.coalesce(_c(c), F.lit("")).rlike(f"[^{SPACE}]")
 
 
 def ascii_tokens(c) -> Column:

@@ -31,7 +31,7 @@ def block_size(spans) -> int:
 def ema_columns(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "ticker",
                 order: str = "date", keep_numbering: bool = False) -> DataFrame:
     """Add one EMA column per ``specs[name] = (value_column, span)``; values must be non-null
-    (fill first, W15). All specs share one numbering, one block window and one carry pass.
+    (fill first, W15), a NULL raises. All specs share one numbering, one block window and one carry pass.
 
     Shuffles: one, for the per-key numbering. The block window (key, block), the block-end
     filter, the per-key carry aggregation and the join back on the key all reuse that hash
@@ -52,7 +52,9 @@ def ema_columns(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "
         a = 2.0 / (span + 1.0)
         q = 1.0 - a
         wt = F.when(F.col("_rn") == 0, F.lit(1.0)).otherwise(F.lit(a))
-        local[f"_loc_{name}"] = (F.sum(wt * F.col(src) * F.pow(F.lit(q), -F.col("_j"))).over(wb)
+        x = F.coalesce(F.col(src), F.raise_error(F.lit(f"EMA over a NULL in {src}: fill the gaps first"))
+                       .cast("double"))
+        local[f"_loc_{name}"] = (F.sum(wt * x * F.pow(F.lit(q), -F.col("_j"))).over(wb)
                                  * F.pow(F.lit(q), F.col("_j")))
     d = d.withColumns(local)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.functions.timefn import floor_hour, hour_range, roll_weekend
+from marketframe.functions.timefn import add_hours, floor_hour, hour_range, roll_weekend
 
 SCORE_COLS = ["p_negative", "p_neutral", "p_positive"]
 
@@ -23,23 +23,28 @@ def hourly_weighted(posts: DataFrame, ticker: str = "ticker", ts: str = "created
     weight = log1p(likes + retweets); when every weight of an hour is 0 the hour takes the plain
     mean. Weekend posts are first moved to Monday 08:00 (F14), then floored to the hour (F15).
     """
-    eng = F.coalesce(F.col("likes_count"), F.lit(0)) + F.coalesce(F.col("retweet_count"), F.lit(0))
     t = roll_weekend(ts) if roll_weekends else F.col(ts)
-    base = posts.select(
-        F.col(ticker).alias("ticker"),
-        floor_hour(t).alias("hour"),
-        eng.cast("double").alias("_eng"),
-        F.log1p(eng).alias("_w"),
-        *[F.col(c) for c in SCORE_COLS],
-        F.col(score).alias("_s"),
-    )
+    base = posts.select(F.col(ticker).alias("ticker"), floor_hour(t).alias("hour"),
+                        *hourly_inputs(score))
+    return base.groupBy("ticker", "hour").agg(*hourly_aggregates())
+
+
+def hourly_inputs(score: str = "sentiment_score"):
+    """Columns that :func:`hourly_aggregates` reads; shared with the stream."""
+    eng = F.coalesce(F.col("likes_count"), F.lit(0)) + F.coalesce(F.col("retweet_count"), F.lit(0))
+    return [eng.cast("double").alias("_eng"), F.log1p(eng).alias("_w"),
+            *[F.col(c) for c in SCORE_COLS], F.col(score).alias("_s")]
+
+
+def hourly_aggregates():
+    """A4 + A5: the aggregates of one hour."""
     sw = F.sum("_w")
     n = F.count(F.lit(1))
 
     def wmean(x: str):
         return F.when(sw > 0, F.sum(F.col(x) * F.col("_w")) / sw).otherwise(F.sum(x) / n)
 
-    return base.groupBy("ticker", "hour").agg(
+    return [
         wmean("p_negative").alias("p_negative"),
         wmean("p_neutral").alias("p_neutral"),
         wmean("p_positive").alias("p_positive"),
@@ -50,7 +55,7 @@ def hourly_weighted(posts: DataFrame, ticker: str = "ticker", ts: str = "created
         F.min("_s").alias("min_sentiment"),
         F.sum("_eng").alias("total_engagement"),
         F.avg("_eng").alias("avg_engagement"),
-    )
+    ]
 
 
 def ticker_bounds(df: DataFrame, ts: str = "hour", ticker: str = "ticker") -> DataFrame:
@@ -63,15 +68,26 @@ def hour_grid(bounds: DataFrame, ticker: str = "ticker") -> DataFrame:
     return bounds.select(ticker, F.explode(hour_range("first_hour", "last_hour")).alias("hour"))
 
 
+def _spread_hours(hourly: DataFrame, value_cols) -> DataFrame:
+    after = F.lead("hour").over(Window.partitionBy("ticker").orderBy("hour"))
+    rows = hourly.withColumn("_to", F.coalesce(add_hours(after, -1), F.col("hour")))
+    rows = rows.withColumn("_at", F.explode(hour_range("hour", "_to")))
+    own = F.col("_at") == F.col("hour")
+    zero = {c: F.lit(0).cast(hourly.schema[c].dataType) for c in value_cols}
+    return rows.select(F.col("_at").alias("hour"), "ticker", *[
+        F.when(own, F.coalesce(F.col(c), zero[c])).otherwise(zero[c]).alias(c) for c in value_cols])
+
+
 def fill_hour_grid(hourly: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Left-join the hourly rows onto the full hourly grid and fill the gaps with 0.
 
-    ``bounds`` (ticker, first_hour, last_hour) defaults to each ticker's own first/last hour.
+    ``bounds`` (ticker, first_hour, last_hour) defaults to each ticker's own first/last hour; then
+    every row brings the empty hours up to the next row, and the posts are read once.
     """
+    value_cols = [c for c in hourly.columns if c not in ("ticker", "hour")]
     if bounds is None:
-        bounds = ticker_bounds(hourly)
+        return _spread_hours(hourly, value_cols)
     grid = hour_grid(bounds)
-    value_cols = [c for c in hourly.columns if c not in ("ticker", "hour")]
     out = grid.join(hourly, ["ticker", "hour"], "left")
     fills = {c: F.coalesce(F.col(c), F.lit(0).cast(hourly.schema[c].dataType)).alias(c)
              for c in value_cols}

@@ -1,16 +1,19 @@
 """Evaluation and run summaries.
 
 All are aggregates over the prediction/sample tables; the ROC-AUC is exact and distributed:
-per-score counts, a prefix sum over coarse score buckets (a bucket-sized table), and a
+per-score counts, a prefix sum over quantile buckets of the scores (a bucket-sized table), and a
 within-bucket running sum.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.numeric import safe_div
+from marketframe.session import cut_lineage
 
 
 def class_balance(samples: DataFrame, split: str = "split", ticker: str = "ticker",
@@ -63,45 +66,53 @@ def ticker_accuracy(pred: DataFrame, prob: str = "probability", actual: str = "a
 
 
 def roc_auc(pred: DataFrame, score: str = "probability", actual: str = "actual",
-            buckets: int = 4096, cells: int = 4096) -> DataFrame:
+            buckets: int = 4096) -> DataFrame:
     """Exact ROC-AUC with ties counted 1/2: sum_s P(s) * (N(below s) + N(s)/2) / (P * N).
 
-    The running count of negatives below each score is a hierarchical prefix sum over a fixed
-    two-level grid on [0, 1] (``buckets`` x ``cells``, 16.7M cells by default): per-score counts
-    (partial aggregation) -> per-cell totals -> prefix over the cells of a bucket (at most
-    ``cells`` rows per window) -> prefix over buckets (a ``buckets``-row table) -> running sum
-    among the distinct scores of one cell. Every window is bounded whatever the score
-    distribution; the grid only organises the sums, so the result is exact. Scores outside
-    [0, 1] are clamped into the edge cells (order is kept).
+    The running count of negatives below each score is a prefix sum in two levels: per-score
+    counts (partial aggregation) are dealt out by quantiles of the distinct scores, so each of the
+    ``buckets`` holds about as many whatever the scores' range or concentration (probabilities,
+    logits); the buckets' totals are prefixed in a table of ``buckets`` rows. Rows whose score is
+    NULL or NaN cannot be ranked; they are left out and counted in ``unranked``.
     """
     pos = F.col(actual).cast("long")
-    g = pred.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(pos).alias("p"),
-                                                                 F.sum(1 - pos).alias("n"))
-    fine = buckets * cells
-    c = F.least(F.greatest(F.floor(F.col("s") * fine), F.lit(0)), F.lit(fine - 1)).cast("long")
-    g = g.withColumn("c", c).withColumn("b", (F.col("c") / cells).cast("long"))
-    cell = g.groupBy("b", "c").agg(F.sum("n").alias("cn"), F.sum("p").alias("cp"))
-    cell = cell.withColumn("n_before_cell", F.coalesce(F.sum("cn").over(
-        Window.partitionBy("b").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)))
-    bt = cell.groupBy("b").agg(F.sum("cn").alias("bn"), F.sum("cp").alias("bp"))
-    wb = Window.orderBy("b")  # one row per bucket
-    whole = wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bt = bt.withColumns({
-        "n_before": F.coalesce(F.sum("bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                               F.lit(0)),
-        "tot_pos": F.sum("bp").over(whole),
-        "tot_neg": F.sum("bn").over(whole),
-    })
-    j = (g.join(cell.select("b", "c", "n_before_cell"), ["b", "c"])
-         .join(bt.select("b", "n_before", "tot_pos", "tot_neg"), "b"))
-    below = F.col("n_before") + F.col("n_before_cell") + F.coalesce(F.sum("n").over(
-        Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))
-    j = j.withColumn("contrib", F.col("p") * (below + F.col("n") / 2.0))
-    return j.agg(safe_div(F.sum("contrib"), F.first("tot_pos") * F.first("tot_neg"))
-                 .alias("roc_auc"),
-                 F.first("tot_pos").alias("positives"), F.first("tot_neg").alias("negatives"))
+    s = F.col(score).cast("double")
+    g = pred.groupBy(F.when(~F.isnan(s), s).alias("s")).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
+    g = cut_lineage(g)                              # per distinct score; read twice below
+    cuts = g.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10 * buckets)
+                 .alias("cuts")).head().cuts or []
+    cuts = sorted({c for c in cuts if math.isfinite(c)})
+    ranked = g.where(F.col("s").isNotNull())
+    ranked = ranked.withColumn("b", _bucket(F.col("s"), cuts))
+    totals = ranked.groupBy("b").agg(F.sum("n").alias("bn"))
+    before = F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select("b", F.coalesce(before, F.lit(0)).alias("n_before"))   # a row a bucket
+    inside = F.sum("n").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    below = F.col("n_before") + F.coalesce(inside, F.lit(0))
+    j = ranked.join(totals, "b").select("p", "n", (F.col("p") * (below + F.col("n") / 2.0)).alias("contrib"))
+    lost = g.where(F.col("s").isNull()).select(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"),
+                                               F.lit(0.0).alias("contrib"), (F.col("p") + F.col("n")).alias("u"))
+    return j.withColumn("u", F.lit(0).cast("long")).unionByName(lost).agg(
+        safe_div(F.sum("contrib"), F.sum("p").cast("double") * F.sum("n")).alias("roc_auc"),
+        F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum("u").alias("unranked"))
+
+
+def _bucket(s, cuts):
+    """Number of cut points at or below ``s``, by binary search over the sorted literals."""
+    if not cuts:
+        return F.lit(0)
+    table = F.lit(cuts) if len(cuts) > 1 else F.array(F.lit(cuts[0]))
+    bits = len(cuts).bit_length()
+    span = F.aggregate(F.sequence(F.lit(1), F.lit(bits)), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")),
+                       lambda a, _: _halve(a, s, table))
+    return span["lo"]
+
+
+def _halve(a, s, table):
+    mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+    right = (a["lo"] < a["hi"]) & (F.get(table, mid) <= s)
+    return F.struct(F.when(right, mid + 1).otherwise(a["lo"]).alias("lo"),
+                    F.when((a["lo"] < a["hi"]) & ~right, mid).otherwise(a["hi"]).alias("hi"))
 
 
 def sentiment_buckets(scored: DataFrame, polarity: str = "sentiment_score",

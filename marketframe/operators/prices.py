@@ -45,14 +45,22 @@ def clean_window(bounds: DataFrame, buffer_days: int = 90) -> DataFrame:
 def restrict_bars(bars: DataFrame, posts: DataFrame, ticker: str = "ticker",
                   date: str = "date") -> DataFrame:
     """J8 + P3: keep the bars inside the ticker's fetch window and the global clean window.
-    Tickers without posts are not fetched, as in the reference."""
-    b = post_bounds(posts)
-    win = fetch_window(b).join(clean_window(b), "ticker")
+    Tickers without posts are not fetched, as in the reference. Without any post there is nothing
+    to fetch by, and the default range stands for all tickers.
+
+    The global bounds are one row, aggregated from the per-ticker table (whose shuffle Spark
+    reuses) and joined on a constant."""
+    per = posts.groupBy(ticker).agg(F.min("created_at").alias("first_post"), F.max("created_at").alias("last_post"))
+    whole = per.agg(F.min("first_post").alias("global_first"), F.max("last_post").alias("global_last"))
+    one = F.lit(1).alias("_one")
     d = F.col(date).cast("timestamp_ntz")
-    return (bars.join(win, ticker)
-            .where((F.col(date) >= F.col("fetch_start")) & (F.col(date) < F.col("fetch_end"))
-                   & d.between(F.col("clean_start"), F.col("clean_end")))
-            .drop("fetch_start", "fetch_end", "clean_start", "clean_end"))
+    start = F.col("global_first") - F.make_dt_interval(days=F.lit(90))
+    fetched = ((F.col(date) >= F.date_sub(F.to_date("first_post"), 100))
+               & (F.col(date) < F.date_add(F.to_date("last_post"), 3))
+               & d.between(start, F.col("global_last")))
+    default = d.between(F.lit(DEFAULT_START).cast("timestamp_ntz"), F.lit(DEFAULT_END).cast("timestamp_ntz"))
+    rows = bars.join(per, ticker, "left").select("*", one).join(F.broadcast(whole.select("*", one)), "_one")
+    return rows.where(F.when(F.col("global_first").isNull(), default).otherwise(fetched)).select(bars.columns)
 
 
 def fill_gaps(bars: DataFrame, cols=BAR_VALUE_COLUMNS, ticker: str = "ticker",

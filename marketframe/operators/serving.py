@@ -17,25 +17,24 @@ def asof_lookup(points: DataFrame, series: DataFrame, ticker: str = "ticker",
                 point_date: str = "query_date", date: str = "date",
                 payload=("close",)) -> DataFrame:
     """For every (ticker, query date) the series row on that date, else the closest earlier
-    one (NULL when none). Union + ``last(ignoreNulls)`` over the ticker window: series rows sort
-    before points on equal dates, so an exact match wins.
+    one (NULL when none).
 
-    The window only sees the distinct (ticker, date) keys of the points, so its size per ticker
-    is bounded by the calendar however many points share a date; the answers are joined back to
-    every point by an equi-join on (ticker, date)."""
+    Each series row is spread over the days up to the next one, so a point meets it by equality on
+    (ticker, date); points after the last row meet it by ticker. The points are read once and only
+    bar-sized tables go through a window."""
     payload = list(payload)
-    s = series.select(ticker, F.col(date).alias("_k"), F.lit(0).alias("_kind"),
-                      F.struct(F.col(date).alias("used_date"), *payload).alias("_hit"))
-    keys = points.select(ticker, F.col(point_date).alias("_k")).distinct()
-    p = keys.select(ticker, "_k", F.lit(1).alias("_kind"),
-                    F.lit(None).cast(s.schema["_hit"].dataType).alias("_hit"))
-    w = (Window.partitionBy(ticker).orderBy("_k", "_kind")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    u = s.unionByName(p).withColumn("_found", F.last("_hit", ignorenulls=True).over(w))
-    found = u.where(F.col("_kind") == 1).select(
-        ticker, F.col("_k").alias(point_date), *[F.col(f"_found.{c}").alias(c)
-                                                  for c in ["used_date"] + payload])
-    return points.join(found, [ticker, point_date], "left")
+    w = Window.partitionBy(ticker).orderBy(date)
+    hit = F.struct(F.col(date).alias("used_date"), *payload).alias("_hit")
+    bars = series.select(ticker, F.col(date).alias("_from"), F.lead(date).over(w).alias("_next"), hit)
+    days = bars.where(F.col("_next").isNotNull()).select(
+        ticker, F.explode(F.sequence("_from", F.date_sub("_next", 1))).alias(point_date), "_hit")
+    tail = bars.where(F.col("_next").isNull()).select(
+        ticker, F.col("_from").alias("_last"), F.col("_hit").alias("_last_hit"))
+    found = points.join(days, [ticker, point_date], "left").join(tail, ticker, "left")
+    best = F.when(F.col(point_date) >= F.col("_last"), F.col("_last_hit")).otherwise(F.col("_hit"))
+    found = found.withColumn("_best", best)
+    return found.select(*[F.col(c) for c in points.columns],
+                        *[F.col(f"_best.{c}").alias(c) for c in ["used_date"] + payload])
 
 
 def last_n(df: DataFrame, n: int = 30, ticker: str = "ticker", date: str = "date",
@@ -73,6 +72,16 @@ def price_join(pred: DataFrame, bars: DataFrame, ticker: str = "ticker",
     return pred.join(bars.select(ticker, date, "close"), [ticker, date])
 
 
+def projection_history(pred: DataFrame, bars: DataFrame, n: int = 30, least: int = 5,
+                       ticker: str = "ticker", date: str = "date") -> DataFrame:
+    """Input of W17: the last ``n`` aligned rows per ticker, then their closes. Tickers with fewer
+    than ``least`` rows before or after the join have no projection."""
+    whole = F.count(F.lit(1)).over(Window.partitionBy(ticker))
+    rows = last_n(pred, n, ticker, date).drop("rank_from_end").withColumn("_n", whole)
+    rows = price_join(rows.where(F.col("_n") >= least).drop("_n"), bars, ticker, date)
+    return rows.withColumn("_n", whole).where(F.col("_n") >= least).drop("_n")
+
+
 def project_prices(hist: DataFrame, ticker: str = "ticker", date: str = "date",
                    prob: str = "probability", close: str = "close",
                    fallback: float = 0.01) -> DataFrame:

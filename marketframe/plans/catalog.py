@@ -7,6 +7,7 @@ in the projection that leaves the query (both sides), nothing else is changed fo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +26,8 @@ from marketframe.operators import samples as S
 from marketframe.operators import scoring as SC
 from marketframe.operators import serving as SV
 from marketframe.sources import ingest as IN
-from marketframe.session import cut_lineage, ensure_session_defaults
+from marketframe.session import checkpoint_dir, cut_lineage, ensure_session_defaults
+from marketframe.sources import files as FS
 from marketframe.sources import fixtures as FX
 
 
@@ -163,11 +165,19 @@ def _row_sum(r):
     return F.aggregate(r, F.lit(0.0), lambda a, v: a + v)
 
 
+def _checksum(x):
+    """Every value weighted by its position (day or hour) and feature: swapped rows or columns
+    change it, which the plain sum would not show."""
+    row = F.transform(x, lambda r, i: (i + 1) * F.aggregate(
+        F.transform(r, lambda v, f: (f + 1) * v), F.lit(0.0), lambda a, v: a + v))
+    return F.aggregate(row, F.lit(0.0), lambda a, v: a + v)
+
+
 def q_price_sequences(spark, sf):
     s = S.price_sequences(_price_rows(spark, sf))
     x_sum = F.aggregate("X", F.lit(0.0), lambda acc, r: acc + _row_sum(r))
     out = s.select("ticker", "date", "label", F.size("X").cast("long").alias("seq_len"),
-                   F.round(x_sum, 1).alias("x_sum"),
+                   F.round(x_sum, 1).alias("x_sum"), F.round(_checksum("X"), 1).alias("checksum"),
                    F.col("X")[0][3].alias("first_close"), F.col("X")[59][3].alias("last_close"))
     return rounded(out, 4)
 
@@ -185,7 +195,7 @@ def q_text_windows(spark, sf):
     d_sum = F.aggregate("X", F.lit(0.0), lambda acc, r: acc + (r[8] + r[9]))
     out = w.select("ticker", "date", "label", F.col("present_hours").cast("long").alias("present_hours"),
                    F.size("X").cast("long").alias("n_hours"), x_sum.alias("x_sum"),
-                   d_sum.alias("delta_sum"), F.col("X")[71][3].alias("last_mean_sentiment"))
+                   _checksum("X").alias("checksum"), d_sum.alias("delta_sum"), F.col("X")[71][3].alias("last_mean_sentiment"))
     return rounded(out)
 
 
@@ -275,7 +285,7 @@ def q_sentiment_buckets(spark, sf):
 
 
 def q_html_decode(spark, sf):
-    """F1 (rows-only): entity decoding of texts carrying ``&amp;``."""
+    """entity decoding of texts carrying ``&amp;``."""
     r = FX.raw_text(spark, sf)
     r = r.withColumn("text", F.when(F.col("post_id") % 2 == 0, F.concat("text", F.lit(" &amp; co")))
                      .otherwise(F.col("text")))
@@ -326,8 +336,7 @@ def q_price_join(spark, sf):
 
 
 def q_projection(spark, sf):
-    hist = SV.last_n(_pred_prices(spark, sf), 30).drop("rank_from_end")
-    d = SV.project_prices(hist)
+    d = SV.project_prices(SV.projection_history(predictions(spark, sf), _bars(spark, sf)))
     return rounded(d.select("ticker", "date", "close", "predicted_close", "avg_move"), 4)
 
 
@@ -386,7 +395,7 @@ def _momentum_predictor(idx, nf):
 
 
 def q_sequence_inference(spark, sf):
-    """X3 + F27 (rows-only): batch inference over the scaled 60 x 23 price windows with
+    """Batch inference over the scaled 60 x 23 price windows with
     ``predict_batch_udf`` (Arrow batches, model built once per worker)."""
     rows, wr = _price_split_weights(spark, sf)
     seqs = S.price_sequences(S.apply_scaler(rows, S.scaler_fit(wr)))
@@ -394,7 +403,26 @@ def q_sequence_inference(spark, sf):
     from marketframe.schemas import PRICE_FEATURES as PF
     model = _momentum_predictor([PF.index("return_1d"), PF.index("momentum_10d")], len(PF))
     out = SC.score_sequences(seqs.select("ticker", "date", "label", "X"), model, ["X"], [[n]])
-    return out.select("ticker", "date", "label", "probability")
+    return out.select("ticker", "date", "label", F.round("probability", 4).alias("probability"))
+
+
+def q_ingest_posts(spark, sf):
+    """A noisy post CSV and a mapping CSV (several files each, counts written
+    ``3.0``, rows without a number, repeated ids) are written to the shared folder and read back."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    posts, mapping = FX.noisy_posts(spark, sf), FX.noisy_mapping(spark, sf)
+    options = {"header": True, "quoteAll": True, "escape": '"'}
+    posts.write.options(**options).csv(f"{folder}/posts")
+    mapping.write.options(**options).csv(f"{folder}/mapping")
+    d = FS.ingest_posts(spark, f"{folder}/posts", f"{folder}/mapping")
+    return d.select("post_id", "ticker", "text", "author", "created_at", "likes_count", "retweet_count", "comment_count")
+
+
+def q_read_bars(spark, sf):
+    """S3: a bar CSV with ``n/a`` values and unreadable dates, written and read back."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    FX.noisy_bars(spark, sf).write.option("header", True).csv(folder)
+    return rounded(FS.read_bars(spark, folder, fmt="csv"), 4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -437,6 +465,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "day_change": q_day_change,
     "signal": q_signal,
     "table_stats": q_table_stats,
+    "ingest_posts": q_ingest_posts,
+    "read_bars": q_read_bars,
     "html_decode": q_html_decode,
     "fusion_predictions": q_fusion_predictions,
     "sequence_inference": q_sequence_inference,

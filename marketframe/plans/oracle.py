@@ -249,7 +249,12 @@ tw_j AS (
     + CASE WHEN e.pos = 0 THEN 0.0 ELSE coalesce(d.delta_tweet_count, 0) END AS row_sum,
     CASE WHEN e.pos = 0 THEN 0.0 ELSE coalesce(d.delta_mean_sentiment, 0) END
     + CASE WHEN e.pos = 0 THEN 0.0 ELSE coalesce(d.delta_tweet_count, 0) END AS d_sum,
-    coalesce(d.mean_sentiment, 0) AS ms
+    coalesce(d.mean_sentiment, 0) AS ms,
+    coalesce(d.p_negative, 0) + 2 * coalesce(d.p_neutral, 0) + 3 * coalesce(d.p_positive, 0)
+    + 4 * coalesce(d.mean_sentiment, 0) + 5 * coalesce(CAST(d.tweet_count AS DOUBLE), 0)
+    + 6 * coalesce(d.sentiment_std, 0) + 7 * coalesce(d.max_sentiment, 0) + 8 * coalesce(d.min_sentiment, 0)
+    + CASE WHEN e.pos = 0 THEN 0.0 ELSE 9 * coalesce(d.delta_mean_sentiment, 0)
+                                        + 10 * coalesce(d.delta_tweet_count, 0) END AS row_weighted
   FROM tw_ex e LEFT JOIN deltas d ON e.ticker = d.ticker AND e.hour = d.hour)"""
 
 # --------------------------------------------------------------------------- text cleaning
@@ -371,16 +376,18 @@ def oracle_sql() -> dict[str, str]:
          CAST(lead(close) OVER ({W}) > close AS INTEGER) AS label FROM bars)
 WHERE next_close IS NOT NULL"""
     rowsum = " + ".join(PRICE_FEATURES)
+    weighted = " + ".join(f"{i + 1} * {c}" for i, c in enumerate(PRICE_FEATURES))
     fr = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
     q["price_sequences"] = with_(*PRICE) + f"""SELECT ticker, date, label, seq_len,
-  {R('x_sum', 4)} AS x_sum, {R('first_close', 4)} AS first_close, {R('close', 4)} AS last_close
+  {R('x_sum', 4)} AS x_sum, {R('checksum', 4)} AS checksum, {R('first_close', 4)} AS first_close, {R('close', 4)} AS last_close
 FROM (
   SELECT ticker, date, label, next_close, n, close, count(*) {fr} AS seq_len,
-    round(sum({rowsum}) {fr}, 1) AS x_sum, first_value(close) {fr} AS first_close
+    round(sum({rowsum}) {fr}, 1) AS x_sum,
+    round(list_sum(list_transform(list({weighted}) {fr}, lambda v, i: i * v)), 1) AS checksum, first_value(close) {fr} AS first_close
   FROM prows) WHERE n >= 60 AND next_close IS NOT NULL"""
     q["text_windows"] = with_(BARS, POSTS, HOURLY, GRID, DELTAS, TEXT_KEYS, TEXT_WIN) + f"""
 SELECT ticker, date, label, CAST(sum(CAST(present AS INTEGER)) AS BIGINT) AS present_hours,
-  count(*) AS n_hours, {R('sum(row_sum)')} AS x_sum, {R('sum(d_sum)')} AS delta_sum,
+  count(*) AS n_hours, {R('sum(row_sum)')} AS x_sum, {R('sum((pos + 1) * row_weighted)')} AS checksum, {R('sum(d_sum)')} AS delta_sum,
   {R('max(CASE WHEN pos = 71 THEN ms END)')} AS last_mean_sentiment
 FROM tw_j GROUP BY ticker, date, label"""
     q["align"] = with_(*ALIGN_ALL) + "SELECT date, ticker, label_price, label_text FROM aligned"
@@ -470,14 +477,15 @@ cm2 AS (
 FROM cm2"""
     auc = """g AS (
   SELECT probability AS s, CAST(sum(actual) AS BIGINT) AS p, CAST(sum(1 - actual) AS BIGINT) AS n
-  FROM predictions GROUP BY probability),
+  FROM predictions WHERE NOT isnan(probability) GROUP BY probability),
 c AS (
   SELECT s, p, n,
     coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
   FROM g)"""
     q["roc_auc"] = with_(*preds, auc) + f"""SELECT
   {R('sum(p * (below + CAST(n AS DOUBLE) / 2.0)) / (CAST(sum(p) AS DOUBLE) * sum(n))')} AS roc_auc,
-  CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM c"""
+  CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives,
+  (SELECT count(*) FROM predictions WHERE probability IS NULL OR isnan(probability)) AS unranked FROM c"""
     q["ticker_accuracy"] = with_(*preds) + f"""SELECT ticker, count(*) AS n,
   {R('avg(CASE WHEN CAST(probability > 0.5 AS INTEGER) = actual THEN 1.0 ELSE 0.0 END)')} AS accuracy
 FROM predictions GROUP BY ticker"""
@@ -498,11 +506,14 @@ FROM pts p ASOF LEFT JOIN bars b ON p.ticker = b.ticker AND p.query_date >= b.da
     q["price_join"] = with_(*preds) + f"""SELECT p.date, p.ticker, p.actual,
   {R('p.probability', 4)} AS probability, {R('b.close', 4)} AS close
 FROM predictions p JOIN bars b ON p.ticker = b.ticker AND p.date = b.date"""
-    proj = f"""hist AS (
-  SELECT * FROM (
-    SELECT p.ticker, p.date, p.probability, b.close,
-           row_number() OVER (PARTITION BY p.ticker ORDER BY p.date DESC) AS rk
-    FROM predictions p JOIN bars b ON p.ticker = b.ticker AND p.date = b.date) WHERE rk <= 30),
+    proj = f"""recent AS (
+  SELECT * FROM predictions
+  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 30),
+enough AS (SELECT * FROM recent QUALIFY count(*) OVER (PARTITION BY ticker) >= 5),
+hist AS (
+  SELECT p.ticker, p.date, p.probability, b.close
+  FROM enough p JOIN bars b ON p.ticker = b.ticker AND p.date = b.date
+  QUALIFY count(*) OVER (PARTITION BY p.ticker) >= 5),
 pj AS (
   SELECT *, lag(close) OVER ({W}) AS pc, lag(probability) OVER ({W}) AS pp FROM hist),
 pj2 AS (
@@ -521,4 +532,34 @@ FROM bars"""
   first(post_id ORDER BY created_at, post_id) AS first_id,
   last(post_id ORDER BY created_at, post_id) AS last_id
 FROM posts GROUP BY ticker"""
+    # the fixture adds one entity; html.unescape leaves other texts as they are
+    q["html_decode"] = with_(RAW_TEXT) + """SELECT post_id,
+  CASE WHEN post_id % 2 = 0 THEN text || ' & co' ELSE text END AS decoded FROM raw_text"""
+    q["ingest_posts"] = """WITH li AS (
+  SELECT *, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_partkey % 5 <> 0),
+p AS (
+  SELECT * FROM li QUALIFY row_number() OVER (
+    PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, day) = 1),
+m AS (
+  SELECT l_orderkey, max(l_linenumber) AS last FROM lineitem WHERE l_orderkey % 9 <> 0 GROUP BY 1)
+SELECT CAST(p.l_orderkey AS VARCHAR) AS post_id, ['AAPL', 'GOOG', 'TSLA'][1 + CAST(m.last % 3 AS INTEGER)] AS ticker,
+  'say "' || l_partkey || '"' || chr(10) || 'line, ' || l_suppkey AS text,
+  'writer' || (l_suppkey % 50) AS author,
+  CAST(day AS TIMESTAMP) + to_seconds(l_linenumber * 61) AS created_at,
+  CAST(l_suppkey % 7 AS BIGINT) AS likes_count, CAST(l_partkey % 3 AS BIGINT) AS retweet_count,
+  CAST(l_partkey % 4 AS BIGINT) AS comment_count
+FROM p JOIN m ON p.l_orderkey = m.l_orderkey"""
+    q["read_bars"] = f"""SELECT o_orderpriority || '-' || o_orderkey AS ticker,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date,
+  {R('o_totalprice', 4)} AS open, {R('o_totalprice', 4)} AS high,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE {R('o_totalprice', 4)} END AS low, {R('o_totalprice', 4)} AS close,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey AS DOUBLE) END AS volume,
+  {R('o_totalprice', 4)} AS adj_close FROM orders"""
+    q["sequence_inference"] = with_(*PRICE, scaler) + """, z AS (
+  SELECT a.ticker, a.date, avg((a.x - s.mean) / s.scale) AS m
+  FROM (UNPIVOT (SELECT ticker, date, return_1d, momentum_10d FROM prows)
+        ON return_1d, momentum_10d INTO NAME feature VALUE x) a
+  JOIN stats2 s ON a.feature = s.feature GROUP BY a.ticker, a.date)
+SELECT k.ticker, k.date, k.label, round(1 / (1 + exp(-z.m)), 4) AS probability
+FROM price_keys k JOIN z ON k.ticker = z.ticker AND k.date = z.date"""
     return q

@@ -8,7 +8,7 @@ sinks (full overwrite vs. replace only the written tickers), not session-wide.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,32 +49,26 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def ensure_session_defaults(spark: SparkSession) -> SparkSession:
     """Pin the SQL settings the library relies on (runtime-settable ones only)."""
     for k, v in SESSION_DEFAULTS.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # pragma: no cover - a locked conf on a managed cluster
-            pass
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)    # raises where a setting is locked: results depend on the zone
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) a fresh folder is created and
-    registered; on a cluster the configured shared folder is always used.
+    Where it is unset, a session whose executors run inside the driver (``local[...]``) gets a
+    fresh folder; any other session raises, since a folder of one machine is not shared.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="mf-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # core conf may be read-only at runtime; the context already has it
-        pass
-    return local
+    if not configured:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="mf-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def cut_lineage(df):
@@ -84,17 +78,13 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df):
-    """Spread CPU-heavy per-row work over the cluster's cores when the scan yields fewer input
-    files and fewer splits than cores (small or single-row-group files cannot be split
-    further). With many files, or large files with many row groups, the scan splits already
-    provide the parallelism and no shuffle is added."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    try:
-        files = len(df.inputFiles())
-    except Exception:  # not a file scan
-        return df
-    if not 0 < files < par:
-        return df
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+#: Session setting: partitions that CPU-bound text work is dealt out over. Unset: as scanned.
+TEXT_PARTITIONS = "marketframe.text.partitions"
+
+
+def text_partitions(df):
+    """Deals rows out over the stated number of partitions, for tables in a few unsplittable files.
+    Without the setting the scan's own splits (``spark.sql.files.maxPartitionBytes``) stand and
+    nothing is shuffled."""
+    n = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

@@ -12,8 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.timefn import epoch_to_ts
-from marketframe.schemas import BAR_COLUMNS, MAPPING_CSV_SCHEMA, POSTS_CSV_SCHEMA
-from marketframe.sources.ingest import attach_ticker, dedup_first
+from marketframe.schemas import BAR_COLUMNS, MAPPING_CSV_SCHEMA, POSTS_CSV_SCHEMA, require_columns
+from marketframe.sources.ingest import append_new, attach_ticker, dedup_first
+
+
+def file_order():
+    """Position of a row in its source: file, block, row. ``monotonically_increasing_id`` alone is
+    not enough, because Spark packs files into partitions by size."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def whole_number(c: str):
+    """A count as written by pandas (``3`` or ``3.0``), truncated; NULL where it is no number."""
+    return F.expr(f"coalesce(try_cast({c} AS BIGINT), try_cast(try_cast({c} AS DOUBLE) AS BIGINT))")
 
 
 def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -21,16 +33,17 @@ def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
     ``map_order`` records the file order so 'last mapping wins' is defined (J1)."""
     df = spark.read.schema(MAPPING_CSV_SCHEMA).option("header", True).csv(path)
     return df.select(F.col("tweet_id").alias("post_id"), F.col("ticker_symbol").alias("ticker"),
-                     F.monotonically_increasing_id().alias("map_order"))
+                     file_order().alias("map_order"))
 
 
 def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Posts CSV (bodies may hold newlines). Rows whose epoch or counts do not parse are
-    skipped, as the reference skips malformed rows."""
+    """Posts CSV (bodies may hold newlines). Rows whose epoch or counts are no numbers are
+    skipped, as the reference skips malformed rows; counts written ``3.0`` are kept. A file with
+    newlines in its fields cannot be split: each file is one task, so deliver many files."""
     raw = (spark.read.schema(POSTS_CSV_SCHEMA).option("header", True)
-           .option("multiLine", True).option("escape", '"').option("mode", "DROPMALFORMED")
-           .csv(path))
-    ints = {c: F.expr(f"try_cast({c} AS BIGINT)") for c in
+           .option("multiLine", True).option("escape", '"')
+           .csv(path)).withColumn("ingest_order", file_order())
+    ints = {c: whole_number(c) for c in
             ["post_date", "comment_num", "retweet_num", "like_num"]}
     d = raw.withColumns(ints)
     ok = F.lit(True)
@@ -46,7 +59,7 @@ def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
         F.col("retweet_num").alias("retweet_count"),
         F.col("comment_num").alias("comment_count"),
         F.lit(None).cast("double").alias("sentiment_score"),
-        F.monotonically_increasing_id().alias("ingest_order"),
+        "ingest_order",
     )
 
 
@@ -63,18 +76,18 @@ def ingest_posts(spark: SparkSession, posts_csv: str, mapping_csv: str, tickers=
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """S3: daily bars from a file source. Column names are normalised case-insensitively,
-    ``date`` parsed (bad values -> NULL), prices cast to double and ``adj_close`` taken from the
-    file when present, else the close."""
+    ``date`` parsed, prices cast to double (bad values -> NULL, W15 fills them) and ``adj_close``
+    taken from the file when present, else the close. Missing columns raise."""
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
     df = reader.format(fmt).load(path)
     names = {c: c.strip().lower().replace(" ", "_") for c in df.columns}
-    df = df.withColumnsRenamed(names)
+    df = require_columns(df.withColumnsRenamed(names), ["ticker", "date", "open", "high", "low", "close", "volume"])
     cols = {"date": F.coalesce(F.expr("try_cast(date AS DATE)"),
                                F.try_to_timestamp(F.col("date").cast("string")).cast("date"))}
     for c in ["open", "high", "low", "close", "volume"]:
-        cols[c] = F.col(c).cast("double")
-    adj = F.col("adj_close").cast("double") if "adj_close" in df.columns else F.lit(None)
-    cols["adj_close"] = F.coalesce(adj, F.col("close").cast("double"))
+        cols[c] = F.expr(f"try_cast({c} AS DOUBLE)")
+    adj = F.expr("try_cast(adj_close AS DOUBLE)") if "adj_close" in df.columns else F.lit(None)
+    cols["adj_close"] = F.coalesce(adj, cols["close"])
     return df.withColumns(cols).select(*BAR_COLUMNS)
 
 
@@ -101,14 +114,35 @@ def write_table(df: DataFrame, path: str, partition_by=None) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
-def replace_tickers(df: DataFrame, path: str, ticker: str = "ticker") -> None:
-    """Replace only the tickers present in ``df`` (dynamic partition overwrite)."""
+def append_posts(incoming: DataFrame, path: str, key: str = "post_id", order=None) -> None:
+    """S8 sink: appends the rows whose key the Parquet table at ``path`` does not hold yet, the
+    first of each key in ``order``. The table is created by the first call."""
+    spark = incoming.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        fresh = append_new(spark.read.parquet(path), incoming, key, order)
+    else:
+        fresh = dedup_first(incoming, key, order)
+    fresh.drop(*(order or [])).write.mode("append").parquet(path)
+
+
+def replace_tickers(df: DataFrame, path: str, ticker: str = "ticker", tickers=None) -> None:
+    """Replace only the tickers present in ``df`` (dynamic partition overwrite). Tickers given
+    in ``tickers`` lose their stored rows even if ``df`` has no new ones for them."""
+    if tickers:
+        spark = df.sparkSession
+        fresh = {r[0] for r in df.select(ticker).where(F.col(ticker).isin(list(tickers))).distinct().collect()}
+        for t in set(tickers) - fresh:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{ticker}={t}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     (_rebalanced(df, [ticker]).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(ticker).parquet(path))
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
-    """Sample archive as Parquet partitioned by split; dates stay dates."""
+    """Sample archive as Parquet partitioned by split; dates stay dates, windows are float32."""
+    if "X" in samples.columns:
+        samples = samples.withColumn("X", F.col("X").cast("array<array<float>>"))
     _rebalanced(samples, ["split"]).write.mode("overwrite").partitionBy("split").parquet(path)
 
 

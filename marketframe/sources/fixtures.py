@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.timefn import add_hours
-from marketframe.session import spread
+from marketframe.session import text_partitions
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -111,8 +111,7 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         t.alias("text"),
         "lang",
     )
-    # cleaning and tokenising are CPU-bound: spread them over the cores
-    return spread(out)
+    return text_partitions(out)
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,3 +123,47 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("ticker"),
         F.col("l_partkey").alias("map_order"),
     )
+
+
+def noisy_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the post CSV from lineitem. The id is the order, so ids repeat; files follow the
+    line number, so the first row of an id is that of the smallest line number. Likes of every
+    fifth part are no number, other counts are written as pandas writes floats."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("day"))
+    order = ["l_linenumber", "l_orderkey", "l_partkey", "l_suppkey", "day"]
+    rows = li.repartitionByRange(3, "l_linenumber").sortWithinPartitions(*order)
+    days = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long")
+    return rows.select(
+        F.col("l_orderkey").cast("string").alias("tweet_id"),
+        F.concat(F.lit("writer"), (F.col("l_suppkey") % 50).cast("string")).alias("writer"),
+        (days * 86400 + F.col("l_linenumber") * 61).cast("string").alias("post_date"),
+        F.concat(F.lit('say "'), F.col("l_partkey").cast("string"), F.lit('"\nline, '),
+                 F.col("l_suppkey").cast("string")).alias("body"),
+        F.concat((F.col("l_partkey") % 4).cast("string"), F.lit(".0")).alias("comment_num"),
+        (F.col("l_partkey") % 3).cast("string").alias("retweet_num"),
+        F.when(F.col("l_partkey") % 5 == 0, F.lit("n/a")).otherwise(
+            F.concat((F.col("l_suppkey") % 7).cast("string"), F.lit(".0"))).alias("like_num"))
+
+
+def noisy_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the mapping CSV: an id repeats with other tickers; the last row wins. Every ninth
+    order is not mapped."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").where("l_orderkey % 9 <> 0")
+    rows = li.repartitionByRange(3, "l_linenumber").sortWithinPartitions("l_linenumber", "l_orderkey")
+    names = F.array(F.lit("AAPL"), F.lit("GOOG"), F.lit("TSLA"))
+    return rows.select(F.col("l_orderkey").cast("string").alias("tweet_id"),
+                       F.get(names, (F.col("l_linenumber") % 3).cast("int")).alias("ticker_symbol"))
+
+
+def noisy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a bar CSV, a row an order: volumes and dates that do not parse."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey",
+                                              F.to_date("o_orderdate").alias("day"))
+    price = F.col("o_totalprice").cast("string")
+    return o.select(
+        F.concat(F.col("o_orderpriority"), F.lit("-"), F.col("o_orderkey").cast("string")).alias("Ticker"),
+        F.when(F.col("o_orderkey") % 11 == 0, F.lit("unknown")).otherwise(F.col("day").cast("string")).alias("Date"),
+        price.alias("Open"), price.alias("High"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(price).alias("Low"), price.alias("Close"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("n/a")).otherwise(F.col("o_custkey").cast("string")).alias("Volume"))

@@ -15,46 +15,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.timefn import roll_weekend
-from marketframe.session import checkpoint_dir, ensure_session_defaults
+from marketframe.operators.hourly import hourly_aggregates, hourly_inputs
+from marketframe.session import ensure_session_defaults
 
 
 def hourly_sentiment_stream(posts: DataFrame, ts: str = "created_at",
                             delay: str = "3 days") -> DataFrame:
     """Streaming A4 + A5: same columns and formulas as the batch ``hourly_weighted``."""
     ensure_session_defaults(posts.sparkSession)  # UTC: wall-clock hours = epoch-aligned windows
-    eng = F.coalesce(F.col("likes_count"), F.lit(0)) + F.coalesce(F.col("retweet_count"), F.lit(0))
-    base = posts.select(
-        "ticker", roll_weekend(ts).cast("timestamp").alias("event_time"), eng.cast("double").alias("_eng"),
-        F.log1p(eng).alias("_w"), "p_negative", "p_neutral", "p_positive",
-        F.col("sentiment_score").alias("_s"))
-    sw = F.sum("_w")
-    n = F.count(F.lit(1))
-
-    def wmean(x):
-        return F.when(sw > 0, F.sum(F.col(x) * F.col("_w")) / sw).otherwise(F.sum(x) / n)
-
+    base = posts.select("ticker", roll_weekend(ts).cast("timestamp").alias("event_time"), *hourly_inputs())
     agg = (base.withWatermark("event_time", delay)
            .groupBy(F.window("event_time", "1 hour").alias("w"), "ticker")
-           .agg(wmean("p_negative").alias("p_negative"), wmean("p_neutral").alias("p_neutral"),
-                wmean("p_positive").alias("p_positive"), wmean("_s").alias("mean_sentiment"),
-                n.alias("tweet_count"),
-                F.coalesce(F.stddev_samp("_s"), F.lit(0.0)).alias("sentiment_std"),
-                F.max("_s").alias("max_sentiment"), F.min("_s").alias("min_sentiment"),
-                F.sum("_eng").alias("total_engagement"), F.avg("_eng").alias("avg_engagement")))
+           .agg(*hourly_aggregates()))
     return agg.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "ticker",
                       *[c for c in agg.columns if c not in ("w", "ticker")])
 
 
 def run_hourly_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str,
-                      checkpoint: str | None = None, delay: str = "3 days"):
+                      checkpoint: str, delay: str = "3 days"):
     """Process every post file available now under ``source_dir`` and append the finalised
-    hours to ``sink_dir`` (Parquet). The checkpoint lives in the shared checkpoint folder, so a
-    restarted or failed-over driver resumes exactly where it stopped."""
+    hours to ``sink_dir`` (Parquet). ``checkpoint`` is a folder of this stream's own that all
+    machines share, so a restarted or failed-over driver resumes exactly where it stopped."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/hourly_stream"
     q = (hourly_sentiment_stream(stream, delay=delay).writeStream
          .outputMode("append").format("parquet")
-         .option("path", sink_dir).option("checkpointLocation", ckpt)
+         .option("path", sink_dir).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q

@@ -363,14 +363,70 @@ def test_extra_indicator_columns(spark):
     assert r.close_ma3 == 4.0 and "MACD_hist" in out.columns
 
 
-def test_spread_only_when_files_are_fewer_than_cores(spark):
+def test_text_partitions_is_a_stated_setting(spark):
     from conftest import SF_SMALL
-    from marketframe.session import spread
-    one_file = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    par = spark.sparkContext.defaultParallelism
-    assert spread(one_file).rdd.getNumPartitions() == par          # 1 file < cores: spread
-    not_a_scan = spark.range(10)
-    assert spread(not_a_scan) is not_a_scan                         # no input files: unchanged
+    from marketframe.session import TEXT_PARTITIONS, text_partitions
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert text_partitions(docs) is docs                              # unset: no shuffle
+    spark.conf.set(TEXT_PARTITIONS, "5")
+    try:
+        assert text_partitions(docs).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset(TEXT_PARTITIONS)
+
+
+def test_hard_inputs_of_metrics_ema_and_text(spark):
+    from marketframe.functions.text import not_blank
+    from marketframe.operators import metrics as M
+    from marketframe.operators.ema import ema
+
+    def auc(rows):
+        return M.roc_auc(spark.createDataFrame(rows, "probability double, actual int")).first()
+
+    r = auc([(None, 1), (float("nan"), 0), (0.9, 1), (0.1, 0), (0.2, 0)])
+    assert (r.roc_auc, r.positives, r.negatives, r.unranked) == (1.0, 1, 2, 2)
+    rng = np.random.default_rng(3)
+    for scale in (1e-9, 1.0, 50.0):                                    # concentrated scores, logits
+        s, y = rng.normal(size=600) * scale, rng.integers(0, 2, 600)
+        s[:50] = s[50:100]                                             # ties
+        pos, neg = s[y == 1], s[y == 0]
+        want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+        assert math.isclose(auc([(float(a), int(b)) for a, b in zip(s, y)]).roc_auc, want, rel_tol=1e-12)
+    gap = _bars(spark, {"A": [1.0, 2.0, 3.0]}).withColumn("close", F.when(F.col("close") != 2, F.col("close")))
+    with pytest.raises(Exception, match="fill the gaps first"):
+        ema(gap, "close", 10).collect()
+    t = spark.createDataFrame([("\n\t",), (" a ",), (None,), ("\u00a0",)], "t string")
+    assert [x[0] for x in t.select(not_blank("t")).collect()] == [False, True, False, False]
+
+
+def test_posts_are_scanned_once(spark):
+    from conftest import SF_SMALL
+    from marketframe.plans import catalog
+
+    for name, most in (("hourly_grid", 1), ("hourly_delta", 1), ("asof_lookup", 1)):
+        df = catalog.QUERIES[name](spark, SF_SMALL)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("l_shipdate") and sum("FileScan" in x and "lineitem" in x for x in plan.split("\n")) == most, name
+
+
+def test_bars_without_posts_take_the_default_range(spark):
+    from marketframe.operators.prices import restrict_bars
+    bars = spark.createDataFrame([("A", dt.date(2014, 1, 1)), ("A", dt.date(2016, 1, 4)), ("B", dt.date(2021, 1, 4))],
+                                 "ticker string, date date")
+    posts = spark.createDataFrame([], "ticker string, created_at timestamp_ntz")
+    assert [r.date for r in restrict_bars(bars, posts).collect()] == [dt.date(2016, 1, 4)]
+
+
+def test_projection_takes_the_last_aligned_rows_first(spark):
+    from marketframe.operators.serving import projection_history
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    pred = spark.createDataFrame([(t, d, 0.6) for t, n in (("A", 40), ("B", 4)) for d in days[:n]],
+                                 "ticker string, date date, probability double")
+    bars = spark.createDataFrame([(t, d, 1.0) for t in "AB" for d in days if d != days[35]],
+                                 "ticker string, date date, close double")
+    rows = projection_history(pred, bars).collect()
+    assert {r.ticker for r in rows} == {"A"} and len(rows) == 29          # one of the 30 has no price
 
 
 def test_date_helpers_and_default_range(spark):

@@ -253,3 +253,61 @@ def test_model_selection_on_train_tail(spark):
     assert set(scores) == {("logistic", 0.0), ("logistic", 1.0)}
     assert max(scores.values()) > 0.8
     assert C.predict_direction(model, df).count() == 160
+
+
+def _csv(folder, name, head, rows):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write(head + "\n" + "\n".join(rows) + "\n")
+
+
+def test_file_order_decides_even_if_the_first_file_is_small(spark):
+    head = "tweet_id,writer,post_date,body,comment_num,retweet_num,like_num"
+    d, m = _tmp(), _tmp()
+    _csv(d, "a.csv", head, ["7,x,1420070457,first,0.0,1.0,3.0"])
+    _csv(d, "b.csv", head, ["7,x,1420070458,second,0,1,4"] + [f"{i},x,1420070457,more text here,0,0,0" for i in range(100, 4000)])
+    _csv(m, "a.csv", "tweet_id,ticker_symbol", ["7,OLD"])
+    _csv(m, "b.csv", "tweet_id,ticker_symbol", ["7,NEW"] + [f"{i},ABC" for i in range(100, 4000)])
+    out = FS.ingest_posts(spark, d, m)
+    assert out.count() == 3901
+    r = out.where("post_id = '7'").first()
+    assert (r.text, r.likes_count, r.ticker) == ("first", 3, "NEW")    # 3.0 is kept; last mapping wins
+
+
+def test_append_sink_ignores_stored_ids(spark):
+    path = os.path.join(_tmp(), "posts")
+    rows = lambda *r: spark.createDataFrame(r, "post_id long, text string, n int")
+    FS.append_posts(rows((1, "a", 1), (1, "b", 0), (2, "c", 5)), path, order=["n"])
+    FS.append_posts(rows((2, "again", 1), (3, "d", 1)), path, order=["n"])
+    got = {r.post_id: r.text for r in spark.read.parquet(path).collect()}
+    assert got == {1: "b", 2: "c", 3: "d"}
+
+
+def test_bars_reader_keeps_rows_with_unreadable_values(spark):
+    d = _tmp()
+    _csv(d, "b.csv", "Ticker,Date,Open,High,Low,Close,Volume", ["A,2020-01-02,1,2,0.5,1.5,n/a"])
+    r = FS.read_bars(spark, d, fmt="csv").first()
+    assert r.volume is None and r.close == 1.5
+    _csv(os.path.join(d, "x"), "b.csv", "Ticker,Date,Open", ["A,2020-01-02,1"])
+    with pytest.raises(ValueError, match="missing required columns"):
+        FS.read_bars(spark, os.path.join(d, "x"), fmt="csv")
+
+
+def test_listed_ticker_without_new_rows_is_cleared(spark):
+    d = os.path.join(_tmp(), "bars")
+    b = FX.bars(spark, SF_SMALL)
+    FS.write_table(b, d, "ticker")
+    FS.replace_tickers(b.where("ticker = '1-URGENT'").limit(2), d, tickers=["1-URGENT", "2-HIGH"])
+    left = {r[0]: r[1] for r in spark.read.parquet(d).groupBy("ticker").count().collect()}
+    assert left["1-URGENT"] == 2 and "2-HIGH" not in left and len(left) == b.select("ticker").distinct().count() - 1
+
+
+def test_two_streams_side_by_side(spark):
+    from marketframe.streaming.hourly import run_hourly_stream
+    posts = FX.posts(spark, SF_SMALL).select(
+        "ticker", "created_at", "likes_count", "retweet_count", "p_negative", "p_neutral", "p_positive", "sentiment_score")
+    for part in ("1-URGENT", "2-HIGH"):
+        src, sink, ck = (os.path.join(_tmp(), x) for x in ("posts", "hourly", "ck"))
+        posts.where(F.col("ticker") == part).write.parquet(src)
+        run_hourly_stream(spark, src, posts.schema, sink, ck)
+        assert {r[0] for r in spark.read.parquet(sink).select("ticker").distinct().collect()} == {part}
