@@ -4,7 +4,9 @@ A document's set holds its distinct word shingles as 64-bit keys. Keys follow on
 rare shingles first: document frequencies are counted over all documents into ``2 ** SKETCH_BITS``
 cells (a table of fixed size), and a key's leading bits are replaced by the rank of its cell.
 Two sets with Jaccard similarity of t percent or more share a key among their first
-``n - ceil(t n / 100) + 1`` keys, their prefixes.
+``n - ceil(t n / 100) + 1`` keys, their prefixes; one of the keys they share is early (see
+``_early``) in the smaller set, so keys that are early in no set, and pairs late in the smaller,
+need no look.
 
 1. Documents with equal sets are one class; classes with the same prefix and size are one group,
    and only groups are posted under their prefix keys. Keys posted once are dropped.
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 
 from marketframe.llm import textbytes as tb
 from marketframe.llm.components import components
-from marketframe.llm.packing import Batches, Key, filter_cell, fresh, id_filter, passes
+from marketframe.llm.packing import Batches, Key, filter_cell, fresh, id_filter, passes, planes, unplanes
 from marketframe.session import cut_lineage
 
 WORDS = 3              # words of a shingle
 PERCENT = 90           # least similarity
-SKETCH_BITS = 20       # cells of the frequency table
+SKETCH_BITS = 22       # cells of the frequency table
 SIGN_WORDS = 8         # 64-bit words of a parity bitmap
 WIDE_FROM = 1000       # sets of this size and more have a wide bitmap as well
 WIDE_WORDS = 64
@@ -64,7 +66,7 @@ def _sets(texts, words: int, rank=None):
     """Sorted distinct keys of every document."""
     h, at = _hashes(texts, words)
     if rank is not None:
-        h = (rank[(h >> _SHIFT).astype(np.int64)] << _SHIFT) | (h & _LOW)
+        h = (rank[(h >> _SHIFT).astype(np.int64)].astype(np.uint64) << _SHIFT) | (h & _LOW)
     return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
@@ -79,15 +81,15 @@ def _frequency_rank(docs: DataFrame, words: int) -> np.ndarray:
             for part in tb.slices(batch):
                 for s in _sets(part.column("text"), words):
                     np.add.at(cells, (s >> _SHIFT).astype(np.int64), 1)
-        rows = cells.reshape(-1, chunk).astype(np.int32)
+        rows = cells.reshape(-1, chunk)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()),
-                                          pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "cells"])
+                                          pa.array([planes(r) for r in rows], pa.binary())], ["part", "cells"])
 
     def add(key: Key, batches: Batches) -> Batches:
         total = np.zeros(chunk, np.int64)
         for batch in batches:
             for x in batch.column("cells").to_pylist():
-                total += np.frombuffer(x, np.int32)
+                total += unplanes(x)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()),
                                           pa.array([total.tobytes()], pa.binary())], ["part", "cells"])
 
@@ -96,8 +98,8 @@ def _frequency_rank(docs: DataFrame, words: int) -> np.ndarray:
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
         cells[r.part * chunk:(r.part + 1) * chunk] = np.frombuffer(r.cells, np.int64)
-    rank = np.empty(len(cells), np.uint64)
-    rank[np.argsort(cells, kind="stable")] = np.arange(len(cells), dtype=np.uint64)
+    rank = np.empty(len(cells), np.uint32)
+    rank[np.argsort(cells, kind="stable")] = np.arange(len(cells), dtype=np.uint32)
     return rank
 
 
@@ -132,17 +134,27 @@ def _features(docs: DataFrame, rank, words: int, percent: int) -> DataFrame:
                             "sign array<long>, wide array<long>")
 
 
-def _near(percent: int):
-    """Exact filter on sizes and parity bitmaps of a pair."""
+def _sizes(percent: int):
+    return 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+
+
+def _early(n, percent: int):
+    """Keys of a set among which it meets every similar set that is not smaller."""
+    return n - F.ceil(2 * percent * n / F.lit(100 + percent)) + 1
+
+
+def _near(percent: int, wide: bool):
+    """Exact filter on the parity bitmaps of a pair."""
     apart = sum((F.bit_count(F.col("a_sign")[i].bitwiseXOR(F.col("b_sign")[i])) for i in range(1, SIGN_WORDS)),
                 F.bit_count(F.col("a_sign")[0].bitwiseXOR(F.col("b_sign")[0])))
+    total = F.col("a_n") + F.col("b_n")
+    if not wide:
+        return (100 + percent) * apart <= (100 - percent) * total
     far_apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
                             F.lit(0), lambda total, x: total + x)
     both_wide = (F.size("a_wide") > 0) & (F.size("b_wide") > 0)
     least = F.when(both_wide, far_apart).otherwise(apart)
-    total = F.col("a_n") + F.col("b_n")
-    sizes = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    return sizes & ((100 + percent) * least <= (100 - percent) * total)
+    return (100 + percent) * least <= (100 - percent) * total
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rank, words: int, percent: int) -> DataFrame:
@@ -191,10 +203,13 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     classes = cut_lineage(rows.select(F.col("doc_id").alias("id"), "n", "head", "prefix", "sign", "wide"))
     groups = classes.groupBy("head", "n").agg(F.min("id").alias("gid"), F.count("*").alias("members"))
     heads = classes.join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
-    posts = heads.select(F.explode("prefix").alias("key"), F.col("id").alias("gid"), "n")
-    shared = posts.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("key")
+    posts = heads.select(F.posexplode("prefix").alias("at", "key"), F.col("id").alias("gid"), "n")
+    posts = posts.select("key", "gid", "n", (F.col("at") < _early(F.col("n"), percent)).alias("early"))
+    shared = posts.groupBy("key").agg(F.count("*").alias("c"), F.max("early").alias("e"))
+    shared = shared.where((F.col("c") > 1) & F.col("e")).select("key")
     # members of one group of several classes meet under a key of their own
-    crowd = groups.where(F.col("members") > 1).select(F.xxhash64("gid", F.lit("group")).alias("key"), "gid", "n")
+    crowd = groups.where(F.col("members") > 1).select(F.xxhash64("gid", F.lit("group")).alias("key"), "gid", "n",
+                                                    F.lit(True).alias("early"))
     live = cut_lineage(posts.join(shared, "key").unionByName(crowd))
     member = classes.join(groups.select("head", "n", "gid"), ["head", "n"]).select("gid", "id")
     signs = classes.select("id", "n", "sign", "wide")
@@ -203,7 +218,7 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
         for side in "ab":
             s = signs.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "sign", "wide")))
             pairs = pairs.join(s, side)
-        return pairs.where(_near(percent)).select("a", "b")
+        return pairs.where(_sizes(percent) & _near(percent, True)).select("a", "b")
 
     # hubs: the smallest group of every key and size band
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
@@ -213,24 +228,28 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
               .join(member, "gid").select(F.col("id").alias("a"), F.col("hub").alias("b")))
     pairs = cut_lineage(with_signs(to_hub.where(F.col("a") != F.col("b")).distinct()))
     links = cut_lineage(_verified(pairs, docs, rank, words, percent))
-    comp = cut_lineage(components(links))
+    comp = components(links)
 
     # keys that still hold several components
     labelled = (live.join(member, "gid").join(comp.withColumnRenamed("node", "id"), "id", "left")
-                .select("key", "id", F.coalesce("component", "id").alias("comp")))
+                .select("key", "id", "n", "early", F.coalesce("component", "id").alias("comp")))
     sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
     open_keys = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major"))
     open_keys = open_keys.where(F.col("k") > 1).select("key", "major")
-    opened = cut_lineage(labelled.join(open_keys, "key").join(signs, "id"))
-    left = opened.where(F.col("comp") != F.col("major")).select(
-        "key", F.col("id").alias("a"), F.col("comp").alias("a_comp"),
-        *(F.col(c).alias(f"a_{c}") for c in ("n", "sign", "wide")))
-    right = opened.select("key", F.col("id").alias("b"), F.col("comp").alias("b_comp"),
-                          *(F.col(c).alias(f"b_{c}") for c in ("n", "sign", "wide")), (F.col("comp") == F.col("major")).alias("b_major"))
+    opened = cut_lineage(labelled.join(open_keys, "key"))
+    signed = opened.join(signs.select("id", "sign"), "id")
+    columns = ("comp", "n", "early", "sign")
+    left = signed.where(F.col("comp") != F.col("major")).select(
+        "key", F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    right = signed.select("key", F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns), (F.col("comp") == F.col("major")).alias("b_major"))
     meet = left.join(right, (left["key"] == right["key"]) & (F.col("a_comp") != F.col("b_comp"))
-                     & (F.col("b_major") | (F.col("a") < F.col("b"))) & _near(percent))
-    rest = cut_lineage(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = cut_lineage(_verified(rest, docs, rank, words, percent))
+                     & (F.col("b_major") | (F.col("a") < F.col("b"))) & _sizes(percent)
+                     & F.when(F.col("a_n") > F.col("b_n"), F.col("b_early")).when(
+                         F.col("a_n") < F.col("b_n"), F.col("a_early")).otherwise(F.col("a_early") | F.col("b_early"))
+                     & _near(percent, False))
+    rest = cut_lineage(with_signs(
+        meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    more = _verified(rest, docs, rank, words, percent)
     comp = components(links.unionByName(more)).withColumnRenamed("node", "rep")
     final = reps.join(comp, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     return (feats.select("doc_id", *key).join(final, key, "left")
