@@ -213,7 +213,7 @@ def test_roc_auc_matches_pairwise(spark):
     y = (rng.random(300) < s).astype(int)
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)],
                                "probability double, actual int")
-    got = M.roc_auc(df, buckets=4, cells=4).collect()[0].roc_auc
+    got = M.roc_auc(df, buckets=4).collect()[0].roc_auc
     assert math.isclose(M.roc_auc(df).collect()[0].roc_auc, got, rel_tol=1e-12)
     pos, neg = s[y == 1], s[y == 0]
     exp = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (
