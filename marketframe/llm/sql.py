@@ -77,4 +77,56 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLES = {"op2_mixing": OP2, "op7_topk": OP7, "op10_quality_rules": OP10}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP1 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{W}') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ')
+         ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 90 * (x.n + y.n - inter)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, seen) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{W}') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+g AS (SELECT doc_id, i FROM w QUALIFY doc_id > min(doc_id) OVER (PARTITION BY h)),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM g, (SELECT unnest(range(50)) AS k)),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) AS kept, count(*) AS n FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.j = gone.j
+      GROUP BY x.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+# bytes as pairs of hexadecimal digits
+OP5 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substring(x, 2 * i + 1, 100) AS h
+      FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+g AS (SELECT doc_id, i FROM w QUALIFY doc_id > min(doc_id) OVER (PARTITION BY h)),
+u AS (SELECT doc_id, i, i > coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50, -1) AS new FROM g),
+v AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM u),
+spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM v GROUP BY doc_id, run),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his
+      FROM spans GROUP BY doc_id),
+k AS (SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, x,
+             list_concat([0], coalesce(his, [])) AS begins, list_concat(coalesce(los, []), [length(x) // 2]) AS ends
+      FROM d LEFT JOIN t USING (doc_id))
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
+       sha256(unhex(array_to_string(list_transform(list_zip(begins, ends),
+              lambda z: substring(x, 2 * z[1] + 1, 2 * (z[2] - z[1]))), ''))) AS kept_sha256
+FROM k
+"""
+
+ORACLES = {"op1_ngram_jaccard": OP1, "op4_block_dedup": OP4, "op5_suffix_dedup": OP5, "op2_mixing": OP2, "op7_topk": OP7, "op10_quality_rules": OP10}
