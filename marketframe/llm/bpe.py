@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketframe.llm.textbytes import small_batches
+
 LONG_TEXT = 32768      # characters; longer texts are encoded by segments
 LEAF = 8192            # characters of a segment at most
 LONG_PIECE = 512       # bytes; a longer unsplit piece is encoded by halves
@@ -148,7 +150,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, with_ids: boo
     the empty text; other columns are ignored; an empty table gives an empty result."""
     path = vocabulary or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = _schema(kind, with_ids)
 
     def short(batches):

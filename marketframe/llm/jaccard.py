@@ -190,7 +190,7 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     stay repeated (rows that share an id are one document; their texts should agree); rows
     without an id get themselves (null) as component; other columns are ignored; an empty table
     gives an empty result. Set equality is judged by two 64-bit sums and the size."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = tb.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(_frequency_rank(docs, words))
     feats = cut_lineage(_features(docs, rank, words, percent))

@@ -198,7 +198,7 @@ def document_scores(texts, model):
 
 
 def _with_scores(docs: DataFrame, labels: DataFrame, label: str, fit_rows_: int, name: str) -> DataFrame:
-    sample = labelled_sample(docs, labels, label, fit_rows_).select("y", "text")
+    sample = labelled_sample(tb.small_batches(docs), labels, label, fit_rows_).select("y", "text")
     rows = sorted((r.y, bytes(r.lines)) for r in sample.mapInArrow(_extract, "y int, lines binary").collect())
     model = docs.sparkSession.sparkContext.broadcast(fit_rows(rows))
 
@@ -210,7 +210,7 @@ def _with_scores(docs: DataFrame, labels: DataFrame, label: str, fit_rows_: int,
                     [*part.columns, pa.array(document_scores(part.column("text"), model.value))],
                     [*part.schema.names, name])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return tb.small_batches(docs).mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def line_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS,

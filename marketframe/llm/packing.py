@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketframe.llm.textbytes import small_batches
+
 Key = Tuple[pa.Scalar, ...]
 Batches = Iterator[pa.RecordBatch]
 
@@ -69,9 +71,9 @@ def n_buckets(docs: DataFrame) -> int:
 
 def with_mark(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, text): the mark tells apart rows that share an id but not the text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.hash(F.coalesce("text", F.lit(""))).alias("mark"),
-                       F.coalesce("text", F.lit("")).alias("text"))
+    return small_batches(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("mark"),
+        F.coalesce("text", F.lit("")).alias("text"))
 
 
 def fresh(docs: DataFrame, name: str) -> str:

@@ -121,4 +121,4 @@ def quality_rules(docs: DataFrame, with_text: bool = False) -> DataFrame:
                         for a, b in zip(line_first[:-1], line_first[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *out.values()], ["doc_id", *out])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", clean_text string" * with_text)
+    return tb.small_batches(docs).select("doc_id", "text").mapInArrow(run, schema + ", clean_text string" * with_text)

@@ -22,6 +22,20 @@ BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: Rows of an Arrow batch at most. Documents are long: Spark's default of 10,000 rows is some 35 MB
+#: of average text in the JVM and again in each Python worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(docs):
+    """Lowers the session's Arrow batch size to ``BATCH_ROWS``, if it is larger; returns ``docs``."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return docs
+
+
 def slices(batch, column: str = "text", limit: int = SLICE_BYTES):
     """Zero-copy row slices of ``batch`` holding at most ``limit`` bytes of text (or one row)."""
     import pyarrow as pa

@@ -121,7 +121,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows:
     rows score alike; without labels every score is one half; an empty table gives an empty
     result."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = labelled_sample(docs, labels, label, fit_rows).select("y", "text")
+    sample = labelled_sample(tb.small_batches(docs), labels, label, fit_rows).select("y", "text")
     prior = log_odds(labels, label)
     rows = [(r.y, bytes(r.buckets)) for r in sample.mapInArrow(_extract, "y int, buckets binary").collect()]
     rows.sort()                                             # the fit does not depend on task order
