@@ -97,21 +97,19 @@ def train_row_weights(rows: DataFrame, split_samples: DataFrame, length: int = 6
 def scaler_fit(weighted_rows: DataFrame, features=PRICE_FEATURES, ticker: str = "ticker",
                date: str = "date") -> DataFrame:
     """Per-feature mean and population std over every train row x timestep (weights from
-    W12); zero variance -> scale 1. Two passes (mean, then centred squares)."""
-    long = (weighted_rows.where(F.col("weight") > 0)
-            .select(ticker, date, "weight", *[F.col(f).cast("double").alias(f) for f in features])
-            .unpivot([ticker, date, "weight"], list(features), "feature", "x"))
-    means = long.groupBy("feature").agg(
-        (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("mean"),
-        F.sum("weight").alias("n"))
-    # one row per feature: a proven size bound, so broadcast is safe
-    var = (long.join(F.broadcast(means), "feature")
-           .groupBy("feature", "mean", "n")
-           .agg((F.sum(F.col("weight") * (F.col("x") - F.col("mean")) ** 2)
-                 / F.sum("weight")).alias("var")))
-    std = F.sqrt("var")
-    return var.select("feature", "mean", F.when(std == 0, F.lit(1.0)).otherwise(std)
-                      .alias("scale"), F.col("n").cast("long").alias("n"))
+    W12); zero variance -> scale 1. Two passes (mean, then centred squares), each one wide
+    aggregate; the row of means meets the rows by a constant, and only the result is unpivoted."""
+    one, w = F.lit(1).alias("_one"), F.col("weight")
+    rows = weighted_rows.where(w > 0).select(w, one, *[F.col(f).cast("double").alias(f) for f in features])
+    means = rows.agg(F.sum(w).alias("_n"), *[(F.sum(F.col(f) * w) / F.sum(w)).alias(f"_m_{f}") for f in features])
+    both = rows.join(F.broadcast(means.select("*", one)), "_one")           # one row: proven size
+    wide = both.agg(F.first("_n").alias("n"), *[F.first(f"_m_{f}").alias(f"_m_{f}") for f in features], *[
+        F.sqrt(F.sum(w * (F.col(f) - F.col(f"_m_{f}")) ** 2) / F.sum(w)).alias(f"_s_{f}") for f in features])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_m_{f}").alias("mean"),
+                                        F.col(f"_s_{f}").alias("std")) for f in features]))
+    return (wide.where(F.col("n").isNotNull()).select(each.alias("e"), F.col("n").cast("long").alias("n"))
+            .select("e.feature", "e.mean", F.when(F.col("e.std") == 0, F.lit(1.0)).otherwise(F.col("e.std"))
+                    .alias("scale"), "n"))
 
 
 def scale_long(rows: DataFrame, stats: DataFrame, features=PRICE_FEATURES,
@@ -183,16 +181,50 @@ def text_window_rows(keys: DataFrame, grid_deltas: DataFrame, hours: int = 72,
 
 
 def text_windows(keys: DataFrame, grid_deltas: DataFrame, hours: int = 72,
-                 lag_hours: int = 24, ticker: str = "ticker", date: str = "date") -> DataFrame:
+                 lag_hours: int = 24, ticker: str = "ticker", date: str = "date",
+                 prediction_hour: int = 16) -> DataFrame:
     """J5 + W14: the ``hours`` hourly rows ending ``lag_hours`` before the prediction time as one
-    ``X`` array per sample (time-ordered), grouped from :func:`text_window_rows`."""
+    ``X`` array per sample (time-ordered).
+
+    Windows of whole days are built from 24-hour segments that end at the window's last hour of
+    day: the grid is grouped once into segments (absent hours are zeros in their place) and each
+    sample joins ``hours / 24`` of them. Other lengths are grouped hour by hour from
+    :func:`text_window_rows`."""
     feats = TEXT_FEATURES + TEXT_DELTA_FEATURES
-    j = text_window_rows(keys, grid_deltas, hours, lag_hours, ticker, date)
+    if hours % 24:
+        j = text_window_rows(keys, grid_deltas, hours, lag_hours, ticker, date)
+        agg = j.groupBy(ticker, date, "label").agg(
+            F.sort_array(F.collect_list(F.struct("pos", F.array(*feats).alias("row")))).alias("_rows"),
+            F.sum("present").alias("present_hours"))
+        return agg.select(ticker, date, "label", "present_hours",
+                          F.transform("_rows", lambda r: r["row"]).alias("X"))
+    shift = 23 - (prediction_hour - lag_hours) % 24            # moves a segment onto one calendar day
+    moved = add_hours(F.col("hour"), shift)
+    row = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats])
+    zero = F.array(*[F.lit(0.0)] * len(feats))
+    segments = (grid_deltas.groupBy(ticker, F.to_date(moved).alias("_day"))
+                .agg(F.map_from_entries(F.collect_list(F.struct(F.hour(moved), row))).alias("_at"),
+                     F.count(F.lit(1)).alias("_n")))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(
+        F.try_element_at("_at", i), zero))
+    segments = segments.select(ticker, "_day", whole.alias("_rows"), "_n")
+    days = hours // 24
+    last = F.to_date(add_hours(F.col("prediction_time"), shift - lag_hours))
+    wanted = keys.select(ticker, date, "label", last.alias("_last"),
+                         F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("_k"))
+    wanted = wanted.select(ticker, date, "label", "_k",
+                           F.date_sub("_last", F.lit(days - 1) - F.col("_k")).alias("_day"))
+    j = wanted.join(segments, [ticker, "_day"], "left")
+    empty = F.array_repeat(zero, 24)
     agg = j.groupBy(ticker, date, "label").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.array(*feats).alias("row")))).alias("_rows"),
-        F.sum("present").alias("present_hours"))
-    return agg.select(ticker, date, "label", "present_hours",
-                      F.transform("_rows", lambda r: r["row"]).alias("X"))
+        F.sort_array(F.collect_list(F.struct("_k", F.coalesce("_rows", empty).alias("rows")))).alias("_parts"),
+        F.sum(F.coalesce("_n", F.lit(0))).alias("present_hours"))
+    x = F.flatten(F.transform("_parts", lambda r: r["rows"]))
+    n = len(TEXT_FEATURES)
+    first = F.concat(F.slice(F.get("_x", F.lit(0)), 1, n), F.array(*[F.lit(0.0)] * len(TEXT_DELTA_FEATURES)))
+    return agg.withColumn("_x", x).select(
+        ticker, date, "label", "present_hours",
+        F.concat(F.array(first), F.slice("_x", 2, hours - 1)).alias("X"))
 
 
 def text_first_hours(hourly: DataFrame, ticker: str = "ticker") -> DataFrame:

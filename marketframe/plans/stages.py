@@ -82,7 +82,7 @@ def text_sample_stage(hourly: DataFrame, raw_bars: DataFrame, out: str) -> dict[
     gd = H.hourly_deltas(hourly)
     keys = S.text_sample_keys(raw_bars, S.text_first_hours(hourly))
     windows = S.text_windows(keys, gd)
-    split = S.chrono_split(windows.select("ticker", "date"))
+    split = S.chrono_split(keys.select("ticker", "date"))
     samples = windows.select("ticker", "date", "label", "X").join(
         split.select("ticker", "date", "split"), ["ticker", "date"])
     FS.write_samples(samples, _p(out, "text_samples"))
