@@ -37,7 +37,7 @@ from marketframe.session import cut_lineage
 
 WORDS = 3              # words of a shingle
 PERCENT = 90           # least similarity
-SKETCH_BITS = 22       # cells of the frequency table
+SKETCH_BITS = 21       # cells of the frequency table
 SIGN_WORDS = 8         # 64-bit words of a parity bitmap
 WIDE_FROM = 1000       # sets of this size and more have a wide bitmap as well
 WIDE_WORDS = 64
@@ -91,13 +91,14 @@ def _frequency_rank(docs: DataFrame, words: int) -> np.ndarray:
             for x in batch.column("cells").to_pylist():
                 total += unplanes(x)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()),
-                                          pa.array([total.tobytes()], pa.binary())], ["part", "cells"])
+                                          pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "cells"])
 
     rows = (docs.select("text").mapInArrow(count, "part int, cells binary")
             .groupBy("part").applyInArrow(add, "part int, cells binary").collect())
-    cells = np.zeros(1 << SKETCH_BITS, np.int64)
+    cells = np.zeros(1 << SKETCH_BITS, np.float32)             # only the order counts
     for r in rows:
-        cells[r.part * chunk:(r.part + 1) * chunk] = np.frombuffer(r.cells, np.int64)
+        cells[r.part * chunk:(r.part + 1) * chunk] = np.frombuffer(r.cells, np.float32)
+    del rows
     rank = np.empty(len(cells), np.uint32)
     rank[np.argsort(cells, kind="stable")] = np.arange(len(cells), dtype=np.uint32)
     return rank
