@@ -14,6 +14,9 @@ suffixes whose place in the order is open:
    their common extension in logarithmic steps and the next byte decides. Neighbours in the order
    that agree on ``length`` bytes are verified byte by byte; if a hash collided, the order is made
    anew from the bytes. A string goes when an equal one stands in a document with a smaller id.
+   Where more than ``HEAVY`` contexts of an anchor are open, its strings are sent one by one and
+   dealt out by anchor, distance and a hash of all their bytes, which equal strings share; copies
+   inside a slice are compared byte by byte and settled before the shuffle.
 
 Texts are shuffled only for documents with an open context or a removed byte.
 """
@@ -36,6 +39,7 @@ from marketframe.session import cut_lineage
 
 LENGTH = 50            # bytes of a repeat
 ANCHOR = 20            # bytes of an anchor
+HEAVY = 4096           # open contexts of an anchor that meet in one group at most (some 6 KB each)
 _SEED = 3
 
 
@@ -108,9 +112,9 @@ def _unsix(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _judge(packed: DataFrame) -> DataFrame:
-    """(doc_id, mark, code): code is twice the anchor's position, plus 1 where its context is open;
-    the others' strings go."""
+def _judge(packed: DataFrame, heavy: int) -> DataFrame:
+    """(doc_id, mark, code): code is four times the anchor's position, plus 1 where its context is
+    open, plus 2 where more than ``heavy`` of the anchor's are; the others' strings go."""
     def meet(key: Key, batches: Batches) -> Batches:
         A, C, D, M, P, gone = [], [], [], [], [], []
 
@@ -138,9 +142,10 @@ def _judge(packed: DataFrame) -> DataFrame:
         contexts = np.bincount(run[new_c], minlength=len(low)) if len(D) else D
         open_ = ~goes & ((contexts > 1) & (low < high))[run]
         out = goes | open_
-        code = 2 * P + open_
+        many = (np.bincount(run, weights=open_, minlength=len(low)) > heavy)[run]
+        code = 4 * P + 2 * (open_ & many) + open_
         D, M, code = (np.concatenate([a[out], *b]) for a, b in zip(
-            (D, M, code), ([g[0] for g in gone], [g[1] for g in gone], [2 * g[2] for g in gone])))
+            (D, M, code), ([g[0] for g in gone], [g[1] for g in gone], [4 * g[2] for g in gone])))
         yield pa.RecordBatch.from_arrays([pa.array(D), pa.array(M.astype(np.int32)), pa.array(code)],
                                          ["doc_id", "mark", "code"])
 
@@ -150,24 +155,68 @@ def _judge(packed: DataFrame) -> DataFrame:
 _CONTEXT = "bucket int, anchor long, doc_id long, mark int, lo int, reach int, bytes binary"
 
 
+def _heavy_strings(data, off, ids, lo, hi, spot, h, length):
+    """The strings of contexts of heavy anchors: (start, context, dealing hash, settled), settled
+    where an equal string stands in a document of the slice with a smaller id."""
+    n = hi - lo + 1
+    ctx = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(ctx)) - np.repeat(np.cumsum(n) - n, n) + lo[ctx]
+    prefix = tb.prefix_hash(tb._letters(_SEED)[data])
+    key = tb.mix(tb.mix(h[ctx] + (spot[ctx] - start).astype(np.uint64)) ^ tb.range_hash(prefix, start, start + length))
+    own = ids[tb.owner(off, start)]
+    order = np.lexsort((own, key))
+    head = order[_heads(pk.first_of_runs(key[order]))] if len(order) else order
+    later = np.flatnonzero(own[order] > own[head])
+    settled = np.zeros(len(start), bool)
+    if len(later):
+        view = np.lib.stride_tricks.sliding_window_view(data, length)
+        for i in range(0, len(later), 100_000):
+            x = later[i:i + 100_000]
+            settled[order[x]] = (view[start[order[x]]] == view[start[head[x]]]).all(axis=1)
+    return start, ctx, key, settled
+
+
 def _open_contexts(spots: DataFrame, length: int, buckets: int) -> DataFrame:
-    """One row for every open context; ``spots``: doc_id, mark, text, open (anchor positions)."""
+    """One row for every open context, or for every string of a heavy anchor's open contexts, whose
+    dealing hash then stands for the anchor, so that it is sorted with its equals only; without
+    bytes, ``reach + 1`` settled strings from ``lo`` on. ``spots``: doc_id, mark, text, open and
+    heavy (anchor positions)."""
     def run(batches):
         for batch in batches:
             for part in tb.slices(batch):
                 data, off = tb.text_bytes(part.column("text"))
                 doc, at, lo, hi, h, _ = anchors(data, off, length)
-                size = part.column("open").value_lengths().to_numpy().astype(np.int64)
-                wanted = np.repeat(off[:-1], size) + part.column("open").flatten().to_numpy()
-                x = np.flatnonzero(np.isin(at, wanted))
                 ids, marks = _slice_rows(part)
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(((h[x] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)), pa.array(h[x].view(np.int64)),
-                     pa.array(ids[doc[x]]), pa.array(marks[doc[x]]), pa.array((lo[x] - off[doc[x]]).astype(np.int32)),
-                     pa.array((at[x] - lo[x]).astype(np.int32)),
-                     pa.array([raw[a:b + length] for a, b in zip(lo[x], hi[x])], pa.binary())],
-                    ["bucket", "anchor", "doc_id", "mark", "lo", "reach", "bytes"])
+
+                def chosen(name):
+                    size = part.column(name).value_lengths().to_numpy().astype(np.int64)
+                    return np.flatnonzero(np.isin(at, np.repeat(off[:-1], size) + part.column(name).flatten().to_numpy()))
+
+                def rows(deal, anchor, begin, reach, pieces):
+                    d = tb.owner(off, begin)
+                    return pa.RecordBatch.from_arrays(
+                        [pa.array((deal % np.uint64(buckets)).astype(np.int32)), pa.array(anchor.view(np.int64)),
+                         pa.array(ids[d]), pa.array(marks[d]), pa.array((begin - off[d]).astype(np.int32)),
+                         pa.array(reach.astype(np.int32)), pa.array(pieces, pa.binary())],
+                        ["bucket", "anchor", "doc_id", "mark", "lo", "reach", "bytes"])
+
+                x = chosen("open")
+                yield rows(h[x] >> np.uint64(32), h[x], lo[x], at[x] - lo[x],
+                           [raw[a:b + length] for a, b in zip(lo[x], hi[x])])
+                x = chosen("heavy")
+                if not len(x):
+                    continue
+                start, ctx, key, settled = _heavy_strings(data, off, ids, lo[x], hi[x], at[x], h[x], length)
+                e = np.flatnonzero(~settled)
+                for i in range(0, len(e), 50_000):
+                    y = e[i:i + 50_000]
+                    yield rows(key[y], key[y], start[y], at[x][ctx[y]] - start[y], [raw[a:a + length] for a in start[y]])
+                y = np.flatnonzero(settled)
+                head = np.flatnonzero(pk.first_of_runs(ctx[y], start[y] - np.arange(len(y))))
+                size = np.diff(np.append(head, len(y)))
+                y = y[head]
+                yield rows(key[y], h[x][ctx[y]], start[y], size - 1, [b""] * len(y))
 
     return spots.mapInArrow(run, _CONTEXT)
 
@@ -290,37 +339,55 @@ def _sort_open(contexts: DataFrame, length: int) -> DataFrame:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
         column = lambda n: table.column(n).to_numpy()
         blob, ends = tb.text_bytes(table.column("bytes").chunk(0))
-        doc, mark, lo = column("doc_id"), column("mark"), column("lo")
-        ctx, start = _removed(column("anchor"), doc, column("reach"), blob, ends[:-1], np.diff(ends), length)
+        doc, mark, lo, reach = column("doc_id"), column("mark"), column("lo"), column("reach")
+        given = np.flatnonzero(np.diff(ends))                   # the others are settled
+        ctx, start = _removed(column("anchor")[given], doc[given], reach[given], blob, ends[:-1][given],
+                              np.diff(ends)[given], length)
+        ctx = given[ctx]
         order = np.lexsort((start, ctx))
         ctx, start = ctx[order], start[order]
         head = np.flatnonzero(pk.first_of_runs(ctx, start - np.arange(len(start))))
         last = np.append(head[1:], len(start)) - 1 if len(head) else head
+        done = np.flatnonzero(np.diff(ends) == 0)
+        row = np.append(ctx[head], done)
+        low = np.append(lo[ctx[head]] + start[head], lo[done])
+        high = np.append(lo[ctx[head]] + start[last], lo[done] + reach[done])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[ctx[head]]), pa.array(mark[ctx[head]]), pa.array((lo[ctx[head]] + start[head]).astype(np.int32)),
-             pa.array((lo[ctx[head]] + start[last]).astype(np.int32))], ["doc_id", "mark", "lo", "hi"])
+            [pa.array(doc[row]), pa.array(mark[row]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
+            ["doc_id", "mark", "lo", "hi"])
 
     return contexts.groupBy("bucket").applyInArrow(meet, "doc_id long, mark int, lo int, hi int")
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _spots(docs: DataFrame, length: int, buckets: int, heavy: int) -> DataFrame:
+    """(doc_id, mark, settled, open, heavy): positions of anchors all of whose strings go, of open
+    ones and of open ones of heavy anchors."""
+    spots = cut_lineage(_judge(_pack(docs, length, buckets), heavy).groupBy("doc_id", "mark").agg(
+        F.collect_list("code").alias("codes")))
+    kind = lambda k: F.transform(F.filter("codes", lambda c: c % 4 == k), lambda c: F.shiftright(c, 2))
+    return spots.select("doc_id", "mark", kind(0).alias("settled"), kind(1).alias("open"), kind(3).alias("heavy"))
+
+
+def _sent(docs: DataFrame, spots: DataFrame, length: int, buckets: int) -> DataFrame:
+    """What the second pass sends."""
+    left = spots.where((F.size("open") > 0) | (F.size("heavy") > 0)).select("doc_id", "mark", "open", "heavy")
+    texts = _texts(docs, pk.id_filter(left.select("doc_id"))).join(left, ["doc_id", "mark"])
+    return _open_contexts(texts, length, buckets)
+
+
+def find_repeats(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, mark, settled, runs) of documents with strings that also start in a document with
     a smaller id: anchors all of whose strings go, and runs of starts that the sort found."""
     docs = docs.where(F.col("doc_id").isNotNull())
     buckets = pk.n_buckets(docs)
-    spots = cut_lineage(_judge(_pack(docs, length, buckets)).groupBy("doc_id", "mark").agg(
-        F.collect_list("code").alias("codes")))
-    half = lambda odd: F.transform(F.filter("codes", lambda c: c % 2 == odd), lambda c: F.shiftright(c, 1))
-    split = spots.select("doc_id", "mark", half(0).alias("settled"), half(1).alias("open"))
-    left = split.where(F.size("open") > 0).select("doc_id", "mark", "open")
-    texts = _texts(docs, pk.id_filter(left.select("doc_id"))).join(left, ["doc_id", "mark"])
-    runs = _sort_open(_open_contexts(texts, length, buckets), length)
+    split = _spots(docs, length, buckets, heavy)
+    runs = _sort_open(_sent(docs, split, length, buckets), length)
     runs = runs.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     settled = split.where(F.size("settled") > 0).select("doc_id", "mark", "settled")
     return settled.join(runs, ["doc_id", "mark"], "full")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, heavy: int = HEAVY) -> DataFrame:
     """One row per row of ``docs(doc_id long, text)``: n_bytes, n_removed, n_spans (maximal removed
     runs) and kept_sha256 of the remaining bytes; ``with_text`` adds them as ``kept``.
 
@@ -329,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     nor count for others; rows that share an id are one document; other columns are ignored; an
     empty table gives an empty result."""
     marked = pk.with_mark(docs)
-    found = cut_lineage(find_repeats(marked, length))
+    found = cut_lineage(find_repeats(marked, length, heavy))
     wanted = pk.id_filter(found.select("doc_id"))
     base = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text

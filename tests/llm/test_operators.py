@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brute import (base_spans, byte_repeats, jaccard_components, quality_base, topk, word_repeats, words)
 from llm_conftest import with_extra
@@ -70,6 +71,49 @@ def test_suffix_dedup(spark, mixed_docs):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == byte_repeats(docs)
 
 
+def _shared_phrase(size):
+    """Documents that hold one phrase of ``size`` bytes between neighbours of their own; some share more."""
+    rng = random.Random(size)
+    draw = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    phrase = draw(size)
+    docs = [(i, draw(60) + phrase + draw(60)) for i in range(150)]
+    return docs + [(200 + i, docs[i][1][30:150] + draw(40)) for i in range(0, 150, 5)]
+
+
+@pytest.mark.parametrize("size", [24, 49, 64])
+def test_suffix_dedup_deals_out_a_shared_phrase(spark, size):
+    from marketframe.llm import packing as pk
+    from marketframe.llm import suffix_dedup as S
+    docs = _shared_phrase(size)
+    table = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    got = S.remove_repeats(table, heavy=20).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == byte_repeats(docs)
+    if size == 24:                                  # most of its strings have an anchor in the neighbours
+        return
+    marked = pk.with_mark(table)
+
+    def largest(heavy):
+        """Strings of the fullest of 40 groups, and all strings."""
+        sent = S._sent(marked, S._spots(marked, 50, 40, heavy), 50, 40).where("length(bytes) > 0")
+        n = [r.n for r in sent.groupBy("bucket").agg(F.sum(F.length("bytes") - 49).alias("n")).collect()]
+        return max(n), sum(n)
+
+    before, every = largest(10 ** 9)
+    after, _ = largest(20)
+    assert before > every / 6 and after < before / 3
+
+
+def test_suffix_heavy_strings_settle_by_bytes(monkeypatch):
+    """A broken hash finds everything equal; only strings with equal bytes are settled in the slice."""
+    from marketframe.llm import suffix_dedup as S
+    data = np.frombuffer(b"x" * 50 + b"y" * 50 + b"x" * 50, np.uint8)
+    off = np.array([0, 50, 100, 150])
+    monkeypatch.setattr(S.tb, "range_hash", lambda prefix, start, end: np.zeros(len(start), np.uint64))
+    lo = off[:-1]
+    start, ctx, _, settled = S._heavy_strings(data, off, np.array([1, 2, 3]), lo, lo, lo + 5, np.full(3, 9, np.uint64), 50)
+    assert (start.tolist(), ctx.tolist(), settled.tolist()) == ([0, 50, 100], [0, 1, 2], [False, False, True])
+
+
 def test_suffix_sort_orders_like_the_bytes():
     from marketframe.llm.suffix_dedup import Suffixes
     rng = np.random.default_rng(2)
