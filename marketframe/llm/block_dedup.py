@@ -10,8 +10,9 @@ a block's length probes it:
    that very many documents hold does not meet in one task.
 2. Hits are extended: every window around a live probe is compared with the windows around the
    other hits by an 80-bit hash. Windows are dealt out by the least hash of their short word runs,
-   so neighbours travel together; copies inside one slice of documents are settled before the
-   shuffle. A window goes when its words also start in a document with a smaller id.
+   so neighbours travel together; where more than ``HEAVY`` windows have the same least hash (by
+   the documents of one id in ``COUNTED``, which only decides the place), by their own hash, which
+   equal windows share. Copies inside one slice of documents are settled before the shuffle. A window goes when its words also start in a document with a smaller id.
 3. Runs of removed windows are united to maximal repeats and cut out of the texts.
 
 Texts are shuffled only for documents with a live probe or a removed window.
@@ -35,6 +36,8 @@ from marketframe.session import cut_lineage
 WINDOW = 50            # words of a repeat
 SALTS = 2              # tasks that share the probes of one bucket
 RUN = 8                # words whose least hash deals out a window
+HEAVY = 1 << 16        # windows with one least hash that meet in one group (some 100 bytes each)
+COUNTED = 8            # one id in so many counts towards that
 
 
 def _words(part, seeds=(1,)):
@@ -129,31 +132,57 @@ def _texts(docs: DataFrame, wanted) -> DataFrame:
 _WINDOWS = "bucket int, docs binary, hash binary, more binary, at binary, settled binary"
 
 
-def _extend(hits: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Packed hashes of every window that holds a live probe; ``hits``: doc_id, mark, text, live."""
-    block = window // 2
+def _around(part, first, n: int, window: int) -> np.ndarray:
+    """Starts of the windows that hold a live probe, among ``n`` words."""
+    live = part.column("live")
+    size = live.value_lengths().to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(part.num_rows), size)
+    at = first[doc] + live.flatten().to_numpy()
+    begin = np.maximum(at - window // 2, first[doc])
+    stop = np.minimum(at, first[doc + 1] - window) + 1
+    ok = begin < stop
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, begin[ok], 1)
+    np.add.at(edge, stop[ok], -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+
+
+def _least(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The least hash of the short runs of every window."""
+    short = tb.window_hashes(words, np.arange(len(words) - RUN + 1), RUN)
+    return pk.sliding_min(short, window - RUN + 1)[at]
 
+
+def _heavy(hits: DataFrame, window: int, heavy: int):
+    """Least hashes, sorted, that more than ``heavy`` windows share by the count of one document in
+    ``COUNTED``; at most one in ``heavy`` windows' number."""
+    def run(batches):
+        for batch in batches:
+            for part in tb.slices(batch):
+                (words,), first = _words(part)
+                at = _around(part, first, len(words), window)
+                if len(at):
+                    least, n = np.unique(_least(words, at, window), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(n)], ["least", "n"])
+
+    rows = hits.mapInArrow(run, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    found = [r.least for r in rows.where(F.col("n") * COUNTED > heavy).select("least").collect()]
+    return hits.sparkSession.sparkContext.broadcast(np.sort(np.array(found, np.int64).view(np.uint64)))
+
+
+def _extend(hits: DataFrame, window: int, buckets: int, many) -> DataFrame:
+    """Packed hashes of every window that holds a live probe; ``hits``: doc_id, mark, text, live;
+    ``many``: the heavy least hashes."""
     def run(batches):
         for batch in batches:
             for part in tb.slices(batch):
                 (words, other), first = _words(part, (1, 7))
-                live = part.column("live")
-                size = live.value_lengths().to_numpy().astype(np.int64)
-                doc = np.repeat(np.arange(part.num_rows), size)
-                at = first[doc] + live.flatten().to_numpy()
-                begin = np.maximum(at - block, first[doc])
-                stop = np.minimum(at, first[doc + 1] - window) + 1
-                ok = begin < stop
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, begin[ok], 1)
-                np.add.at(edge, stop[ok], -1)
-                at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+                at = _around(part, first, len(words), window)
                 if not len(at):
                     continue
                 h = tb.window_hashes(words, at, window)
                 g = tb.window_hashes(other, at, window).astype(np.uint16)
-                short = tb.window_hashes(words, np.arange(len(words) - RUN + 1), RUN)
-                least = pk.sliding_min(short, window - RUN + 1)[at]
+                least = _least(words, at, window)
                 ids, marks = _slice_rows(part)
                 order = np.lexsort((ids[tb.owner(first, at)], g, h))
                 own = ids[tb.owner(first, at)][order]
@@ -163,7 +192,11 @@ def _extend(hits: DataFrame, window: int, buckets: int) -> DataFrame:
                 later[order] = own > smallest
                 table = pk.doc_table(ids, marks, first)
                 rows = []
-                for b, e in pk.by_bucket(tb.mix(least) % np.uint64(buckets), buckets):
+                deal = tb.mix(least)
+                # settled windows meet nothing: a slice's neighbours stay together
+                spread = np.where(later, tb.mix(deal ^ ids[:1].astype(np.int64).view(np.uint64)), tb.mix(h))
+                deal = np.where(np.isin(least, many.value), spread, deal)
+                for b, e in pk.by_bucket(deal % np.uint64(buckets), buckets):
                     x, s = e[~later[e]], e[later[e]]
                     rows.append((b, table, h[x].tobytes(), g[x].tobytes(), pk.gaps(at[x]), pk.gaps(at[s])))
                 yield pa.RecordBatch.from_arrays(
@@ -210,18 +243,26 @@ def _repeats(windows: DataFrame) -> DataFrame:
     return windows.groupBy("bucket").applyInArrow(meet, "doc_id long, mark int, lo int, hi int")
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, salts: int = SALTS) -> DataFrame:
-    """(doc_id, mark, lo, hi): word windows, by first start and last start, whose words also start
-    in a document with a smaller id. ``docs``: the rows of ``packing.with_mark``."""
-    docs = docs.where(F.col("doc_id").isNotNull())
-    buckets = pk.n_buckets(docs)
+def _sent(docs: DataFrame, window: int, salts: int, buckets: int, heavy: int) -> DataFrame:
+    """What the second pass sends."""
     live = _live(_probe(docs, window, buckets, salts), window)
     spots = cut_lineage(live.groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("live")))
     texts = _texts(docs, pk.id_filter(spots.select("doc_id")))
-    return _repeats(_extend(texts.join(spots, ["doc_id", "mark"]), window, buckets))
+    some = lambda t: t.where(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0)
+    many = _heavy(_texts(some(docs), pk.id_filter(some(spots).select("doc_id"))).join(some(spots), ["doc_id", "mark"]),
+                  window, heavy)
+    return _extend(texts.join(spots, ["doc_id", "mark"]), window, buckets, many)
+
+
+def find_repeats(docs: DataFrame, window: int = WINDOW, salts: int = SALTS, heavy: int = HEAVY) -> DataFrame:
+    """(doc_id, mark, lo, hi): word windows, by first start and last start, whose words also start
+    in a document with a smaller id. ``docs``: the rows of ``packing.with_mark``."""
+    docs = docs.where(F.col("doc_id").isNotNull())
+    return _repeats(_sent(docs, window, salts, pk.n_buckets(docs), heavy))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, salts: int = SALTS, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, salts: int = SALTS, with_text: bool = False,
+                   heavy: int = HEAVY) -> DataFrame:
     """One row per row of ``docs(doc_id long, text)``: n_words, n_removed, kept_sha256 of the kept
     words joined by one blank, and with ``with_text`` the kept text.
 
@@ -231,7 +272,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, salts: int = SALTS, wi
     one document, so repeated rows lose nothing to each other; other columns are ignored; an empty
     table gives an empty result."""
     marked = pk.with_mark(docs)
-    runs = cut_lineage(find_repeats(marked, window, salts).groupBy("doc_id", "mark").agg(
+    runs = cut_lineage(find_repeats(marked, window, salts, heavy).groupBy("doc_id", "mark").agg(
         F.collect_set(F.struct("lo", "hi")).alias("runs")))
     wanted = pk.id_filter(runs.select("doc_id"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text

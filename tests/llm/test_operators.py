@@ -63,6 +63,31 @@ def test_block_dedup(spark, mixed_docs):
     assert all(hashlib.sha256(t.encode()).hexdigest() == sha for sha, t in texts.values())
 
 
+@pytest.mark.parametrize("size", [40, 60])
+def test_block_dedup_deals_out_a_shared_passage(spark, size):
+    """One passage stands in every document between neighbours of its own; some documents share more."""
+    from marketframe.llm import block_dedup as B
+    from marketframe.llm import packing as pk
+    rng = random.Random(size)
+    draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage = draw(size)
+    docs = [(i, draw(60) + passage + draw(60)) for i in range(200)]
+    docs = [(d, " ".join(w)) for d, w in docs + [(300 + i, docs[i][1][20:120] + draw(30)) for i in range(0, 200, 9)]]
+    table = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    got = B.remove_repeats(table, heavy=40).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == word_repeats(docs)
+
+    def largest(heavy):
+        """Windows of the fullest of 40 groups, and all windows."""
+        sent = B._sent(pk.with_mark(table), 50, 2, 40, heavy)
+        n = [r.n for r in sent.groupBy("bucket").agg((F.sum(F.length("hash")) / 8).alias("n")).collect()]
+        return max(n), sum(n)
+
+    before, every = largest(10 ** 9)
+    after, all_again = largest(40)
+    assert every == all_again and before > every / 6 and after < before / 2
+
+
 def test_suffix_dedup(spark, mixed_docs):
     from marketframe.llm.suffix_dedup import remove_repeats
     docs = mixed_docs + [(None, "a b"), (900020, "ab" * 100), (900021, "ab" * 90 + "c" * 60)]
