@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,8 +71,29 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(_table(spark, sf, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    from marketframe.llm.lexical import ranked_search
+    return ranked_search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), k=50)
+
+
+def op12_sequence_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all documents in contexts of at most 2,048 tokens."""
+    from marketframe.llm.sequence_packing import pack_documents
+    return pack_documents(_table(spark, sf, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100."""
+    from marketframe.llm.hard_negatives import hard_negatives
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf, "embeddings").withColumn("label", label)
+    return hard_negatives(rows, anchors=F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_mixing, op3_quality_crf, op4_block_dedup, op5_suffix_dedup, op6_secrets, op7_topk, op8_toxicity, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_mixing, op3_quality_crf, op4_block_dedup, op5_suffix_dedup, op6_secrets, op7_topk, op8_toxicity, op9_bpe, op10_quality_rules,
+                                    op11_lexical_search, op12_sequence_packing, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:

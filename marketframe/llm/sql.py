@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marketframe.llm import lexical as LEX
 from marketframe.llm import quality_rules as QR
 
 W = r"[^\x20\x09-\x0D]+"
@@ -129,4 +130,40 @@ SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spa
 FROM k
 """
 
-ORACLES = {"op1_ngram_jaccard": OP1, "op4_block_dedup": OP4, "op5_suffix_dedup": OP5, "op2_mixing": OP2, "op7_topk": OP7, "op10_quality_rules": OP10}
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{LEX.TERM}') AS ts
+           FROM documents WHERE doc_id IS NOT NULL),
+c AS (SELECT count(*)::BIGINT AS nd, sum(len(ts))::BIGINT AS nt FROM d WHERE len(ts) > 0),
+t AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) GROUP BY rid, term),
+f AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM t, c GROUP BY term, nd),
+q AS (SELECT DISTINCT item_id, text,
+             unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{LEX.TERM}')) AS term
+      FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, q.text, rid, doc_id,
+             sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(ts) * nd) // nt))))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN f USING (term) JOIN d USING (rid), c GROUP BY item_id, q.text, rid, doc_id)
+SELECT item_id, (row_number() OVER r)::INT AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW r AS (PARTITION BY item_id, text ORDER BY score DESC, doc_id) QUALIFY row_number() OVER r <= 50
+"""
+
+OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+             coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER r)::INT AS rank, other AS negative_id, positive_score,
+       score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW r AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER r <= 10
+"""
+
+ORACLES = {"op11_lexical_search": OP11, "op13_hard_negatives": OP13,
+           "op1_ngram_jaccard": OP1, "op4_block_dedup": OP4, "op5_suffix_dedup": OP5, "op2_mixing": OP2, "op7_topk": OP7, "op10_quality_rules": OP10}

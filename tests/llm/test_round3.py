@@ -1,0 +1,234 @@
+"""Lexical search, sequence packing and hard negatives against brute force."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brute import lower_ascii
+from llm_conftest import with_extra
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def lexical_brute(docs, items, k):
+    terms = [(d, TERM.findall(lower_ascii(t))) for d, t in docs if d is not None]
+    terms = [(d, ts) for d, ts in terms if ts]
+    n, total = len(terms), sum(len(ts) for _, ts in terms)
+    df = Counter(t for _, ts in terms for t in set(ts))
+    out = []
+    for item, text in sorted(set((i, t or "") for i, t in items if i is not None)):
+        scored = []
+        for d, ts in terms:
+            tf, m, s = Counter(ts), 50 + 50 * len(ts) * n // total, 0
+            for t in set(TERM.findall(lower_ascii(text))) & tf.keys():
+                s += math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (
+                    1_000_000_000 * tf[t] // (1000 * tf[t] + 20 * m))
+            if s > 0:
+                scored.append((-s, d))
+        out += [(item, r + 1, d, -s) for r, (s, d) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pairs, shard", [(200_000, 1 << 20), (60, 500)])
+def test_lexical_search(spark, mixed_docs, pairs, shard):
+    from marketframe.llm.lexical import ranked_search
+    rng = random.Random(2)
+    docs = mixed_docs + [(None, "w1é w2é"), (5, "w1é w1é W1é"), (5, "w1é")] + [(70_000 + i, "tie w7é") for i in range(40)]
+    docs += [(80_000, "long " * 900_000 + "w9é")]                        # over two slices of text
+    items = [(i, " ".join(f"W{rng.randrange(260)}é" for _ in range(rng.randint(1, 25)))) for i in range(30)]
+    items += [(100, None), (101, ""), (102, "tie"), (102, "tie"), (103, "--.."), (104, "unknownterm"), (None, "tie"),
+              (105, "long W9é")]
+    table = spark.createDataFrame([(i, t, 1, "x") for i, t in items], "item_id long, text string, doc_id int, score string")
+    got = ranked_search(with_extra(spark, docs), table, k=7, pairs=pairs, shard_entries=shard)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, got.collect())) == lexical_brute(docs, items, 7)
+
+
+def test_lexical_blocks_are_skipped_and_bounds_hold():
+    """Documents of topics: blocks bound their documents' scores, and most documents are never scored."""
+    import pyarrow as pa
+
+    from marketframe.llm import lexical as L
+    rng = np.random.default_rng(1)
+    n, terms = 3000, 400
+    topic = rng.integers(0, 20, n)
+    rows = [np.unique(np.concatenate([rng.integers(t * 20, t * 20 + 20, 12), rng.integers(0, 30, 4)])) for t in topic]
+    counts = np.array([len(r) for r in rows])
+    table = pa.table({"ids": [np.arange(n).astype("<i8").tobytes()], "sizes": [np.full(n, 40, "<i8").tobytes()],
+                      "counts": [counts.astype("<i4").tobytes()], "terms": [np.concatenate(rows).astype("<i4").tobytes()],
+                      "repeats": [rng.integers(1, 4, counts.sum()).astype("<i4").tobytes()]})
+    weights = rng.integers(200, 4000, terms)
+    queries = [np.unique(rng.integers(t * 20, t * 20 + 20, 8)) for t in range(20)]
+    shard = L.Shard(table, weights, n, n * 40, queries)
+    for i in range(20):
+        docs, scores = shard.search(i, 10, 1)
+        plain = np.array([sum(shard.impact[e] for e in range(shard.at[d], shard.at[d + 1]) if shard.term[e] in queries[i])
+                          for d in range(n)])
+        order = np.lexsort((np.arange(n), -plain))[:10]
+        assert docs.tolist() == order.tolist() and scores.tolist() == plain[order].tolist()
+    assert shard.scored < 20 * n / 4
+    for t, (members, begin, summary, coords) in shard.cache.items():
+        for b in range(len(begin) - 1):
+            for d in members[begin[b]:begin[b + 1]]:
+                e = np.arange(shard.at[d], shard.at[d + 1])
+                e = e[np.isin(shard.term[e], coords)]
+                assert (summary[b, np.searchsorted(coords, shard.term[e])] >= shard.impact[e]).all()
+
+
+def test_lexical_empty(spark):
+    from marketframe.llm.lexical import ranked_search
+    none = spark.createDataFrame([], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert ranked_search(none, items).count() == 0
+    assert ranked_search(docs, items.limit(0)).count() == 0
+    assert [tuple(r) for r in ranked_search(docs, items).collect()] == lexical_brute([(1, "a b")], [(1, "a b")], 50)
+
+
+# ------------------------------------------------------------------ packing
+def check_packing(rows, ids_of, top=2048, padding=0.0):
+    """Every id of a document in exactly one piece, gapless sequences, right checksums, little padding."""
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    assert set(pieces) == set(ids_of)
+    for d, rs in pieces.items():
+        copies = ids_of[d]
+        spans = sorted((r.start, r.length) for r in rs)
+        assert sum(n for _, n in spans) == sum(map(len, copies))
+        if len(copies) == 1:
+            at = 0
+            for s, n in spans:
+                assert s == at and n > 0
+                at += n
+            for r in rs:
+                raw = np.array(copies[0][r.start:r.start + r.length], "<u4").tobytes()
+                assert r.ids_crc32 == zlib.crc32(raw) and r.doc_tokens == len(copies[0])
+    padded = 0
+    for rs in sequences.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= top and {r.context for r in rs} == {at} and len({r.step for r in rs}) == 1
+        padded += 0 if at & (at - 1) == 0 else top - at
+    assert padded <= padding * sum(r.length for r in rows)
+    return sequences
+
+
+def test_pack_group_fills_contexts():
+    from marketframe.llm.sequence_packing import pack_group
+    rng = random.Random(3)
+    for sizes in ([], [1], [2048], [2049], [5000, 3], [rng.randint(1, 900) for _ in range(700)],
+                  [int(rng.lognormvariate(5.5, 1.3)) + 1 for _ in range(500)], [257] * 90, [256] * 8):
+        contexts = pack_group(sizes)
+        got = defaultdict(list)
+        for w in contexts:
+            n = sum(p[2] for p in w)
+            assert n <= 2048 and n & (n - 1) == 0
+            for d, s, m in w:
+                got[d].append((s, m))
+        for d, n in enumerate(sizes):
+            at = 0
+            for s, m in sorted(got[d]):
+                assert s == at
+                at += m
+            assert at == n
+        assert len([w for w in contexts if sum(p[2] for p in w) not in (256, 512, 1024, 2048)]) <= 8
+    whole = [len(got[d]) == 1 for d in got]
+    assert all(whole)                                   # eight documents of one tier: none is cut
+
+
+def test_pack_documents(spark, mixed_docs):
+    from tokenizers import Tokenizer
+
+    from marketframe.llm.bpe import default_vocabulary
+    from marketframe.llm.sequence_packing import pack_documents
+    tok = Tokenizer.from_file(default_vocabulary())
+    docs = mixed_docs + [(None, "no id"), (91_000, "many words <|endoftext|> and more " * 20_000), (91_001, "z" * 40_000)]
+    ids_of = defaultdict(list)
+    for d, t in docs:
+        ids_of[d].append(tok.encode(t or "", add_special_tokens=False).ids + [1])
+    for group, step in ((1 << 22, 1 << 18), (5000, 1 << 14)):
+        got = pack_documents(with_extra(spark, docs), with_ids=True, group_tokens=group, step_tokens=step).collect()
+        sequences = check_packing(got, ids_of)
+        assert all(r.ids == ids_of[r.doc_id][0][r.start:r.start + r.length] for r in got if len(ids_of[r.doc_id]) == 1)
+        mix = defaultdict(Counter)
+        for rs in sequences.values():
+            mix[rs[0].step][rs[0].context] += 1
+        total = Counter()
+        for m in mix.values():
+            total += m
+        steps = -(-sum(c * n for c, n in total.items()) // step)
+        assert set(mix) <= set(range(steps))
+        for c, n in total.items():
+            assert {mix[s][c] for s in range(steps)} <= {n // steps, -(-n // steps)}
+
+
+def test_pack_documents_empty(spark):
+    from marketframe.llm.sequence_packing import pack_documents
+    assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# ------------------------------------------------------------------ hard negatives
+def negatives_brute(rows, ask, n_pos, n_neg, low=30, high=90):
+    v = [(i, lab, [math.floor(256 * x) for x in e]) for i, lab, e in rows
+         if i is not None and lab is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    out = []
+    for a, lab, q in {(i, lab, tuple(q)) for i, lab, q in v if ask(i)}:
+        s = sorted((-sum(x * y for x, y in zip(q, e)), i, m) for i, m, e in v if i != a and len(e) == len(q))
+        for ps, p, _ in [x for x in s if x[2] == lab][:n_pos]:
+            hard = [(ns, i) for ns, i, m in s if m != lab and low * -ps <= 100 * -ns <= high * -ps][:n_neg]
+            out += [(a, p, r + 1, i, -ps, -ns) for r, (ns, i) in enumerate(hard)]
+    return sorted(out)
+
+
+def _vectors(n, width, seed):
+    rng = np.random.default_rng(seed)
+    middle = rng.standard_normal((12, width))
+    x = middle[rng.integers(0, 12, n)] * .6 + rng.standard_normal((n, width)) * rng.choice([.05, .3, 1], n)[:, None]
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()
+
+
+@pytest.mark.parametrize("group, anchors", [(16384, 512), (60, 4)])
+def test_hard_negatives(spark, group, anchors):
+    from marketframe.llm.hard_negatives import hard_negatives
+    rows = [(i, i * 7 % 5, v) for i, v in enumerate(_vectors(400, 20, 1))]
+    rows += [(500 + i, i % 3, rows[40][2]) for i in range(50)]                        # ties
+    rows += [(600, 1, None), (620, None, rows[3][2]), (640, 1, [None] + [.1] * 19), (660, 2, [float("nan")] * 20),
+             (680, 2, [float("inf")] * 20), (None, 1, rows[5][2]), (700, 1, []), (701, 2, []), (720, 1, [.2] * 7),
+             (721, 1, [.3] * 7), (722, 2, [.2] * 7), (740, 0, [0.0] * 20), (760, 3, [-.1] * 20), (60, 4, rows[9][2]),
+             rows[80], rows[81]]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows],
+                               "vec_id long, label int, embedding array<double>, score string, rank int")
+    got = hard_negatives(df, F.col("vec_id") % 20 == 0, positives=3, negatives=4, group_rows=group, anchor_rows=anchors)
+    assert sorted(map(tuple, got.collect())) == negatives_brute(rows, lambda i: i % 20 == 0, 3, 4)
+
+
+def test_hard_negatives_empty(spark):
+    from marketframe.llm.hard_negatives import hard_negatives
+    df = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
+    assert hard_negatives(df, F.lit(True)).count() == 0
+    one = spark.createDataFrame([(100, 1, [.5, .5])], "vec_id long, label int, embedding array<float>")
+    assert hard_negatives(one, F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 64, 100])
+def test_intervals_hold_and_exclude(width):
+    from marketframe.llm import hard_negatives as H
+    x = np.floor(256 * np.array(_vectors(500, width, 2))).astype(np.int64)
+    c = np.rint(x[:100].mean(axis=0))
+    code, numbers = H.encode(x.astype(float), c)
+    lo, hi = H.Asked(x[:50]).intervals(code, numbers, c)
+    true = x[:50] @ x.T
+    assert (lo <= true).all() and (true <= hi).all()
+    if width == 64:                                      # narrower than what lengths alone tell
+        norm = np.linalg.norm(x.astype(float), axis=1)
+        assert (hi - lo).mean() < .8 * (2 * norm[:50, None] * norm).mean()
