@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.timefn import epoch_to_ts
 from marketframe.schemas import BAR_COLUMNS, MAPPING_CSV_SCHEMA, POSTS_CSV_SCHEMA, require_columns
 from marketframe.sources.ingest import append_new, attach_ticker, dedup_first
+from marketframe.sources.quoted_csv import read_quoted_csv
 
 
 def file_order():
@@ -38,11 +39,9 @@ def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
     """Posts CSV (bodies may hold newlines). Rows whose epoch or counts are no numbers are
-    skipped, as the reference skips malformed rows; counts written ``3.0`` are kept. A file with
-    newlines in its fields cannot be split: each file is one task, so deliver many files."""
-    raw = (spark.read.schema(POSTS_CSV_SCHEMA).option("header", True)
-           .option("multiLine", True).option("escape", '"')
-           .csv(path)).withColumn("ingest_order", file_order())
+    skipped, as the reference skips malformed rows; counts written ``3.0`` are kept. Large files
+    are split into blocks although their fields hold newlines (:mod:`marketframe.sources.quoted_csv`)."""
+    raw = read_quoted_csv(spark, path, POSTS_CSV_SCHEMA).withColumnRenamed("file_order", "ingest_order")
     ints = {c: whole_number(c) for c in
             ["post_date", "comment_num", "retweet_num", "like_num"]}
     d = raw.withColumns(ints)
