@@ -1,18 +1,20 @@
-"""Exponential moving average (W5, W8) as a distributed block scan.
+"""Exponential moving average (W5, W8) as an overlapping block scan.
 
 pandas ``ewm(span, adjust=False)``: e0 = x0, et = a*xt + (1-a)*e(t-1), a = 2/(span+1).
-Spark has no recurrence primitive, so the first-order recurrence is solved as an affine scan:
+Spark has no recurrence primitive. With q = 1-a the recurrence is the running sum
 
-1. number rows per key from 0 and cut them into blocks of ``B`` rows;
-2. inside a block, the zero-carry value is a running window sum
-   ``q^j * sum(w_i * x_i * q^-i)`` (q = 1-a, w = a, except w = 1 on row 0) -- the window is
-   partitioned by (key, block), so blocks are computed in parallel;
-3. per block keep the last zero-carry value ``b`` and the row count ``m``; the carry into each
-   block is the short recurrence ``C(k+1) = b(k) + q^m(k) * C(k)`` over the key's block list
-   (rows / B entries), evaluated with the ``aggregate`` higher-order function;
-4. join the carry back on (key, block): ``e = local + C * q^(j+1)``.
+    e_t = q^t * sum(w_i * x_i * q^-i, i <= t),   w = a, except w = 1 on row 0,
 
-``B`` keeps ``q^-j`` below ~1e8, so precision equals the plain recurrence.
+whose terms grow, so every sum keeps the precision of its last terms (relative error about 1e-16 / a)
+as long as q^-i is a number. Rows of a key are numbered from 0 and cut into blocks that long. A block
+also gets the last rows of the block before it (its lead-in), which bring the carry: what lies before
+the lead-in has a weight under ``CARRY`` there, far below the precision of doubles. So
+
+1. one window per key numbers the rows;
+2. one window per (key, block) runs the sums; the block's own rows are kept.
+
+There is no join and no pass over a key's blocks. Both windows share the key's partitioning, which is
+bar-sized; ``spread`` deals the blocks of a key out over tasks by a shuffle of their own.
 """
 
 from __future__ import annotations
@@ -22,67 +24,62 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Weight, at a block's first own row, of everything before its lead-in.
+CARRY = 1e-40
+#: Largest power of q that the sums hold.
+REACH = 1e270
+
 
-def block_size(spans) -> int:
-    q = min(1.0 - 2.0 / (s + 1.0) for s in spans)
-    return int(max(1, min(64, math.floor(18.4 / -math.log(q)))))
+def block_rows(spans, carry: float = CARRY, reach: float = REACH) -> tuple[int, int]:
+    """(own rows, lead-in rows) of a block: the slowest average sets the lead-in, the fastest the
+    whole length."""
+    rates = [-math.log(1.0 - 2.0 / (s + 1.0)) if s > 1 else math.inf for s in spans]
+    slow, fast = min(rates), max(r for r in [0.0, *rates] if r < math.inf)
+    if not fast:
+        return 1 << 30, 0                                # spans of 1: the values themselves
+    lead = math.ceil(-math.log(carry) / slow)
+    own = math.floor(math.log(reach) / fast) - lead
+    return (own, lead) if own >= lead else (0, 0)        # 0: spans too far apart for one pass
 
 
 def ema_columns(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "ticker",
-                order: str = "date", keep_numbering: bool = False) -> DataFrame:
+                order: str = "date", keep_numbering: bool = False, spread: bool = False,
+                carry: float = CARRY, reach: float = REACH) -> DataFrame:
     """Add one EMA column per ``specs[name] = (value_column, span)``; values must be non-null
-    (fill first, W15), a NULL raises. All specs share one numbering, one block window and one carry pass.
-
-    Shuffles: one, for the per-key numbering. The block window (key, block), the block-end
-    filter, the per-key carry aggregation and the join back on the key all reuse that hash
-    partitioning on ``key``. ``keep_numbering`` leaves ``_rn``/``_last`` for a chained pass.
-    """
-    B = block_size([s for _, s in specs.values()])
-    w_all = Window.partitionBy(key).orderBy(order)
+    (fill first, W15), a NULL raises. All specs share one numbering and one block window, unless
+    their spans are so far apart that they need passes of their own. ``keep_numbering`` leaves
+    ``_rn`` for a chained pass."""
+    own, lead = block_rows([s for _, s in specs.values()], carry, reach)
+    if not own and len(specs) > 1:
+        names = sorted(specs, key=lambda n: specs[n][1])
+        half = len(names) // 2
+        d = ema_columns(df, {n: specs[n] for n in names[:half]}, key, order, True, spread, carry, reach)
+        return ema_columns(d, {n: specs[n] for n in names[half:]}, key, order, keep_numbering, spread, carry, reach)
+    if not own:
+        raise ValueError("carry and reach leave no room for a block")
     d = df
     if "_rn" not in d.columns:
-        d = d.withColumns({"_rn": F.row_number().over(w_all) - 1,
-                           "_last": F.lead(F.lit(1)).over(w_all).isNull()})
-    d = d.withColumns({"_blk": F.floor(F.col("_rn") / B).cast("int"), "_j": F.col("_rn") % B})
-    wb = (Window.partitionBy(key, "_blk").orderBy("_j")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    names = list(specs)
-    local = {}
+        d = d.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    mine = F.floor(F.col("_rn") / own)
+    leads = (F.col("_rn") % own >= own - lead)           # also lead-in of the next block
+    d = d.withColumn("_blk", F.explode(F.when(leads, F.array(mine, mine + 1)).otherwise(F.array(mine))))
+    if spread:
+        d = d.repartition(key, "_blk")
+    w = Window.partitionBy(key, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = F.col("_rn") - F.greatest(F.col("_blk") * own - lead, F.lit(0))          # place in the block
+    out = {}
     for name, (src, span) in specs.items():
         a = 2.0 / (span + 1.0)
-        q = 1.0 - a
-        wt = F.when(F.col("_rn") == 0, F.lit(1.0)).otherwise(F.lit(a))
         x = F.coalesce(F.col(src), F.raise_error(F.lit(f"EMA over a NULL in {src}: fill the gaps first"))
                        .cast("double"))
-        local[f"_loc_{name}"] = (F.sum(wt * x * F.pow(F.lit(q), -F.col("_j"))).over(wb)
-                                 * F.pow(F.lit(q), F.col("_j")))
-    d = d.withColumns(local)
-
-    # last row of each block: its zero-carry value b and the block's row count m
-    ends = d.where(F.col("_last") | (F.col("_j") == B - 1)).select(
-        key, "_blk", (F.col("_j") + 1).alias("_m"), *[F.col(f"_loc_{n}") for n in names])
-    carry_aggs = []
-    for name, (_, span) in specs.items():
-        q = 1.0 - 2.0 / (span + 1.0)
-        arr = F.sort_array(F.collect_list(F.struct("_blk", "_m", F.col(f"_loc_{name}").alias("b"))))
-        # carry flowing into block k (0 for the first block), as element k of an array
-        step = F.aggregate(
-            arr,
-            F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("out")),
-            lambda acc, e: F.struct(
-                (e["b"] + F.pow(F.lit(q), e["_m"]) * acc["c"]).alias("c"),
-                F.concat(acc["out"], F.array(acc["c"])).alias("out")))
-        carry_aggs.append(step["out"].alias(f"_cs_{name}"))
-    carries = ends.groupBy(key).agg(*carry_aggs)
-    out = d.join(carries, key)
-    res = {}
-    for name, (_, span) in specs.items():
-        q = 1.0 - 2.0 / (span + 1.0)
-        carry = F.element_at(F.col(f"_cs_{name}"), F.col("_blk") + 1)
-        res[name] = F.col(f"_loc_{name}") + carry * F.pow(F.lit(q), F.col("_j") + 1)
-    out = out.withColumns(res).drop("_blk", "_j", *[f"_loc_{n}" for n in names],
-                                    *[f"_cs_{n}" for n in names])
-    return out if keep_numbering else out.drop("_rn", "_last")
+        if a == 1.0:
+            out[name] = x.cast("double")
+            continue
+        q = F.lit(1.0 - a)
+        weight = F.when(F.col("_rn") == 0, F.lit(1.0)).otherwise(F.lit(a))
+        out[name] = F.sum(weight * x * F.pow(q, -j)).over(w) * F.pow(q, j)
+    d = d.withColumns(out).where(F.col("_blk") == mine).drop("_blk")
+    return d if keep_numbering else d.drop("_rn")
 
 
 def ema(df: DataFrame, value: str, span: float, out: str | None = None, key: str = "ticker",
