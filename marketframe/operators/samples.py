@@ -4,9 +4,8 @@ A sample is one row (ticker, date, label, X): the payload travels with its key,
 is a plain equi-join and no positional index arrays exist.
 
 Scale notes: every window here runs on bar-sized or grid-sized tables (bounded per ticker by
-the calendar); the 72-hour text window is a fixed 72x explode of the sample keys followed by an
-equi-join on (ticker, hour) -- no range join -- and a group of exactly 72 rows per sample. The
-chronological split never sorts samples globally: it numbers the distinct dates (a
+the calendar); the 72-hour text window is three joined 24-hour segments per sample, never a
+range join. The chronological split never sorts samples globally: it numbers the distinct dates (a
 calendar-sized table) and ranks only inside a date.
 """
 
@@ -97,19 +96,23 @@ def train_row_weights(rows: DataFrame, split_samples: DataFrame, length: int = 6
 def scaler_fit(weighted_rows: DataFrame, features=PRICE_FEATURES, ticker: str = "ticker",
                date: str = "date") -> DataFrame:
     """Per-feature mean and population std over every train row x timestep (weights from
-    W12); zero variance -> scale 1. Two passes (mean, then centred squares), each one wide
-    aggregate; the row of means meets the rows by a constant, and only the result is unpivoted."""
-    one, w = F.lit(1).alias("_one"), F.col("weight")
-    rows = weighted_rows.where(w > 0).select(w, one, *[F.col(f).cast("double").alias(f) for f in features])
-    means = rows.agg(F.sum(w).alias("_n"), *[(F.sum(F.col(f) * w) / F.sum(w)).alias(f"_m_{f}") for f in features])
-    both = rows.join(F.broadcast(means.select("*", one)), "_one")           # one row: proven size
-    wide = both.agg(F.first("_n").alias("n"), *[F.first(f"_m_{f}").alias(f"_m_{f}") for f in features], *[
-        F.sqrt(F.sum(w * (F.col(f) - F.col(f"_m_{f}")) ** 2) / F.sum(w)).alias(f"_s_{f}") for f in features])
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_m_{f}").alias("mean"),
-                                        F.col(f"_s_{f}").alias("std")) for f in features]))
-    return (wide.where(F.col("n").isNotNull()).select(each.alias("e"), F.col("n").cast("long").alias("n"))
-            .select("e.feature", "e.mean", F.when(F.col("e.std") == 0, F.lit(1.0)).otherwise(F.col("e.std"))
-                    .alias("scale"), "n"))
+    W12); zero variance -> scale 1. One scan: rows of equal weight (1 to the sequence length) share a
+    mergeable (count, mean, squared deviations) a feature, and these few rows are merged exactly, by
+    the deviations of their means."""
+    w = F.col("weight")
+    moments = []
+    for f in features:
+        moments += [F.avg(F.col(f).cast("double")).alias(f"_m_{f}"), F.var_pop(F.col(f).cast("double")).alias(f"_v_{f}")]
+    parts = weighted_rows.where(w > 0).groupBy(w.alias("_w")).agg(F.count(F.lit(1)).alias("_n"), *moments)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_m_{f}").alias("m"),
+                                        F.col(f"_v_{f}").alias("v")) for f in features]))
+    per = parts.select((F.col("_w") * F.col("_n")).alias("c"), each.alias("e")).groupBy("e.feature").agg(
+        F.sum("c").alias("n"), F.collect_list(F.struct("c", "e.m", "e.v")).alias("parts"))
+    total = lambda fn: F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["c"] * fn(p)) / F.col("n")
+    per = per.withColumn("mean", total(lambda p: p["m"]))
+    std = F.sqrt(total(lambda p: p["v"] + (p["m"] - F.col("mean")) * (p["m"] - F.col("mean"))))
+    return per.select("feature", "mean", F.when(std == 0, F.lit(1.0)).otherwise(std).alias("scale"),
+                      F.col("n").cast("long").alias("n"))
 
 
 def scale_long(rows: DataFrame, stats: DataFrame, features=PRICE_FEATURES,

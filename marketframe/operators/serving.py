@@ -13,26 +13,41 @@ from pyspark.sql import functions as F
 from marketframe.functions.numeric import confidence, day_change_pct, safe_div, trend
 
 
+def _micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 def asof_lookup(points: DataFrame, series: DataFrame, ticker: str = "ticker",
                 point_date: str = "query_date", date: str = "date",
-                payload=("close",)) -> DataFrame:
-    """For every (ticker, query date) the series row on that date, else the closest earlier
-    one (NULL when none).
-
-    Each series row is spread over the days up to the next one, so a point meets it by equality on
-    (ticker, date); points after the last row meet it by ticker. The points are read once and only
-    bar-sized tables go through a window."""
+                payload=("close",), bucket_days: int = 64) -> DataFrame:
+    """For every (ticker, query time) the series row at that time, else the closest earlier
+    one (NULL when none); of series rows of one time the largest payload. Dates and timestamps of any
+    resolution; rows without a time are no series rows and find nothing.
+
+    Time is cut into buckets. A bucket holds its series rows in order, after the last row before it
+    (carried over the buckets of the ticker), so a point meets one bucket by equality on (ticker,
+    bucket) and picks among its rows. A gap costs one row a bucket, not one a day or hour; points
+    after the last row meet it by ticker. Only series-sized tables go through a window, points are
+    read once, and ``bucket_days`` bounds what a bucket holds."""
     payload = list(payload)
-    w = Window.partitionBy(ticker).orderBy(date)
-    hit = F.struct(F.col(date).alias("used_date"), *payload).alias("_hit")
-    bars = series.select(ticker, F.col(date).alias("_from"), F.lead(date).over(w).alias("_next"), hit)
-    days = bars.where(F.col("_next").isNotNull()).select(
-        ticker, F.explode(F.sequence("_from", F.date_sub("_next", 1))).alias(point_date), "_hit")
-    tail = bars.where(F.col("_next").isNull()).select(
-        ticker, F.col("_from").alias("_last"), F.col("_hit").alias("_last_hit"))
-    found = points.join(days, [ticker, point_date], "left").join(tail, ticker, "left")
-    best = F.when(F.col(point_date) >= F.col("_last"), F.col("_last_hit")).otherwise(F.col("_hit"))
-    found = found.withColumn("_best", best)
+    size = bucket_days * 86_400_000_000
+    bucket = lambda c: F.floor(_micros(c) / F.lit(size))
+    hit = F.struct(_micros(date).alias("t"), F.col(date).alias("used_date"), *payload)
+    rows = series.where(F.col(date).isNotNull()).groupBy(ticker, bucket(date).alias("_bucket")).agg(
+        F.sort_array(F.collect_list(hit)).alias("_rows"))
+    w = Window.partitionBy(ticker).orderBy("_bucket")
+    rows = rows.withColumn("_end", F.try_element_at("_rows", F.lit(-1)))
+    rows = rows.withColumns({"_carry": F.lag("_end").over(w), "_next": F.lead("_bucket").over(w)})
+    own = F.when(F.col("_carry").isNull(), F.col("_rows")).otherwise(F.concat(F.array("_carry"), F.col("_rows")))
+    covered = F.explode(F.sequence("_bucket", F.coalesce(F.col("_next") - 1, F.col("_bucket"))))
+    held = rows.select(ticker, F.col("_bucket").alias("_own"), own.alias("_rows"), "_end", covered.alias("_bucket")).select(
+        ticker, "_bucket", F.when(F.col("_bucket") == F.col("_own"), F.col("_rows")).otherwise(F.array("_end")).alias("_rows"))
+    tail = rows.where(F.col("_next").isNull()).select(ticker, F.col("_bucket").alias("_last"), F.col("_end").alias("_last_hit"))
+    found = (points.withColumn("_bucket", bucket(point_date)).join(held, [ticker, "_bucket"], "left")
+             .join(tail, ticker, "left"))
+    at = _micros(point_date)
+    inside = F.try_element_at(F.filter("_rows", lambda r: r["t"] <= at), F.lit(-1))
+    found = found.withColumn("_best", F.when(F.col("_bucket") > F.col("_last"), F.col("_last_hit")).otherwise(inside))
     return found.select(*[F.col(c) for c in points.columns],
                         *[F.col(f"_best.{c}").alias(c) for c in ["used_date"] + payload])
 

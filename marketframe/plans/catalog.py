@@ -380,6 +380,11 @@ def q_fusion_predictions(spark, sf):
     return C.predict_direction(model, sp.where(F.col("split") == "test"))
 
 
+def fusion_weight(i: int) -> float:
+    """Weight of the i-th feature of a side in the stand-in fusion head."""
+    return (-1.0) ** i / (i + 1)
+
+
 def _momentum_predictor(idx, nf):
     """Stand-in model for X3: p(up) = sigmoid(mean over the window's last day of the scaled
     return and momentum features). Real weights plug in the same way. Everything the worker
@@ -406,6 +411,17 @@ def q_sequence_inference(spark, sf):
     return out.select("ticker", "date", "label", F.round("probability", 4).alias("probability"))
 
 
+def q_fused_inference(spark, sf):
+    """X3 on both inputs, F25: every text sample's 72 x 10 window with the scaled 60 x 23 price window
+    of its day, zeros where there is none, through one batch model of two tensors."""
+    from marketframe.schemas import PRICE_FEATURES as PF, TEXT_DELTA_FEATURES as TD, TEXT_FEATURES as TF
+    rows, wr = _price_split_weights(spark, sf)
+    price = S.price_sequences(S.apply_scaler(rows, S.scaler_fit(wr)))
+    model = SC.late_fusion([fusion_weight(i) for i in range(len(PF))], [fusion_weight(i) for i in range(len(TF + TD))])
+    out = SC.score_fused(_text_windows(spark, sf), price, model, 72, len(TF + TD), 60, len(PF))
+    return out.select("ticker", "date", "label", "has_price", F.round("probability", 4).alias("probability"))
+
+
 def q_ingest_posts(spark, sf):
     """A noisy post CSV and a mapping CSV (several files each, counts written
     ``3.0``, rows without a number, repeated ids) are written to the shared folder and read back."""
@@ -470,6 +486,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "html_decode": q_html_decode,
     "fusion_predictions": q_fusion_predictions,
     "sequence_inference": q_sequence_inference,
+    "fused_inference": q_fused_inference,
 }
 
 

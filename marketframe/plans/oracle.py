@@ -7,7 +7,7 @@ compares the same numbers.
 
 from __future__ import annotations
 
-from marketframe.schemas import ENGLISH_KEYWORDS, PRICE_FEATURES
+from marketframe.schemas import ENGLISH_KEYWORDS, PRICE_FEATURES, TEXT_DELTA_FEATURES, TEXT_FEATURES
 
 
 def R(expr: str, d: int = 6) -> str:
@@ -562,4 +562,24 @@ FROM p JOIN m ON p.l_orderkey = m.l_orderkey"""
   JOIN stats2 s ON a.feature = s.feature GROUP BY a.ticker, a.date)
 SELECT k.ticker, k.date, k.label, round(1 / (1 + exp(-z.m)), 4) AS probability
 FROM price_keys k JOIN z ON k.ticker = z.ticker AND k.date = z.date"""
+    from marketframe.plans.catalog import fusion_weight
+    weight = ", ".join(f"('{f}', {D(fusion_weight(i))})" for i, f in enumerate(PRICE_FEATURES))
+    hour = " + ".join(f"{D(fusion_weight(i))} * coalesce(d.{f}, 0)" for i, f in enumerate(TEXT_FEATURES))
+    delta = " + ".join(f"{D(fusion_weight(len(TEXT_FEATURES) + i))} * coalesce(d.{f}, 0)"
+                       for i, f in enumerate(TEXT_DELTA_FEATURES))
+    q["fused_inference"] = with_(*PRICE, scaler, POSTS, HOURLY, GRID, DELTAS, TEXT_KEYS) + f""", pw AS (
+  SELECT a.ticker, a.date, sum(w.weight * (a.x - s.mean) / s.scale) AS r
+  FROM (UNPIVOT (SELECT ticker, date, {feats} FROM prows) ON {feats} INTO NAME feature VALUE x) a
+  JOIN stats2 s ON a.feature = s.feature JOIN (VALUES {weight}) w(feature, weight) ON a.feature = w.feature
+  GROUP BY a.ticker, a.date),
+pz AS (SELECT ticker, date, avg(r) {fr} AS z FROM pw),
+px AS (SELECT k.ticker, k.date, pz.z FROM price_keys k JOIN pz ON k.ticker = pz.ticker AND k.date = pz.date),
+tx AS (
+  SELECT k.ticker, k.date, k.label, sum({hour} + CASE WHEN g.i = 0 THEN 0.0 ELSE {delta} END) / 72 AS z
+  FROM text_keys k CROSS JOIN range(72) AS g(i)
+  LEFT JOIN deltas d ON k.ticker = d.ticker AND d.hour = k.prediction_time - INTERVAL 95 HOUR + to_hours(g.i)
+  GROUP BY k.ticker, k.date, k.label)
+SELECT t.ticker, t.date, t.label, p.z IS NOT NULL AS has_price,
+       round(1 / (1 + exp(-(t.z + coalesce(p.z, 0)))), 4) AS probability
+FROM tx t LEFT JOIN px p ON t.ticker = p.ticker AND t.date = p.date"""
     return q

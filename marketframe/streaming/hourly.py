@@ -20,11 +20,18 @@ from marketframe.session import ensure_session_defaults
 
 
 def hourly_sentiment_stream(posts: DataFrame, ts: str = "created_at",
-                            delay: str = "3 days") -> DataFrame:
-    """Streaming A4 + A5: same columns and formulas as the batch ``hourly_weighted``."""
+                            delay: str = "3 days", key: str | None = "post_id") -> DataFrame:
+    """Streaming A4 + A5: same columns and formulas as the batch ``hourly_weighted``.
+
+    S8: where the posts have the column ``key``, a post that is sent again counts once, the first to
+    arrive; ids are kept as state until the watermark passes their time, across restarts."""
     ensure_session_defaults(posts.sparkSession)  # UTC: wall-clock hours = epoch-aligned windows
-    base = posts.select("ticker", roll_weekend(ts).cast("timestamp").alias("event_time"), *hourly_inputs())
-    agg = (base.withWatermark("event_time", delay)
+    ids = [F.col(key).alias("_id")] if key in posts.columns else []
+    base = posts.select("ticker", roll_weekend(ts).cast("timestamp").alias("event_time"), *hourly_inputs(), *ids)
+    base = base.withWatermark("event_time", delay)
+    if ids:
+        base = base.dropDuplicatesWithinWatermark(["_id"])
+    agg = (base
            .groupBy(F.window("event_time", "1 hour").alias("w"), "ticker")
            .agg(*hourly_aggregates()))
     return agg.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "ticker",
