@@ -2,7 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it
 as Parquet into the shared checkpoint folder and hands the reread table to the next stage. All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. Stages take null and empty texts, rows without an id and
+empty tables; what they do with them is said in each operator.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from marketframe.session import checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the line CRF, fitted on the folder's labels, scores under one half."""
+    """Drops documents that the line CRF, fitted on the folder's labels, scores under one half (null and
+    empty texts too)."""
     return line_crf.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by 3-word shingle similarity of 0.9 or more, which
-    are the contract's values for the Jaccard join."""
-    return jaccard.one_per_component(docs)
+    """Keeps one document of each group linked by 5-word shingle similarity of 0.8 or more, the values
+    of near-duplicate stages. Rows without an id and texts without a word stay."""
+    return jaccard.one_per_component(docs, words=5, percent=80)
 
 
 def secret_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
