@@ -58,8 +58,11 @@ def _hashes(texts, words: int):
     count = np.where(n == 0, 0, np.maximum(n - words + 1, 1))
     at = np.concatenate([[0], np.cumsum(count)])
     begin = np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])
-    end = np.minimum(begin + words, np.repeat(first[1:], count))
-    return tb.range_hash(tb.prefix_hash(w), begin, end), at
+    short = np.repeat(n < words, count)
+    out = np.zeros(len(begin), np.uint64)
+    out[~short] = tb.window_hashes(w, begin[~short], words)
+    out[short] = tb.part_hashes(w, begin[short], np.repeat(first[1:], count)[short])
+    return out, at
 
 
 def _sets(texts, words: int, rank=None):

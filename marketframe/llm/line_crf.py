@@ -76,7 +76,7 @@ def lines_of(texts):
     closed = np.zeros(len(n_words))
     closed[live] = _CLOSING[data[ends[first[1:][live] - 1] - 1]]
     figure["closed"] = closed
-    key = tb.mix(tb.range_hash(tb.prefix_hash(tb._letters(2)[data]), off[:-1], off[1:])
+    key = tb.mix(tb.run_hashes(data, off[:-1], off[1:], 2)
                  + tb.mix(line_doc.astype(np.uint64)))
     order = np.argsort(key, kind="stable")
     again = np.zeros(len(key))

@@ -77,7 +77,7 @@ def _judge(texts):
     for i in range(3):
         repeated[at[twice] + i] = True
 
-    line_key = tb.range_hash(tb.prefix_hash(tb._letters(2)[data]), off[:-1], off[1:])
+    line_key = tb.run_hashes(data, off[:-1], off[1:], 2)
     has_word = line_words > 0
     again = _twice(tb.mix(line_key + tb.mix(line_doc.astype(np.uint64))), later_only=True) & has_word
 

@@ -216,20 +216,44 @@ def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
         _joined(F.array_sort(F.concat("base", _random_spans(F.col("cands"), limits)))).alias("spans"))
 
 
+def _running_max(x: Column, block: int = 128) -> Column:
+    """For every entry of an array of ints the largest one before it (0 for the first), by blocks."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")),
+                        lambda b: F.slice(x, b * block + 1, F.lit(block)))
+    grow = lambda first, a: F.slice(F.aggregate(a, F.array(first), lambda s, v: F.concat(
+        s, F.array(F.greatest(F.element_at(s, -1), v)))), F.lit(1), F.size(a))
+    before = grow(F.lit(0), F.transform(parts, lambda p: F.array_max(p)))
+    return F.flatten(F.zip_with(parts, before, lambda p, b: grow(b, p)))
+
+
+def masked(text: Column, ranges: Column, mask: str) -> Column:
+    """``text`` with the character ranges array<struct<start, end>> replaced by ``mask``; ranges that
+    overlap or touch become one."""
+    r = F.array_sort(ranges)
+    upto = _running_max(F.transform(r, lambda x: x["end"]))
+    cuts = F.arrays_zip(r.alias("r"), upto.alias("upto"))
+    apart = F.filter(cuts, lambda c: (c["r"]["start"] > c["upto"]) | ((c["r"]["start"] == 0) & (c["upto"] == 0)))
+    pieces = F.transform(apart, lambda c: F.concat(
+        F.substring(text, c["upto"] + 1, c["r"]["start"] - c["upto"]), F.lit(mask)))
+    last = F.array_max(F.transform(ranges, lambda x: x["end"]))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.char_length(text)))
+
+
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
-    """``docs`` with every secret's value replaced by ``mask``, longer values first; the columns
-    stay (``n_chars``, if there is one, is counted anew for changed texts). Texts without a secret
-    are not touched."""
-    tokens = _scan(docs.select("text")).select(F.explode("cands").alias("c")).select("c.token")
-    limits = cutoffs(tokens, fdr)
+    """``docs`` with the value of every secret span replaced by ``mask``, where it stands; the same
+    words elsewhere stay. Values that overlap or touch become one mask. The columns stay
+    (``n_chars``, if there is one, is counted anew for changed texts); null texts and texts without a
+    secret are not touched. Texts are searched once and wait in the checkpoint folder for the limits."""
+    found = cut_lineage(_scan(docs).select("r", "base", "cands"))
+    limits = cutoffs(found.select(F.explode("cands").alias("c")).select("c.token"), fdr)
     spans = F.concat("base", _random_spans(F.col("cands"), limits))
-    values = F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.struct(
-        (-F.char_length(s["value"])).alias("n"), s["value"].alias("v")))))
-    clean = F.when(F.size("values") > 0, F.aggregate(
-        "values", F.col("text"), lambda t, v: F.replace(t, v["v"], F.lit(mask)))).otherwise(F.col("r.text"))
-    out = _scan(docs).select("r", "text", values.alias("values")).select("r", "values", clean.alias("clean"))
+    ranges = F.transform(spans, lambda s: F.struct(
+        (s["end"] - F.char_length(s["value"])).alias("start"), s["end"].alias("end")))
+    out = found.select("r", F.filter(ranges, lambda x: x["start"] < x["end"]).alias("ranges"))
+    some, text = F.size("ranges") > 0, F.col("r.text")
+    out = out.select("r", some.alias("some"), F.when(some, masked(text, F.col("ranges"), mask)).otherwise(text).alias("clean"))
     fields = {c: F.col("r")[c] for c in docs.columns} | {"text": F.col("clean")}
     if "n_chars" in fields:
-        fields["n_chars"] = F.when(F.size("values") > 0, F.char_length("clean").cast(docs.schema["n_chars"].dataType)) \
+        fields["n_chars"] = F.when(F.col("some"), F.char_length("clean").cast(docs.schema["n_chars"].dataType)) \
             .otherwise(fields["n_chars"])
     return out.select([v.alias(c) for c, v in fields.items()])

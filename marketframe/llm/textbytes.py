@@ -129,8 +129,51 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(_U))
 
 
+# ------------------------------------------------------------------ hashes of words, lines and windows
+# Polynomial hashes modulo 2^64 (above) let certain long texts collide, whatever the base. The ones
+# below draw a random number for every (place, letter), and mix before they add what is longer.
+CHUNK = 64
+_MULTIPLIER = _U(0xD6E8FEB86659FD93)
+_PLACE = _U(0xA0761D6478BD642F)
+
+
+@lru_cache(maxsize=8)
+def _places(seed: int) -> np.ndarray:
+    """A random number for every letter at every place of a chunk."""
+    return np.random.default_rng(seed).integers(0, 1 << 64, CHUNK * 256, dtype=_U)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of the disjoint, rising byte runs [starts, ends). A chunk of 64 bytes is the sum
+    of its letters' numbers, a run the sum of its mixed chunks; both depend on the place."""
+    size = ends - starts
+    chunks = -(-size // CHUNK)
+    which = np.repeat(np.arange(len(size)), chunks)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    begin = starts[which] + nth * CHUNK
+    length = np.minimum(ends[which] - begin, CHUNK)
+    if len(length):
+        cut = np.cumsum(length) - length
+        place = np.arange(cut[-1] + length[-1]) - np.repeat(cut, length)
+        at = place + np.repeat(begin, length)
+        sums = np.add.reduceat(_places(seed)[(place << 8) | data[at]], cut)
+    else:
+        sums = np.zeros(0, _U)
+    sums = mix(sums + (nth + 1).astype(_U) * _PLACE)
+    out = np.zeros(len(size), _U)
+    single = chunks == 1
+    out[single] = sums[single[which]]
+    np.add.at(out, which[~single[which]], sums[~single[which]])
+    return mix(out + size.astype(_U))
+
+
 def word_hashes(data, starts, ends, seed: int = 1) -> np.ndarray:
-    return range_hash(prefix_hash(_letters(seed)[data]), starts, ends)
+    return run_hashes(data, starts, ends, seed)
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order."""
+    return mix(left * _MULTIPLIER + ((right << _U(23)) | (right >> _U(41))))
 
 
 def window_starts(first: np.ndarray, k: int) -> np.ndarray:
@@ -143,7 +186,24 @@ def window_starts(first: np.ndarray, k: int) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    return range_hash(prefix_hash(words), at, at + k)
+    """Hashes of the windows of ``k`` entries that start at ``at``: windows of doubling length are
+    joined, the last two overlap."""
+    h, span = words, 1
+    while span * 2 <= k:
+        h = joined(h[:-span], h[span:])
+        span *= 2
+    if span == k:
+        return h[at]
+    return joined(h[at], h[at + (k - span)])
+
+
+def part_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of short runs of entries, of any length from 1."""
+    h, size = words[begin], end - begin
+    for j in range(1, int(size.max(initial=1))):
+        more = size > j
+        h[more] = joined(h[more], words[begin[more] + j])
+    return mix(h + size.astype(_U) * _PLACE)
 
 
 def owner(first: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ def test_stages(spark):
     known = [d for d, _ in start if d in labels]
     kept = {d for d, _ in good}
     assert sum((d in kept) == bool(labels[d]) for d in known) >= 0.95 * len(known)
-    component = jaccard_components(good)
+    component = jaccard_components(good, 5, 80)
     assert sorted(d for d, _ in single) == sorted(d for d, (_, c) in component.items() if d == c)
     before = dict(single)
     assert sorted(d for d, _ in masked) == sorted(before)
