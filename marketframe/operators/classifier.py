@@ -29,10 +29,10 @@ def pool_window(df: DataFrame, x_col: str, n_features: int, prefix: str) -> Data
         series = F.transform(F.col(x_col), pick(i))
         n = F.size(series)
         mean = F.aggregate(series, F.lit(0.0), lambda a, v: a + v) / n
-        sq = F.aggregate(series, F.lit(0.0), lambda a, v: a + v * v) / n
+        apart = F.aggregate(F.transform(series, lambda v, m=mean: (v - m) * (v - m)), F.lit(0.0), lambda a, v: a + v)
         cols[f"{prefix}{i}_last"] = F.element_at(series, -1)
         cols[f"{prefix}{i}_mean"] = mean
-        cols[f"{prefix}{i}_std"] = F.sqrt(F.greatest(sq - mean * mean, F.lit(0.0)))
+        cols[f"{prefix}{i}_std"] = F.sqrt(apart / n)
         cols[f"{prefix}{i}_min"] = F.array_min(series)
         cols[f"{prefix}{i}_max"] = F.array_max(series)
     return df.withColumns(cols)

@@ -354,32 +354,58 @@ def q_table_stats(spark, sf):
     return SV.first_last(FX.posts(spark, sf))
 
 
-def q_fusion_predictions(spark, sf):
-    """X4 + X5 (rows-only): pooled scaled-price windows and pooled text windows, aligned and
-    split chronologically; a logistic regression fitted on train predicts the test rows. The
-    training table is checkpointed once so the ML passes do not recompute the lineage."""
+def _fusion_samples(spark, sf):
+    """(samples, price feature names, text feature names): pooled scaled-price windows and pooled text
+    windows of the agreeing aligned samples, split chronologically. The table is checkpointed, so that
+    training passes do not recompute the lineage."""
     from marketframe.operators import classifier as C
     from marketframe.schemas import PRICE_FEATURES, TEXT_DELTA_FEATURES, TEXT_FEATURES
     rows, wr = _price_split_weights(spark, sf)
     scaled = S.apply_scaler(rows, S.scaler_fit(wr))
-    n_p = len(PRICE_FEATURES)
     pp = C.pool_rows(scaled.withColumn("_n", F.row_number().over(
         Window.partitionBy("ticker").orderBy("date"))), PRICE_FEATURES, 60, "p")
-    pp = pp.where((F.col("_n") >= 60) & F.col("next_close").isNotNull())
-    pp = pp.select("ticker", "date", "label", *C.pooled_names(n_p, "p"))
-    hourly = cut_lineage(H.hourly_weighted(FX.posts(spark, sf)))
-    gd = H.hourly_deltas(H.fill_hour_grid(hourly))
-    keys = S.text_sample_keys(_bars(spark, sf), S.text_first_hours(hourly))
-    tfeats = TEXT_FEATURES + TEXT_DELTA_FEATURES
-    tp = C.pool_hours(S.text_window_rows(keys, gd), tfeats, "t")
+    price, text = C.pooled_names(len(PRICE_FEATURES), "p"), C.pooled_names(len(TEXT_FEATURES + TEXT_DELTA_FEATURES), "t")
+    pp = pp.where((F.col("_n") >= 60) & F.col("next_close").isNotNull()).select("ticker", "date", "label", *price)
+    tp = C.pool_window(_text_windows(spark, sf), "X", len(TEXT_FEATURES + TEXT_DELTA_FEATURES), "t").select(
+        "ticker", "date", "label", *text)
     al = FU.keep_agreeing(pp.withColumnRenamed("label", "label_price").join(
         tp.withColumnRenamed("label", "label_text"), ["date", "ticker"]))
-    feats = C.pooled_names(n_p, "p") + C.pooled_names(len(tfeats), "t")
-    sp = cut_lineage(S.chrono_split(al.select("date", "ticker", "label", *feats)))
-    model = C.fit_direction_model(sp.where(F.col("split") == "train"), feats)
+    return cut_lineage(S.chrono_split(al.select("date", "ticker", "label", *price, *text))), price, text
+
+
+def q_fusion_predictions(spark, sf):
+    """X4 + X5 (rows-only): a logistic regression on both sides' pooled windows, fitted on train,
+    predicts the test rows."""
+    from marketframe.operators import classifier as C
+    sp, price, text = _fusion_samples(spark, sf)
+    model = C.fit_direction_model(sp.where(F.col("split") == "train"), price + text)
     return C.predict_direction(model, sp.where(F.col("split") == "test"))
 
 
+def _side_predictions(spark, sf, side):
+    from marketframe.operators import training as TR
+    sp, price, text = _fusion_samples(spark, sf)
+    model = TR.fit_best(spark, sp.where(F.col("split") == "train"), {"price": price, "text": text}[side])
+    return TR.predict(model, sp.where(F.col("split") == "test"))
+
+
+def q_price_classifier(spark, sf):
+    """X4 (rows-only): the price-only network, trained in rounds, the best on validation kept."""
+    return _side_predictions(spark, sf, "price")
+
+
+def q_text_classifier(spark, sf):
+    """X4 (rows-only): the text-only network, trained in rounds, the best on validation kept."""
+    return _side_predictions(spark, sf, "text")
+
+
+def q_classifier_selection(spark, sf):
+    """X4 (rows-only): price-only, text-only and fused networks on the same samples, the best selected."""
+    from marketframe.operators import training as TR
+    sp, price, text = _fusion_samples(spark, sf)
+    return TR.compare_models(spark, sp, {"price": price, "text": text, "fused": price + text})[0]
+
+
 def fusion_weight(i: int) -> float:
     """Weight of the i-th feature of a side in the stand-in fusion head."""
     return (-1.0) ** i / (i + 1)
@@ -487,6 +513,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fusion_predictions": q_fusion_predictions,
     "sequence_inference": q_sequence_inference,
     "fused_inference": q_fused_inference,
+    "price_classifier": q_price_classifier,
+    "text_classifier": q_text_classifier,
+    "classifier_selection": q_classifier_selection,
 }
 
 
