@@ -57,6 +57,51 @@ def price_sample_keys(rows: DataFrame, length: int = 60, ticker: str = "ticker",
         ticker, date, "label")
 
 
+# ------------------------------------------------------------------------------- compact sequences
+#: Rows of a segment; a window that ends in it starts at most ``length - 1`` rows before.
+SEGMENT = 512
+
+
+def _numbered(rows: DataFrame, ticker: str, date: str) -> DataFrame:
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(ticker).orderBy(date)) - 1)
+
+
+def sequence_segments(rows: DataFrame, length: int = 60, features=PRICE_FEATURES, segment: int = SEGMENT,
+                      ticker: str = "ticker", date: str = "date") -> DataFrame:
+    """W11 stored compactly: (ticker, segment, rows array<array<float>>). A row is stored once, and once
+    more if it belongs to the ``length - 1`` rows before a segment, instead of ``length`` times."""
+    if segment < length:
+        raise ValueError("a segment holds at least one window")
+    mine = F.floor(F.col("_rn") / segment)
+    lead = F.col("_rn") % segment > segment - length               # also before the next segment
+    row = F.struct("_rn", F.array(*[F.col(f).cast("float") for f in features]).alias("row"))
+    d = _numbered(rows, ticker, date).select(
+        ticker, row.alias("_row"), (F.col("_rn")).alias("_rn"),
+        F.explode(F.when(lead, F.array(mine, mine + 1)).otherwise(F.array(mine))).alias("segment"))
+    packed = d.groupBy(ticker, "segment").agg(F.sort_array(F.collect_list("_row")).alias("_rows"),
+                                              F.max("_rn").alias("_last"))
+    return packed.where(F.col("_last") >= F.col("segment") * segment).select(
+        ticker, "segment", F.transform("_rows", lambda r: r["row"]).alias("rows"))
+
+
+def sequence_places(rows: DataFrame, keys: DataFrame, length: int = 60, features=PRICE_FEATURES,
+                    segment: int = SEGMENT, ticker: str = "ticker", date: str = "date") -> DataFrame:
+    """The samples ``keys`` (ticker, date and more) with the place of their windows: segment, offset
+    and length. Keys without a full window are left out."""
+    first = F.greatest(F.col("segment") * segment - (length - 1), F.lit(0))       # row that a segment starts with
+    at = _numbered(rows.select(ticker, date), ticker, date).where(F.col("_rn") >= length - 1)
+    return (keys.join(at, [ticker, date]).withColumn("segment", F.floor(F.col("_rn") / segment))
+            .withColumn("offset", (F.col("_rn") - (length - 1) - first).cast("int"))
+            .withColumn("length", F.lit(length)).drop("_rn"))
+
+
+def sequence_windows(places: DataFrame, segments: DataFrame, ticker: str = "ticker") -> DataFrame:
+    """The samples with their windows ``X`` (array<array<float>>), cut out of the segments."""
+    x = F.slice("rows", F.col("offset") + 1, F.col("length")).alias("X")
+    keep = [c for c in places.columns if c not in ("segment", "offset", "length")]
+    return places.join(segments, [ticker, "segment"]).select(*keep, x)
+
+
 # ------------------------------------------------------------------------------- split
 def chrono_split(samples: DataFrame, date: str = "date", tie: str = "ticker",
                  train_frac: float = 0.8) -> DataFrame:

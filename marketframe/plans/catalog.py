@@ -448,6 +448,21 @@ def q_fused_inference(spark, sf):
     return out.select("ticker", "date", "label", "has_price", F.round("probability", 4).alias("probability"))
 
 
+def q_sequence_store(spark, sf):
+    """The price samples written as segments and places, both splits read back (their
+    windows built while reading) and checked."""
+    rows = _price_rows(spark, sf)
+    keys = S.chrono_split(S.price_sample_keys(rows)).select("ticker", "date", "label", "split")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/sequences-{uuid.uuid4().hex}"
+    FS.write_sequence_store(rows, keys, folder)
+    both = FU.union_splits(*(FS.read_sequence_store(spark, folder, s) for s in ("train", "test")))
+    x = F.col("X").cast("array<array<double>>")
+    good = F.forall(x, lambda r: (F.size(r) == len(S.PRICE_FEATURES)) & F.forall(r, lambda v: ~F.isnan(v)))
+    out = both.select("ticker", "date", "label", "split", F.size("X").cast("long").alias("seq_len"), good.alias("good"),
+                      F.round(_checksum(x), 0).alias("checksum"), x[0][3].alias("first_close"), x[59][3].alias("last_close"))
+    return rounded(out, 3)
+
+
 def q_ingest_posts(spark, sf):
     """A noisy post CSV and a mapping CSV (several files each, counts written
     ``3.0``, rows without a number, repeated ids) are written to the shared folder and read back."""
@@ -513,6 +528,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fusion_predictions": q_fusion_predictions,
     "sequence_inference": q_sequence_inference,
     "fused_inference": q_fused_inference,
+    "sequence_store": q_sequence_store,
     "price_classifier": q_price_classifier,
     "text_classifier": q_text_classifier,
     "classifier_selection": q_classifier_selection,

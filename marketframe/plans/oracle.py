@@ -384,6 +384,16 @@ FROM (
   SELECT ticker, date, label, next_close, n, close, count(*) {fr} AS seq_len,
     round(sum({rowsum}) {fr}, 1) AS x_sum,
     round(list_sum(list_transform(list({weighted}) {fr}, lambda v, i: i * v)), 1) AS checksum, first_value(close) {fr} AS first_close
+  FROM prows) WHERE n >= 60 AND next_close IS NOT NULL"""
+    single = " + ".join(f"{i + 1} * CAST(CAST({c} AS FLOAT) AS DOUBLE)" for i, c in enumerate(PRICE_FEATURES))
+    q["sequence_store"] = with_(*PRICE) + f"""SELECT ticker, date, label,
+  CASE WHEN row_number() OVER (ORDER BY date, ticker) <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE))
+       THEN 'train' ELSE 'test' END AS split, seq_len, true AS good, {R('checksum', 3)} AS checksum,
+  {R('CAST(first_close AS DOUBLE)', 3)} AS first_close, {R('CAST(last_close AS DOUBLE)', 3)} AS last_close
+FROM (
+  SELECT ticker, date, label, next_close, n, count(*) {fr} AS seq_len,
+    round(list_sum(list_transform(list({single}) {fr}, lambda v, i: i * v)), 0) AS checksum,
+    CAST(first_value(close) {fr} AS FLOAT) AS first_close, CAST(close AS FLOAT) AS last_close
   FROM prows) WHERE n >= 60 AND next_close IS NOT NULL"""
     q["text_windows"] = with_(BARS, POSTS, HOURLY, GRID, DELTAS, TEXT_KEYS, TEXT_WIN) + f"""
 SELECT ticker, date, label, CAST(sum(CAST(present AS INTEGER)) AS BIGINT) AS present_hours,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions.timefn import epoch_to_ts
+from marketframe.operators.samples import sequence_places, sequence_segments, sequence_windows
 from marketframe.schemas import BAR_COLUMNS, MAPPING_CSV_SCHEMA, POSTS_CSV_SCHEMA, require_columns
 from marketframe.sources.ingest import append_new, attach_ticker, dedup_first
 from marketframe.sources.quoted_csv import read_quoted_csv
@@ -114,8 +115,9 @@ def write_table(df: DataFrame, path: str, partition_by=None) -> None:
 
 
 def append_posts(incoming: DataFrame, path: str, key: str = "post_id", order=None) -> None:
-    """S8 sink: appends the rows whose key the Parquet table at ``path`` does not hold yet, the
-    first of each key in ``order``. The table is created by the first call."""
+    """S8 sink for a plain folder with one writer: appends the rows whose key the Parquet table at
+    ``path`` does not hold yet, the first of each key in ``order``. The table is created by the first
+    call. Where calls may fail, be repeated or run side by side, use ``commits.append_committed``."""
     spark = incoming.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
@@ -126,16 +128,18 @@ def append_posts(incoming: DataFrame, path: str, key: str = "post_id", order=Non
 
 
 def replace_tickers(df: DataFrame, path: str, ticker: str = "ticker", tickers=None) -> None:
-    """Replace only the tickers present in ``df`` (dynamic partition overwrite). Tickers given
-    in ``tickers`` lose their stored rows even if ``df`` has no new ones for them."""
+    """S7 for a plain folder: replace only the tickers present in ``df`` (dynamic partition overwrite).
+    Tickers given in ``tickers`` lose their stored rows even if ``df`` has no new ones for them, once
+    the new rows stand. For one commit over all tickers use ``commits.replace_committed``."""
+    spark, stale = df.sparkSession, set()
     if tickers:
-        spark = df.sparkSession
         fresh = {r[0] for r in df.select(ticker).where(F.col(ticker).isin(list(tickers))).distinct().collect()}
-        for t in set(tickers) - fresh:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{ticker}={t}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        stale = set(tickers) - fresh
     (_rebalanced(df, [ticker]).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(ticker).parquet(path))
+    for t in stale:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{ticker}={t}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
@@ -145,6 +149,20 @@ def write_samples(samples: DataFrame, path: str) -> None:
     _rebalanced(samples, ["split"]).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_sequence_store(rows: DataFrame, keys: DataFrame, path: str, **layout) -> None:
+    """S9, compact: the feature rows once, in segments, and the samples as places in them
+    (``samples.sequence_segments``, ``samples.sequence_places``). ``keys``: ticker, date, label, split."""
+    sequence_places(rows, keys, **layout).write.mode("overwrite").parquet(f"{path}/places")
+    sequence_segments(rows, **layout).write.mode("overwrite").parquet(f"{path}/segments")
+
+
+def read_sequence_store(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """S9 source of the compact store: the samples with their windows, built while reading."""
+    places = spark.read.parquet(f"{path}/places")
+    places = places.where(F.col("split") == split) if split else places
+    return sequence_windows(places, spark.read.parquet(f"{path}/segments"))
+
+
 def read_samples(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """S9 source; reading one split prunes the other partition (U2 is reading both)."""
     df = spark.read.parquet(path)
