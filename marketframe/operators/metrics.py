@@ -1,19 +1,17 @@
 """Evaluation and run summaries.
 
 All are aggregates over the prediction/sample tables; the ROC-AUC is exact and distributed:
-per-score counts, a prefix sum over quantile buckets of the scores (a bucket-sized table), and a
-within-bucket running sum.
+per-score counts, range-partitioned by score, a running sum inside each partition, and a prefix over
+the partitions' totals.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.numeric import safe_div
-from marketframe.session import cut_lineage
 
 
 def class_balance(samples: DataFrame, split: str = "split", ticker: str = "ticker",
@@ -66,53 +64,45 @@ def ticker_accuracy(pred: DataFrame, prob: str = "probability", actual: str = "a
 
 
 def roc_auc(pred: DataFrame, score: str = "probability", actual: str = "actual",
-            buckets: int = 4096) -> DataFrame:
+            buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC with ties counted 1/2: sum_s P(s) * (N(below s) + N(s)/2) / (P * N).
 
-    The running count of negatives below each score is a prefix sum in two levels: per-score
-    counts (partial aggregation) are dealt out by quantiles of the distinct scores, so each of the
-    ``buckets`` holds about as many whatever the scores' range or concentration (probabilities,
-    logits); the buckets' totals are prefixed in a table of ``buckets`` rows. Rows whose score is
-    NULL or NaN cannot be ranked; they are left out and counted in ``unranked``.
-    """
+    Per-score counts (partial aggregation) are range-partitioned by score (``buckets`` partitions, the
+    session's number by default); a partition sums its own part and its totals, and the few totals are
+    prefixed. Rows whose score is NULL or NaN cannot be ranked; they are left out and counted in
+    ``unranked``."""
     pos = F.col(actual).cast("long")
     s = F.col(score).cast("double")
     g = pred.groupBy(F.when(~F.isnan(s), s).alias("s")).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
-    g = cut_lineage(g)                              # per distinct score; read twice below
-    cuts = g.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10 * buckets)
-                 .alias("cuts")).head().cuts or []
-    cuts = sorted({c for c in cuts if math.isfinite(c)})
-    ranked = g.where(F.col("s").isNotNull())
-    ranked = ranked.withColumn("b", _bucket(F.col("s"), cuts))
-    totals = ranked.groupBy("b").agg(F.sum("n").alias("bn"))
-    before = F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("b", F.coalesce(before, F.lit(0)).alias("n_before"))   # a row a bucket
-    inside = F.sum("n").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    below = F.col("n_before") + F.coalesce(inside, F.lit(0))
-    j = ranked.join(totals, "b").select("p", "n", (F.col("p") * (below + F.col("n") / 2.0)).alias("contrib"))
-    lost = g.where(F.col("s").isNull()).select(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"),
-                                               F.lit(0.0).alias("contrib"), (F.col("p") + F.col("n")).alias("u"))
-    return j.withColumn("u", F.lit(0).cast("long")).unionByName(lost).agg(
-        safe_div(F.sum("contrib"), F.sum("p").cast("double") * F.sum("n")).alias("roc_auc"),
-        F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum("u").alias("unranked"))
-
-
-def _bucket(s, cuts):
-    """Number of cut points at or below ``s``, by binary search over the sorted literals."""
-    if not cuts:
-        return F.lit(0)
-    table = F.lit(cuts) if len(cuts) > 1 else F.array(F.lit(cuts[0]))
-    bits = len(cuts).bit_length()
-    span = F.aggregate(F.sequence(F.lit(1), F.lit(bits)), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")),
-                       lambda a, _: _halve(a, s, table))
-    return span["lo"]
-
-
-def _halve(a, s, table):
-    mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-    right = (a["lo"] < a["hi"]) & (F.get(table, mid) <= s)
-    return F.struct(F.when(right, mid + 1).otherwise(a["lo"]).alias("lo"),
-                    F.when((a["lo"] < a["hi"]) & ~right, mid).otherwise(a["hi"]).alias("hi"))
+    dealt = g.repartitionByRange(buckets, "s") if buckets else g.repartitionByRange("s")
+    parts = dealt.sortWithinPartitions("s").mapInArrow(_auc_part, "lo double, p long, n long, u double, lost long")
+    before = F.sum("n").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))   # a row a partition
+    parts = parts.withColumn("before", F.coalesce(before, F.lit(0)))
+    return parts.agg(
+        safe_div(F.sum(F.col("u") + F.col("p").cast("double") * F.col("before")), F.sum("p").cast("double") * F.sum("n")).alias("roc_auc"),
+        F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.coalesce(F.sum("lost"), F.lit(0)).alias("unranked"))
+
+
+def _auc_part(batches):
+    """One partition's scores in rising order: its lowest score, totals and own part of the sum."""
+    import pyarrow as pa
+    lo, p_all, n_all, u, lost, any_row = None, 0, 0, 0.0, 0, False
+    for batch in batches:
+        ranked = np.asarray(batch.column("s").is_valid())
+        p, n = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("p", "n"))
+        lost += int((p + n)[~ranked].sum())
+        any_row |= batch.num_rows > 0
+        p, n = p[ranked], n[ranked]
+        if not len(p):
+            continue
+        lo = float(batch.column("s").drop_null()[0].as_py()) if lo is None else lo
+        below = n_all + np.cumsum(n) - n
+        u += float((p * (below + n / 2.0)).sum())
+        p_all, n_all = p_all + int(p.sum()), n_all + int(n.sum())
+    if any_row:
+        yield pa.RecordBatch.from_pydict({"lo": pa.array([lo], pa.float64()), "p": pa.array([p_all], pa.int64()),
+                                          "n": pa.array([n_all], pa.int64()), "u": pa.array([u], pa.float64()),
+                                          "lost": pa.array([lost], pa.int64())})
 
 
 def sentiment_buckets(scored: DataFrame, polarity: str = "sentiment_score",

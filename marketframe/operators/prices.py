@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from marketframe.schemas import BAR_VALUE_COLUMNS
 
+#: Days fetched before and after a ticker's posts, days kept before the first post.
+BEFORE_DAYS, AFTER_DAYS, BUFFER_DAYS = 100, 3, 90
 DEFAULT_START = "2015-01-01"
 DEFAULT_END = "2020-12-31"
 
@@ -24,7 +26,7 @@ def post_bounds(posts: DataFrame, ticker: str = "ticker", ts: str = "created_at"
                             "global_last": F.max("last_post").over(allw)})
 
 
-def fetch_window(bounds: DataFrame, before_days: int = 100, after_days: int = 3) -> DataFrame:
+def fetch_window(bounds: DataFrame, before_days: int = BEFORE_DAYS, after_days: int = AFTER_DAYS) -> DataFrame:
     """J8 (fetch): per ticker [first - before_days, last + after_days) as dates."""
     return bounds.select(
         "ticker",
@@ -32,7 +34,7 @@ def fetch_window(bounds: DataFrame, before_days: int = 100, after_days: int = 3)
         F.date_add(F.to_date("last_post"), after_days).alias("fetch_end"))
 
 
-def clean_window(bounds: DataFrame, buffer_days: int = 90) -> DataFrame:
+def clean_window(bounds: DataFrame, buffer_days: int = BUFFER_DAYS) -> DataFrame:
     """A3 (clean): [global first - buffer_days, global last], defaults when there are no posts."""
     start = F.col("global_first") - F.make_dt_interval(days=F.lit(buffer_days))
     return bounds.select(
@@ -54,9 +56,9 @@ def restrict_bars(bars: DataFrame, posts: DataFrame, ticker: str = "ticker",
     whole = per.agg(F.min("first_post").alias("global_first"), F.max("last_post").alias("global_last"))
     one = F.lit(1).alias("_one")
     d = F.col(date).cast("timestamp_ntz")
-    start = F.col("global_first") - F.make_dt_interval(days=F.lit(90))
-    fetched = ((F.col(date) >= F.date_sub(F.to_date("first_post"), 100))
-               & (F.col(date) < F.date_add(F.to_date("last_post"), 3))
+    start = F.col("global_first") - F.make_dt_interval(days=F.lit(BUFFER_DAYS))
+    fetched = ((F.col(date) >= F.date_sub(F.to_date("first_post"), BEFORE_DAYS))
+               & (F.col(date) < F.date_add(F.to_date("last_post"), AFTER_DAYS))
                & d.between(start, F.col("global_last")))
     default = d.between(F.lit(DEFAULT_START).cast("timestamp_ntz"), F.lit(DEFAULT_END).cast("timestamp_ntz"))
     rows = bars.join(per, ticker, "left").select("*", one).join(F.broadcast(whole.select("*", one)), "_one")

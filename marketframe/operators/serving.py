@@ -65,6 +65,11 @@ def last_n(df: DataFrame, n: int = 30, ticker: str = "ticker", date: str = "date
         F.col("rank_from_end") <= n)
 
 
+def preview(df: DataFrame, n: int = 5, order=("ticker", "date")) -> DataFrame:
+    """The first ``n`` rows in ``order``, planned as a top-n per task and one merge."""
+    return df.orderBy(*order).limit(n)
+
+
 def first_k(df: DataFrame, k: int, ticker: str = "ticker", order: str = "post_id") -> DataFrame:
     """L4: the first ``k`` rows per ticker in ``order`` (deterministic sampling switch)."""
     w = Window.partitionBy(ticker).orderBy(order)

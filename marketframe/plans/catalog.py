@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketframe.functions.numeric import rnd
+from marketframe.functions.numeric import rnd, sigmoid
 from marketframe.operators import hourly as H
 from marketframe.functions.text import clean_keep, clean_or_null, html_decode_rows, with_english
-from marketframe.functions.timefn import floor_hour, roll_weekend
+from marketframe.functions.timefn import add_hours, floor_hour, format_date, parse_date, roll_weekend
 from marketframe.operators import fusion as FU
 from marketframe.operators import indicators as I
 from marketframe.operators import metrics as M
@@ -27,6 +27,7 @@ from marketframe.operators import scoring as SC
 from marketframe.operators import serving as SV
 from marketframe.sources import ingest as IN
 from marketframe.session import checkpoint_dir, cut_lineage, ensure_session_defaults
+from marketframe.sources import commits as CM
 from marketframe.sources import files as FS
 from marketframe.sources import fixtures as FX
 
@@ -463,6 +464,124 @@ def q_sequence_store(spark, sf):
     return rounded(out, 3)
 
 
+def _disagreeing(spark, sf):
+    """Price labels over bars with days missing, text labels over all bars: some differ."""
+    thin = _bars(spark, sf).where(F.dayofmonth("date") % 11 != 0)
+    price = S.direction_label(thin).select("ticker", "date", "label")
+    return FU.align(price, _text_keys(spark, sf).select("ticker", "date", "label"))
+
+
+def q_agreement_report(spark, sf):
+    return rounded(FU.agreement(_disagreeing(spark, sf)))
+
+
+def q_keep_agreeing(spark, sf):
+    return FU.keep_agreeing(_disagreeing(spark, sf))
+
+
+def q_hour_reindex(spark, sf):
+    """The hourly table on given hours, from a day before to ten days after each first hour."""
+    hourly = cut_lineage(_hourly_posts(spark, sf))
+    first = F.min("hour")
+    bounds = hourly.groupBy("ticker").agg(add_hours(first, -24).alias("first_hour"), add_hours(first, 240).alias("last_hour"))
+    return rounded(H.fill_hour_grid(hourly, bounds))
+
+
+def q_null_report(spark, sf):
+    """Missing values before and after the gap fill."""
+    gappy = FX.gappy_bars(spark, sf)
+    counted = [PR.null_count(d).select(F.lit(n).alias("stage"), "nulls") for n, d in (("before", gappy), ("after", PR.fill_gaps(gappy)))]
+    return FU.union_splits(*counted)
+
+
+def q_preview(spark, sf):
+    return rounded(SV.preview(_bars(spark, sf)).select("ticker", "date", "close"), 4)
+
+
+def q_extra_indicator(spark, sf):
+    """A caller's indicator beside the built-in ones."""
+    def spread(w):
+        frame = w.rowsBetween(-4, 0)
+        return F.max("close").over(frame) - F.min("close").over(frame)
+    d = I.technical_indicators(_bars(spark, sf), extra={"range_5": spread})
+    return rounded(d.select("ticker", "date", "range_5"), 4)
+
+
+def _own_folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_scaler_store(spark, sf):
+    """Scaler parameters written and read back, two of their columns."""
+    folder = _own_folder(spark, "scaler")
+    FS.write_scaler(S.scaler_fit(_price_split_weights(spark, sf)[1]), folder)
+    return rounded(FS.read_table(spark, folder, ["feature", "mean", "scale"]), 4)
+
+
+def q_predictions_export(spark, sf):
+    """Predictions written as CSV and read back."""
+    folder = _own_folder(spark, "predictions")
+    p = predictions(spark, sf)
+    p = p.select("date", "ticker", "actual", (F.col("probability") > 0.5).cast("int").alias("predicted"), "probability")
+    FS.write_predictions_csv(p, folder)
+    return rounded(spark.read.option("header", True).schema(p.schema).csv(folder))
+
+
+def q_date_text(spark, sf):
+    """dates as text and back; text that is no date becomes NULL."""
+    b = _bars(spark, sf).withColumn("text", format_date("date", "dd/MM/yyyy"))
+    return b.select("ticker", "text", parse_date("text", "dd/MM/yyyy").alias("parsed"),
+                    parse_date(F.concat(F.lit("on "), "text"), "dd/MM/yyyy").alias("unreadable"))
+
+
+def q_logit_probabilities(spark, sf):
+    """sigmoid of a bar's relative move."""
+    logit = 10 * (F.col("close") - F.col("open")) / F.col("open")
+    return rounded(_bars(spark, sf).select("ticker", "date", sigmoid(logit).alias("probability")))
+
+
+class LexiconModel:
+    """The default scorer's formula as a pluggable Python model."""
+    labels = ["negative", "neutral", "positive"]
+
+    def __init__(self):
+        self.words = [set(SC.NEGATIVE_WORDS), set(SC.POSITIVE_WORDS)]
+
+    def __call__(self, texts):
+        import re
+
+        import numpy as np
+        out = np.full((len(texts), 3), SC.NEUTRAL_LOGIT)
+        for i, t in enumerate(texts):
+            tokens = re.split(r"\W+", t.lower())
+            out[i, 0], out[i, 2] = (sum(w in words for w in tokens) for words in self.words)
+        return SC.pandas_probs_from_logits(out)
+
+
+def q_sentiment_model(spark, sf):
+    """A Python model scores the cleaned texts, batch by batch."""
+    s = SC.score_text(_kept(spark, sf), "cleaned_text", make_scorer=LexiconModel)
+    return rounded(s.select("post_id", "p_negative", "p_neutral", "p_positive", "sentiment_score"))
+
+
+def q_append_posts(spark, sf):
+    """A batch of posts committed, then all posts, of which the stored ids are ignored."""
+    path, posts = _own_folder(spark, "posts"), FX.posts(spark, sf)
+    for batch in (posts.where("l_partkey % 2 = 0"), posts):
+        CM.append_committed(batch.withColumn("odd", F.col("l_partkey") % 2), path, order=["odd", *FX.POST_ORDER])
+    d = CM.read_committed(spark, path)
+    return rounded(d.select("post_id", "ticker", "created_at", "likes_count", "p_positive"))
+
+
+def q_replace_tickers(spark, sf):
+    """One ticker's bars replaced by others, one listed without new rows, in one commit."""
+    path, b = _own_folder(spark, "bars"), _bars(spark, sf)
+    CM.replace_committed(b, path)
+    new = b.where((F.col("ticker") == "1-URGENT") & (F.dayofmonth("date") % 2 == 0)).withColumn("close", F.col("close") * 2)
+    CM.replace_committed(new, path, tickers=["2-HIGH"])
+    return rounded(CM.read_committed(spark, path).select("ticker", "date", "close"), 4)
+
+
 def q_ingest_posts(spark, sf):
     """A noisy post CSV and a mapping CSV (several files each, counts written
     ``3.0``, rows without a number, repeated ids) are written to the shared folder and read back."""
@@ -529,6 +648,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sequence_inference": q_sequence_inference,
     "fused_inference": q_fused_inference,
     "sequence_store": q_sequence_store,
+    "agreement_report": q_agreement_report,
+    "keep_agreeing": q_keep_agreeing,
+    "hour_reindex": q_hour_reindex,
+    "null_report": q_null_report,
+    "preview": q_preview,
+    "extra_indicator": q_extra_indicator,
+    "scaler_store": q_scaler_store,
+    "predictions_export": q_predictions_export,
+    "date_text": q_date_text,
+    "logit_probabilities": q_logit_probabilities,
+    "sentiment_model": q_sentiment_model,
+    "append_posts": q_append_posts,
+    "replace_tickers": q_replace_tickers,
     "price_classifier": q_price_classifier,
     "text_classifier": q_text_classifier,
     "classifier_selection": q_classifier_selection,

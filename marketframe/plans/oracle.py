@@ -50,7 +50,10 @@ RAW_TEXT = """raw_text AS (
     || CASE WHEN doc_id % 4 = 0 THEN ' http://ex.am/' || CAST(doc_id AS VARCHAR) ELSE '' END
     || CASE WHEN doc_id % 6 = 0 THEN ' #tag' || CAST(doc_id AS VARCHAR) ELSE '' END
     || CASE WHEN doc_id % 7 = 0 THEN ' 0x' || lpad(hex(doc_id), 40, 'f') ELSE '' END
-    || CASE WHEN doc_id % 8 = 0 THEN ' ' || chr(128512) ELSE '' END AS text
+    || CASE WHEN doc_id % 8 = 0 THEN ' ' || chr(128512) ELSE '' END
+    || CASE WHEN doc_id % 9 = 0 THEN ' 1BoatSLRHtKNngkdXEeobR76b53LETtpyT' ELSE '' END
+    || CASE WHEN doc_id % 10 = 0 THEN ' www.ex.am/' || CAST(doc_id AS VARCHAR) || '?a=b' ELSE '' END
+    || CASE WHEN doc_id % 11 = 0 THEN ' 漢字かな word' ELSE '' END AS text
   FROM documents)"""
 
 MAPPING = """mapping AS (
@@ -572,6 +575,42 @@ FROM p JOIN m ON p.l_orderkey = m.l_orderkey"""
   JOIN stats2 s ON a.feature = s.feature GROUP BY a.ticker, a.date)
 SELECT k.ticker, k.date, k.label, round(1 / (1 + exp(-z.m)), 4) AS probability
 FROM price_keys k JOIN z ON k.ticker = z.ticker AND k.date = z.date"""
+    thin = f"""thin AS (
+  SELECT ticker, date, close, lead(close) OVER ({W}) AS next_close FROM bars WHERE day(date) % 11 <> 0),
+disagree AS (
+  SELECT p.date, p.ticker, CAST(p.next_close > p.close AS INTEGER) AS label_price, t.label AS label_text
+  FROM thin p JOIN text_keys t ON p.date = t.date AND p.ticker = t.ticker WHERE p.next_close IS NOT NULL)"""
+    q["agreement_report"] = with_(BARS, POSTS, TEXT_KEYS, thin) + f"""SELECT count(*) AS aligned,
+  CAST(sum(CAST(label_price = label_text AS INTEGER)) AS BIGINT) AS agreeing,
+  {R('avg(CAST(label_price = label_text AS INTEGER))')} AS agreement FROM disagree"""
+    q["keep_agreeing"] = with_(BARS, POSTS, TEXT_KEYS, thin) + """SELECT date, ticker, label_price, label_text,
+  label_price AS label FROM disagree WHERE label_price = label_text"""
+    q["hour_reindex"] = with_(POSTS, HOURLY) + """, b AS (
+  SELECT ticker, min(hour) - INTERVAL 24 HOUR AS lo, min(hour) + INTERVAL 240 HOUR AS hi FROM hourly GROUP BY ticker),
+g AS (SELECT ticker, CAST(unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS TIMESTAMP) AS hour FROM b)
+SELECT g.hour, g.ticker, """ + ", ".join(
+        ("coalesce(tweet_count, 0)" if c == "tweet_count" else R(f"coalesce({c}, 0)")) + f" AS {c}" for c in HOURLY_VALUES) \
+        + " FROM g LEFT JOIN hourly h ON g.ticker = h.ticker AND g.hour = h.hour"
+    nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in ("open", "high", "low", "close", "volume", "adj_close"))
+    q["null_report"] = with_(BARS, GAPPY) + f"""SELECT 'before' AS stage, CAST({nulls} AS BIGINT) AS nulls FROM gappy
+UNION ALL SELECT 'after', count(*) FILTER (WHERE c IS NULL) FROM (SELECT {FFILL} AS c FROM gappy)"""
+    q["preview"] = with_(BARS) + f"SELECT ticker, date, {R('close', 4)} AS close FROM bars ORDER BY ticker, date LIMIT 5"
+    q["extra_indicator"] = with_(BARS) + f"""SELECT ticker, date, {R('max(close) OVER f - min(close) OVER f', 4)} AS range_5
+FROM bars WINDOW f AS ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
+    q["scaler_store"] = with_(*PRICE, scaler) + (
+        f"SELECT feature, {R('mean', 4)} AS mean, {R('scale', 4)} AS scale FROM stats2")
+    q["predictions_export"] = with_(*preds) + f"""SELECT date, ticker, actual,
+  CAST(probability > 0.5 AS INTEGER) AS predicted, {R('probability')} AS probability FROM predictions"""
+    q["date_text"] = with_(BARS) + """SELECT ticker, strftime(date, '%d/%m/%Y') AS text, date AS parsed,
+  CAST(NULL AS DATE) AS unreadable FROM bars"""
+    q["logit_probabilities"] = with_(BARS) + f"""SELECT ticker, date,
+  {R('1 / (1 + exp(-10 * (close - open) / open))')} AS probability FROM bars"""
+    q["sentiment_model"] = q["sentiment_lexicon"]
+    q["append_posts"] = with_(POSTS) + f"""SELECT post_id, ticker, created_at, likes_count, {R('p_positive')} AS p_positive
+FROM posts QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY l_partkey % 2,
+                                      l_partkey, l_suppkey, l_shipdate, l_extendedprice) = 1"""
+    q["replace_tickers"] = with_(BARS) + f"""SELECT ticker, date, {R("close * CASE WHEN ticker = '1-URGENT' THEN 2 ELSE 1 END", 4)} AS close
+FROM bars WHERE ticker <> '2-HIGH' AND (ticker <> '1-URGENT' OR day(date) % 2 = 0)"""
     from marketframe.plans.catalog import fusion_weight
     weight = ", ".join(f"('{f}', {D(fusion_weight(i))})" for i, f in enumerate(PRICE_FEATURES))
     hour = " + ".join(f"{D(fusion_weight(i))} * coalesce(d.{f}, 0)" for i, f in enumerate(TEXT_FEATURES))

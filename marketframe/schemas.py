@@ -63,25 +63,20 @@ TEXT_DELTA_FEATURES = ["delta_mean_sentiment", "delta_tweet_count"]
 
 # Keyword list of the English detector, in the reference's order.
 ENGLISH_KEYWORDS = [
-    # common stop words
     "the", "be", "to", "of", "and", "a", "in", "that", "have", "i",
     "it", "for", "not", "on", "with", "he", "as", "you", "do", "at",
     "this", "but", "his", "by", "from", "they", "we", "say", "her", "she",
     "or", "an", "will", "my", "one", "all", "would", "there", "their", "what",
     "is", "are", "was", "were", "been", "has", "had", "does", "did", "can",
     "could", "should", "about", "after", "over", "under", "up", "down",
-    # core market terms
     "stock", "market", "price", "buy", "sell", "trading", "trade",
     "shares", "earnings", "revenue", "profit", "loss", "quarter", "reports",
     "hold", "long", "short", "call", "put", "bull", "bear", "rally",
     "surge", "plunge", "dip", "gap", "eps", "guidance", "forecast",
-    # macro economics
     "inflation", "rate", "rates", "fed", "federal", "bank", "economy",
     "recession", "gdp", "cpi", "debt", "bond", "yield", "crypto", "bitcoin",
-    # corporate actions
     "dividend", "split", "merger", "acquisition", "deal", "ipo", "ceo", "cfo",
     "board", "investor", "shareholder", "analyst", "target", "rating", "upgrade", "downgrade",
-    # movement verbs / adjectives
     "record", "high", "low", "gain", "drop", "crash", "boom", "correction",
     "volatility", "volume", "green", "red", "support", "resistance", "breakout",
 ]

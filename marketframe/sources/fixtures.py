@@ -105,6 +105,9 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(i % 6 == 0, F.concat(t, F.lit(" #tag"), sid)).otherwise(t)
     t = F.when(i % 7 == 0, F.concat(t, F.lit(" 0x"), F.lpad(F.hex(i), 40, "f"))).otherwise(t)
     t = F.when(i % 8 == 0, F.concat(t, F.lit(" \U0001F600"))).otherwise(t)
+    t = F.when(i % 9 == 0, F.concat(t, F.lit(" 1BoatSLRHtKNngkdXEeobR76b53LETtpyT"))).otherwise(t)     # base58
+    t = F.when(i % 10 == 0, F.concat(t, F.lit(" www.ex.am/"), sid, F.lit("?a=b"))).otherwise(t)
+    t = F.when(i % 11 == 0, F.concat(t, F.lit(" \u6f22\u5b57\u304b\u306a word"))).otherwise(t)      # CJK
     out = d.select(
         F.col("source").alias("ticker"),
         i.alias("post_id"),
