@@ -4,8 +4,8 @@ A document may belong to several sources. Documents are aggregated by membership
 sorted set of its sources); a flow routes every pattern's words to the quotas of its sources. The
 arcs out of a pattern repeat its words: the first use costs 1, the second 2, and so on, so a
 cheaper repetition elsewhere is always used first (convex repetition costs). The flow is solved
-over patterns and sources only; their number is checked against ``MAX_PATTERNS``, and no document
-reaches the driver.
+over patterns and sources only, by connected component; their number is checked against
+``MAX_PATTERNS``, and no document reaches the driver.
 
 Documents are then selected per pattern by a seeded order (MD5 of the id and the seed): saturated
 uses take all documents, the last use takes the prefix of that order whose size comes nearest to
@@ -28,7 +28,7 @@ MAX_REPEATS = 2
 BUDGET = 1.5
 SEED = "mix-1"
 #: Bound on membership patterns and sources (rows of the flow's graph); more raise an error.
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 500_000
 
 
 def n_words(text="text") -> Column:
@@ -105,6 +105,34 @@ def min_cost_flow(patterns: dict, quotas: dict, max_repeats: int) -> dict:
             arcs[e ^ 1][1] += step
 
 
+def solve_flow(patterns: dict, quotas: dict, max_repeats: int) -> dict:
+    """The flow of :func:`min_cost_flow`, solved per connected component of patterns and sources. A
+    source that shares no document with another needs no search: its uses fill up one by one."""
+    parent = {s: s for s in quotas}
+
+    def find(s):
+        while parent[s] != s:
+            parent[s] = parent[parent[s]]
+            s = parent[s]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            parent[find(s)] = find(p[0])
+    parts: dict = {}
+    for p in patterns:
+        parts.setdefault(find(p[0]) if p else None, []).append(p)
+    out = {}
+    for mine in parts.values():
+        if len(mine) == 1 and len(mine[0]) == 1:
+            size, quota = float(patterns[mine[0]]), float(quotas[mine[0][0]])
+            out[mine[0]] = [min(size, max(0.0, quota - r * size)) for r in range(max_repeats)] if size else []
+        else:
+            members = {s for p in mine for s in p}
+            out |= min_cost_flow({p: patterns[p] for p in mine}, {s: quotas[s] for s in members}, max_repeats)
+    return out
+
+
 class Mix:
     """A solved mix: ``report`` (rows per source), ``taken(docs)`` and ``apply(docs)``."""
 
@@ -151,7 +179,7 @@ def solve_mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col
         for s in p:
             sizes[s] = sizes.get(s, 0) + size
     target = targets(sizes, weigh(list(sizes)), budget * sum(patterns.values()), max_repeats)
-    flow = min_cost_flow(patterns, target, max_repeats)
+    flow = solve_flow(patterns, target, max_repeats)
     need, plan = [], {}
     for p, size in patterns.items():
         full = sum(f >= size for f in flow[p])

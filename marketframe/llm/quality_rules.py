@@ -27,7 +27,7 @@ MARK_LEAST = 4
 NAV_SHARE = 20         # percent of a line's words
 LOSS_SHARE = 50        # percent of a document's word characters
 #: Patterns shared with the SQL form (RE2 syntax in both engines).
-CLOSED = r"""[.!?:;"')\]»”…][\x20\x09-\x0D]*$"""
+CLOSED = r"""[.!?:;"')\]»”’…。！？；：）」』】》〉｡][\x20\x09-\x0D]*$"""
 MARK = r"""[!-/:-@\[-`{-~]"""
 SEPARATOR = r"[\x20\x09][|>»•/][\x20\x09]"
 BOILERPLATE = (r"(?i)licensed under|all rights reserved|copyright \(c\)|©|cookie|javascript|"
@@ -49,7 +49,7 @@ def _twice(key: np.ndarray, later_only: bool = False) -> np.ndarray:
     return out
 
 
-def _judge(texts):
+def _judge(texts, boilerplate: str = BOILERPLATE):
     """Columns of the documents (without doc_id) and the verdict of every line of one slice."""
     import pyarrow.compute as pc
     split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
@@ -85,7 +85,7 @@ def _judge(texts):
     marks = read(pc.count_substring_regex(lines, MARK)).astype(np.int64)
     closed = read(pc.match_substring_regex(lines, CLOSED))
     separators = read(pc.count_substring_regex(lines, SEPARATOR)).astype(np.int64)
-    stock = read(pc.match_substring_regex(lines, BOILERPLATE))
+    stock = read(pc.match_substring_regex(lines, boilerplate))
     noisy = (marks >= MARK_LEAST) & (marks * 100 > MARK_SHARE * line_chars)
     menu = (separators >= 2) & (separators * 100 >= NAV_SHARE * line_words)
     fails = has_word & (~closed | noisy | menu | stock | again)
@@ -99,10 +99,10 @@ def _judge(texts):
             kept, lost), lines, line_first, fails
 
 
-def quality_rules(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, with_text: bool = False, boilerplate: str = BOILERPLATE) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: the base figures, ``base_failed``, the verdict
     ``kept`` and ``lost_chars`` (code points of words on removed lines); ``with_text`` adds
-    ``clean_text``, the remaining lines joined by ``\\n``. Null text counts as empty: no words, so
+    ``clean_text``, the remaining lines joined by ``\\n``; ``boilerplate`` is the pattern (RE2) of stock phrases. Null text counts as empty: no words, so
     it is rejected. Repeated rows stay repeated; other columns are ignored; no shuffle."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -112,7 +112,7 @@ def quality_rules(docs: DataFrame, with_text: bool = False) -> DataFrame:
         import pyarrow as pa
         for batch in batches:
             for part in tb.slices(batch):
-                columns, lines, line_first, fails = _judge(part.column("text"))
+                columns, lines, line_first, fails = _judge(part.column("text"), boilerplate)
                 out = dict(zip(COLUMNS, map(pa.array, columns)))
                 if with_text:
                     good = lines.to_pylist()

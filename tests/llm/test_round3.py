@@ -327,3 +327,47 @@ def test_masking_merges_ranges(spark):
     df = spark.createDataFrame(rows, "i int, text string, r array<struct<start:int,end:int>>")
     got = {r.i: r.x for r in df.select("i", masked(F.col("text"), F.col("r"), "[SECRET]").alias("x")).collect()}
     assert got == {i: _masked_brute(t, s) for i, t, s in rows}
+
+
+# ------------------------------------------------------------------ mixing and rules
+def test_flow_by_component_equals_the_whole_flow():
+    from marketframe.llm.mixing import min_cost_flow, solve_flow
+    rng = random.Random(8)
+    for _ in range(40):
+        names = [f"s{i}" for i in range(rng.randint(1, 7))]
+        patterns = {(n,): rng.choice([0, 5, rng.randint(1, 50)]) for n in names}
+        for _ in range(rng.randint(0, 4)):
+            p = tuple(sorted(rng.sample(names, min(len(names), rng.randint(1, 3)))))
+            patterns[p] = rng.randint(1, 40)
+        quotas = {n: rng.uniform(0, 80) for n in names}
+        whole, parts = (f(patterns, quotas, 3) for f in (min_cost_flow, solve_flow))
+        cost = lambda flow: sum((r + 1) * x for uses in flow.values() for r, x in enumerate(uses))
+        total = lambda flow: sum(x for uses in flow.values() for x in uses)
+        assert set(parts) == set(patterns)
+        assert abs(total(whole) - total(parts)) < 1e-6 and abs(cost(whole) - cost(parts)) < 1e-6
+        for p in patterns:
+            assert all(-1e-9 <= x <= patterns[p] + 1e-9 for x in parts[p])
+
+
+def test_many_sources_in_seconds():
+    import time
+
+    from marketframe.llm.mixing import solve_flow, targets, weights_by_order
+    sizes = {f"host{i}.example": 10 + i % 90 for i in range(50_000)}
+    start = time.time()
+    target = targets(sizes, weights_by_order(list(sizes)), 1.5 * sum(sizes.values()), 2)
+    flow = solve_flow({(s,): n for s, n in sizes.items()}, target, 2)
+    assert time.time() - start < 10
+    assert all(abs(sum(flow[(s,)]) - target[s]) < 1e-6 for s in sizes)
+
+
+def test_quality_rules_know_other_closers(spark):
+    from marketframe.llm.quality_rules import quality_rules
+    lines = [" ".join(f"漢字{i}{j}" for j in range(12)) + "。" for i in range(8)]
+    english = [" ".join(f"word{i}{j}" for j in range(12)) + "." for i in range(8)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(english[:7] + ["Words about a cookie recipe and a dozen more words to read."]))]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(docs, "doc_id long, text string"), with_text=True).collect()}
+    assert got[1].kept and got[1].clean_text == docs[0][1]
+    assert got[2].kept and got[2].lost_chars > 0
+    mild = quality_rules(spark.createDataFrame(docs, "doc_id long, text string"), boilerplate="accept all cookies").collect()
+    assert all(r.kept and r.lost_chars == 0 for r in mild)
