@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding of whole texts by tree concatenation.
 
 Ordinary texts are encoded in one piece. A long text is cut into halves, again and again, down to
-segments; the segments are rows, so Spark encodes them in parallel, and the encodings of
-neighbours are concatenated pairwise up the tree. Around each join a growing window of both sides
-is encoded anew until its first piece agrees with the left side and its last piece with the right
-side:
+segments; the segments are rows, so Spark encodes them in parallel, and their ids and piece
+boundaries are concatenated pairwise up the tree. Around each join a growing window of both sides
+is split anew until its first piece agrees with the left side and its last piece with the right
+side; only the pieces that changed are encoded again:
 
 * text level: the splitting pattern reads left to right and never looks behind, so pieces left of
   the window's first piece are final, and once the window ends in a piece boundary that the right
   side also has, everything after it is the same;
 * inside one long unsplit piece (thousands of letters without a blank): tokens of the halves are
   joined the same way. A token list is the BPE encoding of a piece exactly when every neighbouring
-  pair is, so one agreeing token on either side of the window is a proof.
+  pair is, so one agreeing token on either side of the window is a proof. Shorter texts with such a piece
+  are encoded by halves in the task that reads them.
 
 The vocabulary (a ``tokenizers`` JSON file of a byte-level BPE) is a parameter and is read where
 the worker runs; nothing is trained. Null text is the empty text: no ids, decoded to ''.
@@ -63,10 +64,13 @@ class Codec:
         plain = PATTERN.replace(r"[^\s", "[^" + blank).replace(r"\s", blank).replace(r"\S", r"\P{White_Space}")
         self.split = regex.compile(plain)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.long_run = regex.compile(rf"\S{{{LONG_PIECE}}}|\s{{{LONG_PIECE}}}")
         self.longest_mark = max([1, *map(len, self.special)])
 
     # ------------------------------------------------------------------ whole texts
     def encode(self, text: str) -> np.ndarray:
+        if self.long_run.search(text):                      # perhaps a long unsplit piece: by halves
+            return self.encode_pieces(text).ids
         return self.core.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
     def decode(self, ids) -> str:
@@ -95,7 +99,6 @@ class Codec:
                 return left[:len(left) - len(a)] + window + right[len(b):]
             width *= 2
 
-    # ------------------------------------------------------------------ lists of pieces
     def pieces(self, text: str) -> list[str]:
         """Special tokens stand alone; the pattern splits what is between them."""
         if not self.marks or not self.marks.search(text):
@@ -103,27 +106,68 @@ class Codec:
         return [p for part in self.marks.split(text)
                 for p in ([part] if part in self.special else self.split.findall(part))]
 
-    def join_pieces(self, left: list[str], right: list[str]) -> list[str]:
-        """Pieces of the concatenated text from the pieces of both parts. The window starts so far
-        left that a special token cut in two lies inside it whole."""
+    # ------------------------------------------------------------------ encoded segments
+    def encode_pieces(self, text: str) -> "Encoded":
+        found = [self.piece(p) for p in self.pieces(text)]
+        return Encoded(np.array([i for ids in found for i in ids], "<u4"),
+                       np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64))
+
+    def join(self, left: "Encoded", right: "Encoded") -> "Encoded":
+        """Encoding of the concatenated text. Around the join a growing window of pieces is split anew
+        until its first and last piece are those of the sides; only pieces that changed are encoded.
+        The window starts so far left that a special token cut in two lies inside it whole."""
         width = 2
         while True:
-            a, b = left[max(0, len(left) - width):], right[:width]
+            a, b = left.texts(self, len(left) - width, len(left)), right.texts(self, 0, width)
             window = self.pieces("".join(a) + "".join(b))
             free = sum(map(len, a[1:])) >= self.longest_mark or len(a) == len(left)
             left_ok = len(a) == len(left) or (free and window[0] == a[0])
             safe = sum(map(len, b[:-1])) >= self.longest_mark
             right_ok = len(b) == len(right) or (safe and window[-1] == b[-1])
             if left_ok and right_ok:
-                return left[:len(left) - len(a)] + window + right[len(b):]
+                break
             width *= 2
-
-    def tree(self, parts: list[list[str]]) -> list[str]:
-        """Concatenates the parts' pieces pairwise, level by level."""
+        same = 0                                            # pieces of the left side that stay
+        while same < min(len(a), len(window)) and window[same] == a[same]:
+            same += 1
+        after = 0                                           # pieces of the right side that stay
+        while after < min(len(b), len(window) - same) and window[-1 - after] == b[-1 - after]:
+            after += 1
+        middle = []
+        for text in window[same:len(window) - after]:
+            if a and b and text == a[-1] + b[0] and text not in self.special:
+                middle.append(self.join_tokens(left.ids_of(len(left) - 1), right.ids_of(0)))
+            else:
+                middle.append(self.piece(text))
+        keep, drop = len(left) - len(a) + same, len(b) - after
+        ids = [left.ids[:left.cuts[keep]], *(np.array(m, "<u4") for m in middle), right.ids[right.cuts[drop]:]]
+        sizes = np.concatenate([np.diff(left.cuts[:keep + 1]), [len(m) for m in middle], np.diff(right.cuts[drop:])])
+        return Encoded(np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+
+    def tree(self, parts: list["Encoded"]) -> "Encoded":
+        """Joins the parts pairwise, level by level."""
         while len(parts) > 1:
-            parts = [self.join_pieces(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i]
+            parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i]
                      for i in range(0, len(parts), 2)]
-        return parts[0] if parts else []
+        return parts[0] if parts else Encoded(np.zeros(0, "<u4"), np.zeros(1, np.int64))
+
+
+class Encoded:
+    """Ids of a text and where its pieces begin among them."""
+
+    def __init__(self, ids: np.ndarray, cuts: np.ndarray):
+        self.ids, self.cuts = ids, cuts
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def ids_of(self, k: int) -> list[int]:
+        return self.ids[self.cuts[k]:self.cuts[k + 1]].tolist()
+
+    def texts(self, codec: Codec, start: int, stop: int) -> list[str]:
+        """Pieces ``start`` to ``stop`` as text; a piece is whole characters."""
+        return [b"".join(codec.bytes_of[i] for i in self.ids_of(k)).decode()
+                for k in range(max(0, start), min(stop, len(self)))]
 
 
 @lru_cache(maxsize=4)
@@ -178,21 +222,25 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, with_ids: boo
                 yield pa.RecordBatch.from_pylist(rows, schema=cut_schema)
 
     def encode_segments(batches):
+        """Ids of a segment and the sizes of its pieces."""
         import pyarrow as pa
         c = codec(path)
         for batch in batches:
-            found = [c.pieces(t) for t in batch.column("segment").to_pylist()]
+            found = [c.encode_pieces(t) for t in batch.column("segment").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in ("doc_id", "mark", "pos")), pa.array(found, pa.list_(pa.string()))],
-                ["doc_id", "mark", "pos", "pieces"])
+                [*(batch.column(n) for n in ("doc_id", "mark", "pos")),
+                 pa.array([e.ids.tobytes() for e in found], pa.binary()),
+                 pa.array([np.diff(e.cuts).astype("<u4").tobytes() for e in found], pa.binary())],
+                ["doc_id", "mark", "pos", "ids", "sizes"])
 
     def concatenate(table):
         import pyarrow as pa
         c = codec(path)
         copies = table.column("pos").to_pylist().count(0)      # repeated rows bring every part again
         table = table.sort_by("pos")
-        pieces = c.tree(table.column("pieces").to_pylist()[::copies])
-        ids = np.array([i for p in pieces for i in c.piece(p)], "<u4")
+        parts = [Encoded(np.frombuffer(i, "<u4"), np.concatenate([[0], np.cumsum(np.frombuffer(n, "<u4"))]).astype(np.int64))
+                 for i, n in zip(table.column("ids").to_pylist()[::copies], table.column("sizes").to_pylist()[::copies])]
+        ids = c.tree(parts).ids
         row = _row(table.column("doc_id")[0].as_py(), ids, c.decode(ids), with_ids)
         return pa.Table.from_pylist([row] * copies, schema=target)
 
@@ -206,6 +254,6 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, with_ids: boo
     direct = docs.where(size <= long_text).mapInArrow(short, schema)
     segments = docs.where(size > long_text).mapInArrow(cut, f"doc_id {kind}, mark string, pos int, segment string")
     encoded = segments.repartition("doc_id", "mark", "pos").mapInArrow(
-        encode_segments, f"doc_id {kind}, mark string, pos int, pieces array<string>")
+        encode_segments, f"doc_id {kind}, mark string, pos int, ids binary, sizes binary")
     joined = encoded.groupBy("doc_id", "mark").applyInArrow(concatenate, schema)
     return direct.unionByName(joined)

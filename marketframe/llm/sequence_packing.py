@@ -165,8 +165,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
         for batch in batches:
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py()
-                found = c.encode(text) if len(text) <= LONG_TEXT else np.array(
-                    [i for p in c.pieces(text) for i in c.piece(p)], "<u4")
+                found = c.encode(text) if len(text) <= LONG_TEXT else c.encode_pieces(text).ids
                 names.append(name)
                 ids.append(np.append(found, np.array([end_id], "<u4")).astype("<u4"))
                 held += len(ids[-1])

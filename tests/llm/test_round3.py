@@ -371,3 +371,56 @@ def test_quality_rules_know_other_closers(spark):
     assert got[2].kept and got[2].lost_chars > 0
     mild = quality_rules(spark.createDataFrame(docs, "doc_id long, text string"), boilerplate="accept all cookies").collect()
     assert all(r.kept and r.lost_chars == 0 for r in mild)
+
+
+# ------------------------------------------------------------------ BPE
+def test_joins_encode_only_what_changes():
+    from tokenizers import Tokenizer
+
+    from marketframe.llm.bpe import default_vocabulary, Codec
+    c, tok = Codec(default_vocabulary()), Tokenizer.from_file(default_vocabulary())
+    rng = random.Random(12)
+    alphabet = ["a", "the", " ", "  ", "\n", "'s", "'", "é", "漢", "1", "!!", "<|endoftext|>", "<|", "endoftext", "|>", "word "]
+    for n in (0, 1, 30, 400):
+        text = "".join(rng.choice(alphabet) for _ in range(n)) + rng.choice(["", "x" * 900, " " * 700])
+        for leaf in (1, 7, 64):
+            got = c.tree([c.encode_pieces(text[i:i + leaf]) for i in range(0, len(text), leaf)])
+            want = tok.encode(text, add_special_tokens=False).ids
+            assert got.ids.tolist() == want and got.cuts[-1] == len(want)
+    text = "some plain words of a long text, " * 20_000
+    parts = [c.encode_pieces(text[i:i + 8000]) for i in range(0, len(text), 8000)]
+    sent, piece = [], c.piece
+    c.piece = lambda p: sent.append(len(p)) or piece(p)
+    assert c.tree(parts).ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert sum(sent) < 100 * len(parts)                     # of 8,000 characters a part
+
+
+def test_long_unsplit_pieces_go_by_halves():
+    from tokenizers import Tokenizer
+
+    from marketframe.llm.bpe import default_vocabulary, Codec
+    c, tok = Codec(default_vocabulary()), Tokenizer.from_file(default_vocabulary())
+    rng = random.Random(13)
+    joins, join = [], c.join_tokens
+    c.join_tokens = lambda a, b: joins.append(1) or join(a, b)
+    for text in ("x" * 30_000, "".join(rng.choice("abcé") for _ in range(20_000)), "a b " + "9" * 5000 + " c", " " * 3000):
+        joins.clear()
+        assert c.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert joins
+
+
+def test_bpe_long_text(spark):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from marketframe.llm.bpe import bpe_round_trip, default_vocabulary
+    tok = Tokenizer.from_file(default_vocabulary())
+    rng = random.Random(14)
+    words = ["alpha", "Beta's", "  ", "\n\n", "漢字", "12345", "!?", "<|endoftext|>"]
+    docs = [(1, " ".join(rng.choice(words) for _ in range(700_000))), (2, "y" * 60_000), (2, "y" * 60_000)]    # 4 MB
+    got = bpe_round_trip(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 2]
+    for r in got:
+        ids = tok.encode(dict(docs)[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
