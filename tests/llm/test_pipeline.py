@@ -39,3 +39,27 @@ def test_stages(spark):
 def test_query_matches_sql(spark, name):
     r = compare(spark, duck(SF), name, E.queries()[name], E.oracle_sql()[name], SF)
     assert r["cols_ok"] and r["ok"], r
+
+
+def _folder(spark, docs, labels):
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="mf-test-")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_run_on_empty_tables_and_odd_rows(spark):
+    import os
+
+    from marketframe.session import checkpoint_dir
+    assert P.run(spark, _folder(spark, [], [])).count() == 0
+    good = "\n".join(" ".join(f"word{i}{j}" for j in range(12)) + "." for i in range(8))
+    odd = [(1, None, None, None, None), (2, "", "en", None, 0), (3, " \n\t", None, "a", 3), (None, good, "en", "a", 9),
+           (5, good, None, "b", 9), (5, good, None, "b", 9), (6, good, "en", None, 9), (7, "x" * 70_000, "en", "b", 9)]
+    out = P.run(spark, _folder(spark, odd, [(5, 1, 0), (1, 0, 0)])).collect()
+    assert {r.doc_id for r in out} <= {None, 5, 6, 7} and out
+    assert sum(r.doc_id in (5, 6) for r in out) <= 2 * 2            # copies: one stays, used twice at most
+    left = [d for d in os.listdir(checkpoint_dir(spark)) if d.startswith("pipeline-")]
+    assert left and all(os.listdir(os.path.join(checkpoint_dir(spark), d)) == ["4"] for d in left)
