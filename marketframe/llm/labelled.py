@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bound on the labelled rows that a model is fitted on.
 FIT_ROWS = 3000
-#: Longer texts are scored whole, but a model is not fitted on them (bounds the fit's memory).
+#: Default of ``fit_bytes``: longer texts are scored whole, but a model is not fitted on them, which bounds
+#: what the fit holds to ``FIT_ROWS`` times this.
 FIT_BYTES = 200_000
 
 
@@ -30,12 +31,14 @@ def log_odds(labels: DataFrame, label: str) -> float:
     return math.log(((r.good or 0) + 1) / (r.n - (r.good or 0) + 1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS,
+                    fit_bytes: int = FIT_BYTES) -> DataFrame:
     """(doc_id, text, y) of at most ``rows // 2`` documents of either label, none held out, spread
-    evenly by a hash of the id. The ids are a broadcast of bounded size; documents are not
-    shuffled. Rows without a label or text, and texts over ``FIT_BYTES``, are left out."""
-    known = _known(labels, label)
+    evenly by a hash of the id. They are chosen among the labelled texts of 1 to ``fit_bytes`` bytes, so
+    very long ones do not shrink the sample. Only ids are joined to the labels; the chosen ids are a
+    broadcast of bounded size, and documents are not shuffled."""
+    usable = docs.select("doc_id", "text").where(F.octet_length("text").between(1, fit_bytes))
+    known = usable.select("doc_id").distinct().join(_known(labels, label), "doc_id")
     parts = [known.where(F.col("y") == v).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(rows // 2)
              for v in (0, 1)]
-    usable = docs.select("doc_id", "text").where(F.octet_length("text").between(1, FIT_BYTES))
     return usable.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")

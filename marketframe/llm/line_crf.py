@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketframe.llm import textbytes as tb
-from marketframe.llm.labelled import FIT_ROWS, held_out, labelled_sample
+from marketframe.llm.labelled import FIT_BYTES, FIT_ROWS, held_out, labelled_sample
 from marketframe.llm.packing import fresh
 
 STEPS = 150
@@ -132,6 +132,24 @@ def marginals(cols, first, model):
     return np.exp((ahead + back)[:, 1] - np.repeat(total, np.diff(first)))
 
 
+def gradient(theta, cols, first, line_y, line_weight, inner):
+    """Gradient of the weighted negative conditional log likelihood and the ridge; ``inner`` are the lines
+    with a next line."""
+    n = np.diff(first)
+    weight, chain = theta[:-4], theta[-4:].reshape(2, 2)
+    scores = np.stack([np.zeros(len(cols)), weight[cols].sum(axis=1)], axis=1)
+    ahead, back, total = forward_backward(scores, chain, first)
+    whole = np.repeat(total, n)
+    good = np.exp((ahead + back)[:, 1] - whole)
+    g = np.bincount(cols.ravel(), np.repeat((good - line_y) * line_weight, cols.shape[1]), N_FEATURES)
+    pair = np.exp(ahead[inner][:, :, None] + chain + (scores + back)[inner + 1][:, None, :]
+                  - whole[inner][:, None, None])
+    seen = np.zeros_like(pair)
+    seen[np.arange(len(inner)), line_y[inner], line_y[inner + 1]] = 1
+    g_chain = ((pair - seen) * line_weight[inner][:, None, None]).sum(axis=0)
+    return np.concatenate([g, g_chain.ravel()]) + RIDGE * theta
+
+
 def fit(cols, first, y):
     """Maximum conditional likelihood with a ridge, by full-batch gradient steps (Adam). Documents
     weigh alike in both classes together."""
@@ -151,18 +169,7 @@ def fit(cols, first, y):
     theta = np.zeros(N_FEATURES + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, STEPS + 1):
-        weight, chain = theta[:-4], theta[-4:].reshape(2, 2)
-        scores = np.stack([np.zeros(len(cols)), weight[cols].sum(axis=1)], axis=1)
-        ahead, back, total = forward_backward(scores, chain, first)
-        whole = np.repeat(total, n)
-        good = np.exp((ahead + back)[:, 1] - whole)
-        g = np.bincount(cols.ravel(), np.repeat((good - line_y) * line_weight, cols.shape[1]), N_FEATURES)
-        pair = np.exp(ahead[inner][:, :, None] + chain + (scores + back)[inner + 1][:, None, :]
-                      - whole[inner][:, None, None])
-        seen = np.zeros_like(pair)
-        seen[np.arange(len(inner)), line_y[inner], line_y[inner + 1]] = 1
-        g_chain = ((pair - seen) * line_weight[inner][:, None, None]).sum(axis=0)
-        grad = np.concatenate([g, g_chain.ravel()]) + RIDGE * theta
+        grad = gradient(theta, cols, first, line_y, line_weight, inner)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
     return theta[:-4], theta[-4:].reshape(2, 2)
@@ -197,8 +204,9 @@ def document_scores(texts, model):
     return np.clip(add(good) / np.maximum(add(size), 1e-9), 0, 1)
 
 
-def _with_scores(docs: DataFrame, labels: DataFrame, label: str, fit_rows_: int, name: str) -> DataFrame:
-    sample = labelled_sample(tb.small_batches(docs), labels, label, fit_rows_).select("y", "text")
+def _with_scores(docs: DataFrame, labels: DataFrame, label: str, fit_rows_: int, name: str,
+                 fit_bytes: int = FIT_BYTES) -> DataFrame:
+    sample = labelled_sample(tb.small_batches(docs), labels, label, fit_rows_, fit_bytes).select("y", "text")
     rows = sorted((r.y, bytes(r.lines)) for r in sample.mapInArrow(_extract, "y int, lines binary").collect())
     model = docs.sparkSession.sparkContext.broadcast(fit_rows(rows))
 
@@ -214,18 +222,18 @@ def _with_scores(docs: DataFrame, labels: DataFrame, label: str, fit_rows_: int,
 
 
 def line_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS,
-                 threshold: float = 0.5) -> DataFrame:
+                 threshold: float = 0.5, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher: good likelier) and
     predicted. Only the text enters a score; null and empty texts and texts without a word score
     0. Repeated rows score alike; without labels every line scores one half; an empty table gives
     an empty result."""
-    rows = _with_scores(docs.select("doc_id", "text"), labels, label, fit_rows, "_score")
+    rows = _with_scores(docs.select("doc_id", "text"), labels, label, fit_rows, "_score", fit_bytes)
     return rows.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"),
                        (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS,
-              threshold: float = 0.5) -> DataFrame:
+              threshold: float = 0.5, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """The rows of ``docs`` scoring ``threshold`` or more, columns unchanged."""
     name = fresh(docs, "score")
-    return _with_scores(docs, labels, label, fit_rows, name).where(F.col(name) >= threshold).drop(name)
+    return _with_scores(docs, labels, label, fit_rows, name, fit_bytes).where(F.col(name) >= threshold).drop(name)

@@ -133,6 +133,7 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 # Polynomial hashes modulo 2^64 (above) let certain long texts collide, whatever the base. The ones
 # below draw a random number for every (place, letter), and mix before they add what is longer.
 CHUNK = 64
+STEP_BYTES = 1 << 18
 _MULTIPLIER = _U(0xD6E8FEB86659FD93)
 _PLACE = _U(0xA0761D6478BD642F)
 
@@ -152,13 +153,17 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     nth = np.arange(len(which)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
     begin = starts[which] + nth * CHUNK
     length = np.minimum(ends[which] - begin, CHUNK)
-    if len(length):
-        cut = np.cumsum(length) - length
-        place = np.arange(cut[-1] + length[-1]) - np.repeat(cut, length)
-        at = place + np.repeat(begin, length)
-        sums = np.add.reduceat(_places(seed)[(place << 8) | data[at]], cut)
-    else:
-        sums = np.zeros(0, _U)
+    sums, table = np.empty(len(which), _U), _places(seed)
+    upto = np.cumsum(length)
+    a = 0
+    while a < len(which):                       # some bytes at a time, so that the arrays stay small
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - length[a] + STEP_BYTES, "right")))
+        n = length[a:b]
+        cut = np.cumsum(n) - n
+        place = np.arange(cut[-1] + n[-1], dtype=np.int32) - np.repeat(cut.astype(np.int32), n)
+        letters = data[np.repeat(begin[a:b], n) + place]
+        sums[a:b] = np.add.reduceat(table[(place << 8) | letters], cut)
+        a = b
     sums = mix(sums + (nth + 1).astype(_U) * _PLACE)
     out = np.zeros(len(size), _U)
     single = chunks == 1

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm import textbytes as tb
-from marketframe.llm.labelled import FIT_ROWS, held_out, labelled_sample, log_odds
+from marketframe.llm.labelled import FIT_BYTES, FIT_ROWS, held_out, labelled_sample, log_odds
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -115,13 +115,13 @@ def fit(rows, prior: float) -> tuple[np.ndarray, float]:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS,
-             threshold: float = THRESHOLD) -> DataFrame:
+             threshold: float = THRESHOLD, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher: toxic likelier) and
     predicted. Only the text enters a score; null and empty texts score the intercept. Repeated
     rows score alike; without labels every score is one half; an empty table gives an empty
     result."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = labelled_sample(tb.small_batches(docs), labels, label, fit_rows).select("y", "text")
+    sample = labelled_sample(tb.small_batches(docs), labels, label, fit_rows, fit_bytes).select("y", "text")
     prior = log_odds(labels, label)
     rows = [(r.y, bytes(r.buckets)) for r in sample.mapInArrow(_extract, "y int, buckets binary").collect()]
     rows.sort()                                             # the fit does not depend on task order

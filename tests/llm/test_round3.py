@@ -424,3 +424,108 @@ def test_bpe_long_text(spark):
     for r in got:
         ids = tok.encode(dict(docs)[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+# ------------------------------------------------------------------ classifiers
+def _lines(rng, docs):
+    from marketframe.llm import line_crf as L
+    sizes = [rng.randint(0, 4) for _ in range(docs)]
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    cols = np.random.default_rng(rng.randrange(99)).integers(0, L.N_FEATURES, (first[-1], 5))
+    return cols, first
+
+
+def _sequence_score(scores, chain, labels):
+    return sum(scores[i, y] for i, y in enumerate(labels)) + sum(chain[a, b] for a, b in zip(labels, labels[1:]))
+
+
+def test_forward_backward_by_enumeration():
+    import itertools
+
+    from marketframe.llm import line_crf as L
+    rng = random.Random(15)
+    cols, first = _lines(rng, 30)
+    r = np.random.default_rng(4)
+    weight, chain = r.normal(size=L.N_FEATURES), r.normal(size=(2, 2))
+    scores = np.stack([np.zeros(len(cols)), weight[cols].sum(axis=1)], axis=1)
+    _, _, total = L.forward_backward(scores, chain, first)
+    good = L.marginals(cols, first, (weight, chain))
+    for d, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        every = {y: np.exp(_sequence_score(scores[a:b], chain, y)) for y in itertools.product((0, 1), repeat=int(b - a))}
+        if b > a:
+            assert abs(np.exp(total[d]) / sum(every.values()) - 1) < 1e-9
+        for i in range(b - a):
+            want = sum(v for y, v in every.items() if y[i]) / sum(every.values())
+            assert abs(good[a + i] - want) < 1e-9
+
+
+def test_crf_gradient_by_differences():
+    from marketframe.llm import line_crf as L
+    rng = random.Random(16)
+    cols, first = _lines(rng, 12)
+    r = np.random.default_rng(5)
+    n = np.diff(first)
+    y = r.integers(0, 2, len(n))
+    line_y, w_doc = np.repeat(y, n), r.random(len(n))
+    inner = np.ones(len(cols), bool)
+    inner[first[1:][n > 0] - 1] = False
+    inner = np.flatnonzero(inner)
+    theta = r.normal(0, .3, L.N_FEATURES + 4)
+
+    def objective(t):
+        weight, chain = t[:-4], t[-4:].reshape(2, 2)
+        scores = np.stack([np.zeros(len(cols)), weight[cols].sum(axis=1)], axis=1)
+        _, _, total = L.forward_backward(scores, chain, first)
+        own = [_sequence_score(scores[a:b], chain, line_y[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
+        return float(w_doc @ (total - np.array(own))) + L.RIDGE / 2 * float(t @ t)
+
+    g = L.gradient(theta, cols, first, line_y, np.repeat(w_doc, n), inner)
+    for i in [*np.unique(cols)[:25].tolist(), *range(L.N_FEATURES, L.N_FEATURES + 4)]:
+        e = np.zeros_like(theta)
+        e[i] = 1e-5
+        assert abs((objective(theta + e) - objective(theta - e)) / 2e-5 - g[i]) < 1e-6
+
+
+def test_toxicity_features_and_fit_against_plain_versions():
+    import pyarrow as pa
+
+    from marketframe.llm import toxicity as X
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("abcdeÉé 漢") for _ in range(rng.choice([0, 3, 4, 30, 80]))) for _ in range(60)] + [None]
+    doc, bucket = X.features(pa.array(texts))
+    grams = [{t.lower()[i:i + n] for n in X.ORDERS for i in range(len(t) - n + 1)} for t in (x or "" for x in texts)]
+    names = sorted(set().union(*grams))
+    found = [set(bucket[doc == d].tolist()) for d in range(len(texts))]
+    assert all(len(g) - 2 <= len(f) <= len(g) for f, g in zip(found, grams))       # few of a text share a bucket
+    y = [i % 2 for i in range(len(texts))]
+    rows = [(v, np.array(sorted(f), np.uint32).tobytes()) for v, f in zip(y, found)]
+    weight, intercept = X.fit(rows, 0.3)
+    # the same fit over a dense table of buckets
+    used = sorted(set().union(*found))
+    assert .98 * len(names) < len(used) <= len(names)
+    dense = np.array([[b in f for b in used] for f in found], float)
+    t = np.array(y, float)
+    p, q = dense[t == 1].sum(axis=0) + X.SMOOTH, dense[t == 0].sum(axis=0) + X.SMOOTH
+    ratio = np.log((p / (t.sum() + 2 * X.SMOOTH)) / (q / ((1 - t).sum() + 2 * X.SMOOTH)))
+    ratio[p + q < 2 + 2 * X.SMOOTH] = 0
+    x = dense * ratio
+    w, b, m, v, mb, vb = np.zeros(len(used)), 0.0, 0.0, 0.0, 0.0, 0.0
+    for k in range(1, X.STEPS + 1):
+        err = 1 / (1 + np.exp(-(x @ w + b))) - t
+        g, gb = x.T @ err / len(t) + X.RIDGE * w, err.mean()
+        m, v, mb, vb = .9 * m + .1 * g, .99 * v + .01 * g * g, .9 * mb + .1 * gb, .99 * vb + .01 * gb * gb
+        w = w - .02 * (m / (1 - .9 ** k)) / (np.sqrt(v / (1 - .99 ** k)) + 1e-8)
+        b -= .02 * (mb / (1 - .9 ** k)) / (np.sqrt(vb / (1 - .99 ** k)) + 1e-8)
+    np.testing.assert_allclose(weight[used], w * ratio, rtol=1e-3, atol=1e-5)
+    assert abs(intercept - (b + .3 - np.log(t.mean() / (1 - t.mean())))) < 1e-6
+
+
+def test_long_texts_do_not_shrink_the_sample(spark):
+    from marketframe.llm.labelled import held_out, labelled_sample
+    docs = [(i, "x" * (500 if i % 2 else 20)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(120)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    free = {r.doc_id for r in df.where(~held_out()).collect()}
+    short = labelled_sample(df, labels, "quality", rows=20, fit_bytes=100).collect()
+    assert len(short) == 20 and all(len(r.text) == 20 and r.doc_id in free for r in short)
+    assert sum(r.y for r in short) == 10
