@@ -529,3 +529,63 @@ def test_long_texts_do_not_shrink_the_sample(spark):
     short = labelled_sample(df, labels, "quality", rows=20, fit_bytes=100).collect()
     assert len(short) == 20 and all(len(r.text) == 20 and r.doc_id in free for r in short)
     assert sum(r.y for r in short) == 10
+
+
+# ------------------------------------------------------------------ randomness battery
+def _battery(token):
+    """p-value of a token by plain arithmetic, normal tails by erfc."""
+    import re
+
+    from marketframe.llm import secrets as S
+    t = token.rstrip("=")
+    alphabet = next(a for p, a in S.ENCODINGS if re.fullmatch(p, t))
+    x, n, m = np.array([alphabet.index(c) + 1 for c in t], float), len(t), len(alphabet)
+    tail = lambda z: .5 * math.erfc(z / math.sqrt(2))
+    counts = np.bincount(x.astype(int), minlength=m + 1)[1:]
+    chi, df = ((counts - n / m) ** 2 / (n / m)).sum(), m - 1
+    p_chi = tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    side = x > m / 2
+    runs, above = 1 + (side[1:] != side[:-1]).sum(), side.sum()
+    both = 2 * above * (n - above)
+    spread = both * (both - n) / (n * n * (n - 1))
+    p_runs = 2 * tail(abs(runs - both / n - 1) / math.sqrt(spread)) if spread > 0 else 1.0
+    d = x - x.mean()
+    p_serial = 2 * tail(abs((d[1:] * d[:-1]).sum() / (d * d).sum()) * math.sqrt(n)) if (d * d).sum() > 0 else 1.0
+    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+
+
+def test_battery_against_plain_arithmetic(spark):
+    from marketframe.llm import secrets as S
+    rng = random.Random(18)
+    alphabets = [a for _, a in S.ENCODINGS]
+    tokens = ["".join(rng.choice(a) for _ in range(rng.choice([20, 24, 40, 90]))) for a in alphabets for _ in range(40)]
+    tokens += ["the-quick-brown-fox-number-1-jumps", "aaaaaaaaaaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyz0123456789", "A" * 30 + "7" * 30]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", S.p_value(F.col("t")).alias("p")).collect()
+    for r in got:
+        want = _battery(r.t)
+        assert abs(r.p - want) < 1e-5 + 1e-3 * want, r.t
+    # random strings are seldom rejected: the least of three p-values, times three, is conservative
+    p = np.array([r.p for r in got[:-4]])
+    assert (p < .01).mean() < .03 and all(r.p < 1e-3 for r in got[-3:])
+
+
+def test_random_spans_by_length(spark):
+    """Recall of random strings and of structured ones rejected, by length class."""
+    from marketframe.llm import secrets as S
+    rng = random.Random(19)
+    alphabet = S.DIGITS + S.LOWER + S.UPPER
+    docs, kind = [], {}
+    for n in (24, 40, 64):
+        for i in range(80):
+            secret = "".join(rng.choice(alphabet) for _ in range(n))
+            if not (any(c in S.DIGITS for c in secret) and any(c not in S.DIGITS for c in secret)):
+                continue
+            plain = "-".join(rng.choice(["report", "final", "version", "data", "april", "copy"]) for _ in range(n))[:n - 1] + "7"
+            for what, t in (("random", secret), ("plain", plain)):
+                kind[len(docs)] = (what, n)
+                docs.append((len(docs), f"see {t} there"))
+    spans = {r.doc_id: r.spans for r in S.secret_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    rate = lambda what, n: np.mean(["random" in spans[d] for d, k in kind.items() if k == (what, n)])
+    for n in (24, 40, 64):
+        assert rate("random", n) > .95
+    assert rate("plain", 40) < .1 and rate("plain", 64) < .02
