@@ -68,12 +68,10 @@ def price_stage(bars: DataFrame, scored_posts: DataFrame, out: str,
     stats = S.scaler_fit(S.train_row_weights(rows, split, length))
     FS.write_scaler(stats, _p(out, "price_scaler"))
     stats = spark.read.parquet(_p(out, "price_scaler"))
-    seqs = S.price_sequences(S.apply_scaler(rows, stats), length)
-    samples = seqs.select("ticker", "date", "label", "X").join(
-        split.select("ticker", "date", "split"), ["ticker", "date"])
-    FS.write_samples(samples, _p(out, "price_samples"))
+    keys = split.select("ticker", "date", "label", "split")
+    FS.write_sequence_store(S.apply_scaler(rows, stats), keys, _p(out, "price_samples"), length=length)
     return {"cleaned": cleaned, "scaler": stats,
-            "samples": FS.read_samples(spark, _p(out, "price_samples"))}
+            "samples": FS.read_sequence_store(spark, _p(out, "price_samples"))}
 
 
 def text_sample_stage(hourly: DataFrame, raw_bars: DataFrame, out: str) -> dict[str, DataFrame]:
