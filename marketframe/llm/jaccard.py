@@ -81,7 +81,7 @@ def _frequency_rank(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches):
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, limit=tb.SMALL_SLICE):
                 for s in _sets(part.column("text"), words):
                     np.add.at(cells, (s >> _SHIFT).astype(np.int64), 1)
         rows = cells.reshape(-1, chunk)
@@ -117,7 +117,7 @@ def _features(docs: DataFrame, rank, words: int, percent: int) -> DataFrame:
     """(doc_id, n, h1, h2, head, prefix, sign, wide) of every document."""
     def run(batches):
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, limit=tb.SMALL_SLICE):
                 sets = _sets(part.column("text"), words, rank.value)
                 n = np.array([len(s) for s in sets], np.int64)
                 keep = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
@@ -170,7 +170,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rank, words: int, percent: int)
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(passes(wanted, batch.column("cell"))))
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, limit=tb.SMALL_SLICE):
                 sets = _sets(part.column("text"), words, rank.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],

@@ -179,7 +179,7 @@ def _extract(batches):
     """Labelled rows -> their lines' features as packed int16."""
     import pyarrow as pa
     for batch in batches:
-        for part in tb.slices(batch):
+        for part in tb.slices(batch, limit=tb.SMALL_SLICE):
             cols, _, first = lines_of(part.column("text"))
             packed = cols.astype(np.int16)
             yield pa.RecordBatch.from_arrays(
@@ -213,7 +213,7 @@ def _with_scores(docs: DataFrame, labels: DataFrame, label: str, fit_rows_: int,
     def score(batches):
         import pyarrow as pa
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, limit=tb.SMALL_SLICE):
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(document_scores(part.column("text"), model.value))],
                     [*part.schema.names, name])

@@ -111,7 +111,7 @@ def quality_rules(docs: DataFrame, with_text: bool = False, boilerplate: str = B
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, limit=tb.SMALL_SLICE):
                 columns, lines, line_first, fails = _judge(part.column("text"), boilerplate)
                 out = dict(zip(COLUMNS, map(pa.array, columns)))
                 if with_text:

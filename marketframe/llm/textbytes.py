@@ -16,6 +16,9 @@ from functools import lru_cache
 import numpy as np
 
 SLICE_BYTES = 2 << 20
+#: For operators that send nothing a slice: what a worker once needed stays with it, so smaller slices keep
+#: its memory low.
+SMALL_SLICE = 1 << 19
 _U = np.uint64
 #: Odd multiplier of the polynomial hashes and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15 | 1
