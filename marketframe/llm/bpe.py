@@ -28,11 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketframe.llm import textbytes as tb
 from marketframe.llm.textbytes import small_batches
 
 LONG_TEXT = 32768      # characters; longer texts are encoded by segments
 LEAF = 8192            # characters of a segment at most
 LONG_PIECE = 512       # bytes; a longer unsplit piece is encoded by halves
+KNOWN_PIECES = 1 << 15 # short pieces whose ids a worker remembers, at most
 #: Fixed value: the splitting pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -64,12 +66,15 @@ class Codec:
         plain = PATTERN.replace(r"[^\s", "[^" + blank).replace(r"\s", blank).replace(r"\S", r"\P{White_Space}")
         self.split = regex.compile(plain)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.known: dict[str, list[int]] = {}              # ids of pieces met before
         self.long_run = regex.compile(rf"\S{{{LONG_PIECE}}}|\s{{{LONG_PIECE}}}")
         self.longest_mark = max([1, *map(len, self.special)])
 
     # ------------------------------------------------------------------ whole texts
-    def encode(self, text: str) -> np.ndarray:
-        if self.long_run.search(text):                      # perhaps a long unsplit piece: by halves
+    def encode(self, text: str, long_run: bool | None = None) -> np.ndarray:
+        """Ids of a text; ``long_run`` tells whether it may hold a long unsplit piece (found out, if not
+        given), which is then encoded by halves."""
+        if self.long_run.search(text) if long_run is None else long_run:
             return self.encode_pieces(text).ids
         return self.core.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
@@ -80,7 +85,12 @@ class Codec:
     def piece(self, piece: str) -> list[int]:
         if piece in self.special:
             return [self.special[piece]]
-        return self._bytes(piece.encode())
+        found = self.known.get(piece)
+        if found is None:
+            found = self._bytes(piece.encode())
+            if len(piece) <= 32 and len(self.known) < KNOWN_PIECES:
+                self.known[piece] = found
+        return found
 
     def _bytes(self, raw: bytes) -> list[int]:
         if len(raw) <= LONG_PIECE:
@@ -170,6 +180,18 @@ class Encoded:
                 for k in range(max(0, start), min(stop, len(self)))]
 
 
+def long_runs(column) -> np.ndarray:
+    """Texts of an Arrow column with ``LONG_PIECE`` bytes or more without an ASCII blank, or of blanks
+    alone; other texts hold no long unsplit piece."""
+    data, off = tb.text_bytes(column)
+    out = np.zeros(len(off) - 1, bool)
+    blank = np.isin(data, np.frombuffer(b" \t\n\v\f\r", np.uint8))
+    for d in (data, np.where(blank, np.uint8(1), np.uint8(32))):
+        starts, ends, first = tb.word_bounds(d, off)
+        out[tb.owner(first, np.flatnonzero(ends - starts >= LONG_PIECE))] = True
+    return out
+
+
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -202,8 +224,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, with_ids: boo
         c = codec(path)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = c.encode(text.as_py())
+            for doc, text, long_run in zip(batch.column("doc_id").to_pylist(), batch.column("text"),
+                                           long_runs(batch.column("text")).tolist()):
+                ids = c.encode(text.as_py(), long_run)
                 rows.append(_row(doc, ids, c.decode(ids), with_ids))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=target)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from marketframe.llm.bpe import LONG_TEXT, codec, default_vocabulary
+from marketframe.llm.bpe import LONG_TEXT, codec, default_vocabulary, long_runs
 from marketframe.llm.textbytes import small_batches
 from marketframe.session import cut_lineage
 
@@ -163,9 +163,10 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
             return pa.RecordBatch.from_arrays(columns, schema=target)
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for name, text, long_run in zip(batch.column("doc_id").to_pylist(), batch.column("text"),
+                                            long_runs(batch.column("text")).tolist()):
                 text = text.as_py()
-                found = c.encode(text) if len(text) <= LONG_TEXT else c.encode_pieces(text).ids
+                found = c.encode(text, long_run) if len(text) <= LONG_TEXT else c.encode_pieces(text).ids
                 names.append(name)
                 ids.append(np.append(found, np.array([end_id], "<u4")).astype("<u4"))
                 held += len(ids[-1])

@@ -589,3 +589,12 @@ def test_random_spans_by_length(spark):
     for n in (24, 40, 64):
         assert rate("random", n) > .95
     assert rate("plain", 40) < .1 and rate("plain", 64) < .02
+
+
+def test_long_runs_are_found():
+    import pyarrow as pa
+
+    from marketframe.llm.bpe import LONG_PIECE, long_runs
+    n = LONG_PIECE
+    texts = ["a b", None, "x" * n, "a " + "x" * (n - 1), " " * n, "a" + "\n" * (n - 1) + "b", "é" * (n // 2), "", "x" * n + " y"]
+    assert long_runs(pa.array(texts)).tolist() == [False, False, True, False, True, False, True, False, True]
