@@ -26,8 +26,10 @@ from marketframe.session import cut_lineage
 
 #: Blocks whose states are broadcast at most (about 100 bytes each); beyond, lines are shuffled to them.
 BROADCAST_BLOCKS = 100_000
-_BLOCK = "file string, block long, first long, crlf boolean, end_out boolean, end_in boolean, start_in long, open_out long, open_in long"
-_STATE = "file string, block long, first long, crlf boolean, inside boolean, owner long, head_end long, tail_start long"
+_BLOCK = ("file string, block long, first long, crlf boolean, end_out boolean, end_in boolean, start_in long, "
+          "open_out long, open_in long")
+_STATE = ("file string, block long, first long, crlf boolean, inside boolean, owner long, head_end long, "
+          "tail_start long")
 
 
 def ends_inside(line: str, inside: bool, delimiter: str = ",") -> bool:
@@ -65,8 +67,8 @@ def _block_maps(delimiter: str):
         key, out, seen = None, [], None
 
         def close():
-            out.append({"file": key[0], "block": key[1], "first": seen[5], "crlf": seen[6], "end_out": seen[0], "end_in": seen[1], "start_in": seen[2],
-                        "open_out": seen[3] if seen[0] else None, "open_in": seen[4] if seen[1] else None})
+            out.append({"file": key[0], "block": key[1], "first": seen[5], "crlf": seen[6], "end_out": seen[0],
+                        "end_in": seen[1], "start_in": seen[2], "open_out": seen[3] if seen[0] else None, "open_in": seen[4] if seen[1] else None})
 
         for batch in batches:
             for file, block, row, line in zip(*(batch.column(n).to_pylist() for n in ("file", "block", "row", "value"))):
@@ -85,7 +87,8 @@ def _block_maps(delimiter: str):
         if key:
             close()
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema(
-            [("file", pa.string()), ("block", pa.int64()), ("first", pa.int64()), ("crlf", pa.bool_()), ("end_out", pa.bool_()), ("end_in", pa.bool_()),
+            [("file", pa.string()), ("block", pa.int64()), ("first", pa.int64()), ("crlf", pa.bool_()),
+             ("end_out", pa.bool_()), ("end_in", pa.bool_()),
              ("start_in", pa.int64()), ("open_out", pa.int64()), ("open_in", pa.int64())]))
     return run
 
@@ -97,13 +100,14 @@ def _compose(table):
     blocks = table.sort_by("block").to_pylist()
     for b in blocks:
         opened = b["open_in"] if inside else b["open_out"]      # last record, if it does not end here
-        rows.append({"file": b["file"], "block": b["block"], "first": b["first"], "crlf": blocks[0]["crlf"], "inside": inside, "owner": owner if inside else None,
-                     "head_end": b["start_in"] if inside else None, "tail_start": opened})
+        rows.append({"file": b["file"], "block": b["block"], "first": b["first"], "crlf": blocks[0]["crlf"],
+                     "inside": inside, "owner": owner if inside else None, "head_end": b["start_in"] if inside else None, "tail_start": opened})
         if opened is not None:
             owner = b["block"]
         inside = b["end_in"] if inside else b["end_out"]
     return pa.Table.from_pylist(rows, schema=pa.schema(
-        [("file", pa.string()), ("block", pa.int64()), ("first", pa.int64()), ("crlf", pa.bool_()), ("inside", pa.bool_()), ("owner", pa.int64()),
+        [("file", pa.string()), ("block", pa.int64()), ("first", pa.int64()), ("crlf", pa.bool_()),
+         ("inside", pa.bool_()), ("owner", pa.int64()),
          ("head_end", pa.int64()), ("tail_start", pa.int64())]))
 
 
