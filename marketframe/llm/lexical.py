@@ -266,6 +266,7 @@ def _search_group(index: DataFrame, asked: list[tuple[int, int, np.ndarray]], we
                   n_terms: int, k: int, shards: int) -> DataFrame:
     queries = [q for _, _, q in asked]
     placed = index.where("entries > 0").withColumn("shard", F.pmod(F.xxhash64("ids", "terms"), F.lit(shards)))
+    placed = placed.repartition(shards, "shard")             # a stated number: small tables are work enough a row
 
     def first_round(table):
         import pyarrow as pa
