@@ -155,6 +155,21 @@ def test_suffix_sort_orders_like_the_bytes():
     assert [raw[a:a + 50] == raw[b:b + 50] for a, b in zip(got[1:], got[:-1])] == same[1:].tolist()
 
 
+def test_suffix_sort_compares_each_suffix_a_few_times(monkeypatch):
+    """A large bucket, a third of it copies: some n log n comparisons, not n log² n."""
+    from marketframe.llm import suffix_dedup as S
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 100, 6000).astype(np.uint8)
+    data = np.concatenate([data, data[:3000]])
+    at = rng.permutation(len(data) - 49)
+    pairs, compare = [], S.Suffixes.compare
+    monkeypatch.setattr(S.Suffixes, "compare", lambda self, a, b: pairs.append(len(a)) or compare(self, a, b))
+    out = S.Suffixes(data, 50).sorted(at, np.array([0, len(at)]))
+    raw = data.tobytes()
+    assert [raw[i:i + 50] for i in out] == sorted(raw[i:i + 50] for i in at)
+    assert sum(pairs) < 30 * len(at)
+
+
 def test_suffix_sort_falls_back_to_bytes_on_a_collision(monkeypatch):
     """A broken hash finds everything equal; verification notices and the bytes decide."""
     from marketframe.llm import suffix_dedup as S
