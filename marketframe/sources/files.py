@@ -69,9 +69,9 @@ def ingest_posts(spark: SparkSession, posts_csv: str, mapping_csv: str, tickers=
 
     Dedup runs before the mapping join (the ticker depends only on the id, so the result is the
     same): copies of a hot id collapse in the partial aggregate instead of skewing the join."""
-    posts = dedup_first(read_posts_csv(spark, posts_csv), "post_id", ["ingest_order"])
+    posts = dedup_first(read_posts_csv(spark, posts_csv), "post_id", ["ingest_order"], keep_order=False)
     mapping = read_mapping_csv(spark, mapping_csv)
-    return attach_ticker(posts.drop("ingest_order"), mapping, tickers=tickers, multi=multi)
+    return attach_ticker(posts, mapping, tickers=tickers, multi=multi)
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

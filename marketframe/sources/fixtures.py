@@ -131,11 +131,12 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def noisy_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of the post CSV from lineitem. The id is the order, so ids repeat; files follow the
     line number, so the first row of an id is that of the smallest line number. Likes of every
-    fifth part are no number, other counts are written as pandas writes floats."""
+    fifth part are no number, other counts are written as pandas writes floats. The order is total,
+    so that ranges, and with them tasks and files, are as small as the session's partitions say."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("day"))
     order = ["l_linenumber", "l_orderkey", "l_partkey", "l_suppkey", "day"]
-    rows = li.repartitionByRange(3, "l_linenumber").sortWithinPartitions(*order)
+    rows = li.orderBy(*order)
     days = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long")
     return rows.select(
         F.col("l_orderkey").cast("string").alias("tweet_id"),
@@ -151,9 +152,9 @@ def noisy_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noisy_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of the mapping CSV: an id repeats with other tickers; the last row wins. Every ninth
-    order is not mapped."""
+    order is not mapped. Ordered like the posts."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").where("l_orderkey % 9 <> 0")
-    rows = li.repartitionByRange(3, "l_linenumber").sortWithinPartitions("l_linenumber", "l_orderkey")
+    rows = li.orderBy("l_linenumber", "l_orderkey")
     names = F.array(F.lit("AAPL"), F.lit("GOOG"), F.lit("TSLA"))
     return rows.select(F.col("l_orderkey").cast("string").alias("tweet_id"),
                        F.get(names, (F.col("l_linenumber") % 3).cast("int")).alias("ticker_symbol"))

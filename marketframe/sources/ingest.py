@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dedup_first(df: DataFrame, key: str = "post_id", order=None) -> DataFrame:
-    """Keep one row per ``key``: the first by ``order`` (columns defining ingest order)."""
+def dedup_first(df: DataFrame, key: str = "post_id", order=None, keep_order: bool = True) -> DataFrame:
+    """Keep one row per ``key``: the first by ``order`` (columns defining ingest order). Without
+    ``keep_order`` these columns go, and are not sorted and shuffled a second time with the others."""
     order = list(order or [])
-    payload = [c for c in df.columns if c != key]
+    payload = [c for c in df.columns if c != key and (keep_order or c not in order)]
     ordkey = F.struct(*[F.col(c) for c in order]) if order else F.struct(*[F.col(c)
                                                                          for c in payload])
     kept = df.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in payload]), ordkey)

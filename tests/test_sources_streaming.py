@@ -274,6 +274,24 @@ def test_file_order_decides_even_if_the_first_file_is_small(spark):
     assert (r.text, r.likes_count, r.ticker) == ("first", 3, "NEW")    # 3.0 is kept; last mapping wins
 
 
+def test_noisy_csv_rows_are_dealt_out_in_order(spark):
+    """Nearly all rows share a line number: no task holds more than its share of them."""
+    folder, n = _tmp(), 4000
+    i = F.col("id")
+    spark.range(n).select(
+        (i * 7919 % n).alias("l_orderkey"), F.when(i < 40, 2).otherwise(1).alias("l_linenumber"), (i % 97).alias("l_partkey"),
+        (i % 13).alias("l_suppkey"), F.lit("2020-01-02").cast("date").alias("l_shipdate")).write.parquet(f"{folder}/lineitem.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows in (FX.noisy_posts(spark, folder), FX.noisy_mapping(spark, folder)):
+            parts = rows.rdd.glom().map(lambda part: [int(r.tweet_id) for r in part]).collect()
+            ids = [x for part in parts for x in part]
+            late = {k * 7919 % n for k in range(40)}            # the ids of line 2
+            assert max(map(len, parts)) < len(ids) / 3 and ids == sorted(ids, key=lambda x: (x in late, x))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_append_sink_ignores_stored_ids(spark):
     path = os.path.join(_tmp(), "posts")
     rows = lambda *r: spark.createDataFrame(r, "post_id long, text string, n int")
