@@ -251,7 +251,8 @@ def _sent(docs: DataFrame, window: int, salts: int, buckets: int, heavy: int) ->
     some = lambda t: t.where(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0)
     many = _heavy(_texts(some(docs), pk.id_filter(some(spots).select("doc_id"))).join(some(spots), ["doc_id", "mark"]),
                   window, heavy)
-    return _extend(texts.join(spots, ["doc_id", "mark"]), window, buckets, many)
+    # the rows of a slice decide which copies settle in it: never by the side that is ready first
+    return _extend(texts.join(spots.hint("merge"), ["doc_id", "mark"]), window, buckets, many)
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, salts: int = SALTS, heavy: int = HEAVY) -> DataFrame:
