@@ -128,6 +128,87 @@ def test_suffix_dedup_deals_out_a_shared_phrase(spark, size):
     assert before > every / 6 and after < before / 3
 
 
+def _draws(seed, alphabet="abcdefghijklmnop "):
+    rng = random.Random(seed)
+    return lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_suffix_packed_rows_follow_their_anchors(spark):
+    """The bytes of the first pass follow the anchors, not documents times buckets."""
+    from marketframe.llm import packing as pk
+    from marketframe.llm import suffix_dedup as S
+    draw = _draws(1)
+    docs = spark.createDataFrame([(i, draw(600)) for i in range(400)], SCHEMA).coalesce(1)
+    packed = S._pack(pk.with_mark(docs), 50, 1000)
+    size = sum(F.length(c) for c, kind in packed.dtypes if kind == "binary")
+    n, every = packed.agg(F.sum(F.length("anchor") / 4), F.sum(size)).first()
+    assert 400 * 25 < n and every < 60 * n
+
+
+def test_suffix_sends_few_anchors_that_meet_by_chance(spark):
+    """28 bytes that two documents share hold no equal string of 50: what surrounds the anchor differs."""
+    from marketframe.llm import packing as pk
+    from marketframe.llm import suffix_dedup as S
+    draw = _draws(2)
+    shared = [draw(28) for _ in range(150)]
+    docs = [(i, draw(80) + shared[i // 2] + draw(80)) for i in range(300)]
+    docs += [(400 + i, docs[i][1][40:100] + draw(30)) for i in range(0, 60, 2)]
+    table = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    marked = pk.with_mark(table)
+    sent = S._sent(marked, S._spots(marked, 50, 8, 4096), 50, 8).where("doc_id >= 60 and doc_id < 400").count()
+    assert sent < 20
+    got = S.remove_repeats(table).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == byte_repeats(docs)
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getPath(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+def test_suffix_removes_its_shuffle_files(spark):
+    """When the last pass begins, the files of the passes before it are gone."""
+    import time
+
+    from marketframe.llm import suffix_dedup as S
+    draw = _draws(3)
+    docs = [(i, draw(2000)) for i in range(400)]
+    docs += [(1000 + i, docs[i][1][:700] + draw(1000)) for i in range(200)]
+    table = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    spark.conf.unset(CLEANUP)
+    had = _shuffle_bytes(spark)
+    frame = S.remove_repeats(table)
+    until = time.time() + 10
+    while (left := sum(n for p, n in _shuffle_bytes(spark).items() if p not in had)) > 60_000 and time.time() < until:
+        time.sleep(.2)
+    assert left <= 60_000 and spark.conf.get(CLEANUP, None) in (None, "false")
+    assert frame.where("n_removed > 600").count() == 200
+
+
+def test_entry_tables_and_zipped_texts():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from marketframe.llm import packing as pk
+    ids, marks = np.array([5, -7, 5, 2 ** 62, 0]), np.array([1, 2, 3, -4, 5], np.int32)
+    doc, at = np.array([0, 0, 2, 3, 3, 3]), np.array([4, 4, 0, 9, 10, 70_000])
+    got = pk.read_entries(*pk.entry_table(ids, marks, doc, at))
+    assert [x.tolist() for x in got] == [ids[doc].tolist(), marks[doc].tolist(), at.tolist()]
+    texts = ["a" * 5, None, "", "é🙂" * 9, "b" * 30, "c"]
+    raw = pa.array(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pk.zipped(raw), pc.fill_null(pc.binary_length(raw).cast("int64"), 99)],
+                                       ["doc_id", "text", "n_bytes"])
+    for part, limit in (([3, 1, 2], 40), ([6], 10 ** 6), ([3, 1, 1, 1], 7)):
+        cut = list(pk.unzipped(batch, limit))
+        assert [x.num_rows for x in cut] == part
+        assert [t for x in cut for t in x.column("text").to_pylist()] == [(t or "").encode() for t in texts]
+        assert [d for x in cut for d in x.column("doc_id").to_pylist()] == list(range(6))
+
+
 def test_suffix_heavy_strings_settle_by_bytes(monkeypatch):
     """A broken hash finds everything equal; only strings with equal bytes are settled in the slice."""
     from marketframe.llm import suffix_dedup as S
